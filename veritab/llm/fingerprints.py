@@ -61,7 +61,7 @@ def coin_toss(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         at = label.astype(np.uint16) << np.uint16(7)
         at[1:] |= label[:-1]
-        at[first] |= label[first] ^ np.uint8(1)
+        at[first] = label[first].astype(np.uint16) << np.uint16(7) | (label[first] ^ np.uint8(1))
         label = TOSS[at]
     return label
 
