@@ -36,32 +36,30 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, text): the final messages of a log (conv_id, seq, message, kind, role, text).
+def fold(events: DataFrame, *within: str) -> DataFrame:
+    """(conv_id, within..., seq, role, text): the final messages of a log (conv_id, seq, message, kind, role, text).
 
-    seq may be of any ordered type. The last reset of each message is a partial aggregate, so no message's events meet
-    before they are cut down to its living text."""
-    key = ["conv_id", "message"]
-    resets = F.when(F.col("kind").isin(*RESETS), F.col("seq"))
-    heads = events.groupBy(*key).agg(F.min("seq").alias("first"), F.max("role").alias("role"), F.max(resets).alias("reset"))
-    joined = events.select("conv_id", "message", "seq", "kind", "text").alias("e").join(
-        heads.alias("h"), F.col("e.conv_id").eqNullSafe(F.col("h.conv_id")) & F.col("e.message").eqNullSafe(F.col("h.message")))
-    living = joined.where(F.col("reset").isNull() | (F.col("seq") >= F.col("reset"))).select("h.conv_id", "h.message", "first", "role", "seq", "kind", "text")
-    whole = living.groupBy(*key, "first", "role").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))).alias("parts"), F.bool_or(F.col("kind") == "delete").alias("gone"))
-    return whole.where(~F.col("gone")).select("conv_id", F.col("first").alias("seq"), "role", F.array_join(F.col("parts.text"), "").alias("text"))
+    seq may be of any ordered type. within: columns that a message's events share, so that rows dealt by them stay."""
+    keys = ["conv_id", *within]
+    whole = events.groupBy(*keys, "message").agg(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text"), "kind"))).alias("log"), F.max("role").alias("role"))
+    reset = F.array_max(F.transform(F.filter("log", lambda e: e["kind"].isin(*RESETS)), lambda e: e["seq"]))
+    cut = whole.select(*keys, F.col("log")[0]["seq"].alias("seq"), "role", "log", reset.alias("reset"))
+    living = F.filter("log", lambda e: F.col("reset").isNull() | (e["seq"] >= F.col("reset")))
+    done = cut.select(*keys, "seq", "role", living.alias("log")).where(~F.exists("log", lambda e: e["kind"] == "delete"))
+    return done.select(*keys, "seq", "role", F.array_join(F.transform("log", lambda e: e["text"]), "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, segments): each conversation's text in order as array<struct<text, loss>>; loss marks assistant texts.
 
-    messages: (conv_id, seq struct<turn, nth>, role, text)."""
+    messages: (conv_id, block, seq, role, text)."""
     role = F.coalesce("role", F.lit(""))
     own = F.array(
         F.struct(F.concat(F.lit(START), F.url_encode(role), F.lit(AFTER_ROLE)).alias("text"), F.lit(False).alias("loss")),
         F.struct(escape(F.coalesce("text", F.lit(""))).alias("text"), (role == "assistant").alias("loss")),
         F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")),
     )
-    placed = messages.select("conv_id", F.floor(F.coalesce(F.col("seq.turn"), F.lit(-1)) / BLOCK).alias("block"), "seq", own.alias("own"))
+    placed = messages.select("conv_id", "block", "seq", own.alias("own"))
     blocks = placed.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "own"))).alias("m"))
     blocks = blocks.select("conv_id", "block", F.flatten(F.col("m.own")).alias("own"))
     whole = blocks.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "own"))).alias("b"))
@@ -84,17 +82,21 @@ def read_back(formatted: Column) -> Column:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a log: each row is a message that was streamed in one delta."""
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    rows = conversations.select("conv_id", F.struct(F.col("turn"), nth.alias("nth")).alias("seq"), "role", "text")
-    return rows.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), "role", "text")
+    """Rows by turn as a log: each row is a message that was streamed in one delta.
+
+    Rows are dealt once by conversation and block of turns, which serves all that is done within a block."""
+    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)
+    dealt = conversations.select("conv_id", block.alias("block"), "turn", "role", "text").repartition("conv_id", "block")
+    nth = F.row_number().over(Window.partitionBy("conv_id", "block", "turn").orderBy("role", "text"))
+    rows = dealt.select("conv_id", "block", F.struct(F.col("turn"), nth.alias("nth")).alias("seq"), "role", "text")
+    return rows.select("conv_id", "block", "seq", F.col("seq").alias("message"), F.lit("delta").alias("kind"), "role", "text")
 
 
 def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    done = render(fold(log_of(own.unionByName(extra)))).select("conv_id", "segments", text_of(F.col("segments")).alias("formatted"))
+    done = render(fold(log_of(own.unionByName(extra)), "block")).select("conv_id", "segments", text_of(F.col("segments")).alias("formatted"))
     read = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), unescape_each(F.col("segments")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
