@@ -35,24 +35,33 @@ SPREAD_PIVOTS = [xxhash.xxh64_intdigest(str(k), SEED) for k in range(8)]
 CELL_PAIRS = 24
 
 
-def fingerprint(raw: bytes, n: int) -> int:
-    """The 64-bit SimHash of the n-word shingles of a text."""
+def shingle_hashes(raw: bytes, n: int) -> np.ndarray:
+    """The XXH64 of each n-word shingle of a text; of the whole sequence if it is shorter, none if it has no word."""
     words = raw.translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     buf = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     n = min(n, len(words))
     digest = xxhash.xxh64_intdigest
     pairs = zip((ends - sizes)[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)
-    h = np.array([digest(buf[a:b], SEED) for a, b in pairs], "<u8")
+    return np.array([digest(buf[a:b], SEED) for a, b in pairs], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed long; zero for no hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(raw: bytes, n: int) -> int:
+    """The 64-bit SimHash of the n-word shingles of a text."""
+    return majority(shingle_hashes(raw, n))
+
+
 def simhash(text: Column, n: int = 3) -> Column:
     """The SimHash of each text as a signed long."""
 
