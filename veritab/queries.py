@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.functions import text as fx
-from veritab.operators import profile, recipes, retrieval, rules
+from veritab.operators import profile, ranking, recipes, retrieval, rules
 from veritab.operators.semantic import Catalog
 from veritab.plans.execute import run_query
 from veritab.session import table
@@ -356,3 +356,33 @@ def capped_query(spark, d):
     orders(spark, d).createOrReplaceTempView("vt_orders")
     found = run_query(spark, "SELECT * FROM vt_orders ORDER BY o_orderkey", ["vt_orders"], seconds=120)
     return spark.createDataFrame([(len(found.rows), found.truncated, found.total)], "shown int, truncated boolean, total long")
+
+
+@query("""WITH h AS (SELECT event_type || ' by user ' || user_id AS text, epoch_ms(ts) AS ts FROM events),
+k AS (SELECT lower(text) AS key, max(ts) AS ts, count(*) AS n FROM h GROUP BY 1),
+s AS (SELECT key, ts, n, regexp_extract(key, 'c.*?k.*?2', 0) AS w FROM k)
+SELECT key AS text, 'history' AS source, round(CASE WHEN starts_with(key, 'ck2') THEN 1100 ELSE 300.0 / length(w) END + 40 * pow(0.5, greatest(0, 1735689600000 - ts) / 604800000.0) + 20 * least(1, (n - 1) / 7.0), 6) AS score
+FROM s WHERE w != '' ORDER BY score DESC, text LIMIT 6""")
+def type_ahead(spark, d):
+    events = table(spark, d, "events")
+    text = F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
+    history = events.select(text.alias("text"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("count"))
+    found = ranking.past_questions(history, spark.createDataFrame([], "text string"), "ck2", 1_735_689_600_000)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '/' || p_name AS path, regexp_extract(lower(p_name), 'b.*?o.*?t', 0) AS w, regexp_extract(lower(p_brand || '/' || p_name), 'b.*?o.*?t', 0) AS v FROM part)
+SELECT id, name, path, round(CASE WHEN w != '' THEN CASE WHEN starts_with(lower(name), 'bot') THEN 2000 ELSE 1000 END + 300.0 / length(w) ELSE 300.0 / length(v) END, 6) AS score
+FROM s WHERE w != '' OR v != '' ORDER BY score DESC, length(path), path, id LIMIT 12""")
+def quick_open(spark, d):
+    path = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), path.alias("path"), F.lit("file").alias("kind"))
+    return ranking.quick_open(items, "bot").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH p AS (SELECT l_shipmonth, 100.0 * count(*) FILTER (WHERE l_linestatus = 'O') / count(*) AS o, 100.0 * count(*) FILTER (WHERE l_linestatus <> 'O') / count(*) AS f FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipmonth, l_linestatus FROM lineitem) GROUP BY 1)
+SELECT bool_and(o >= 0 AND f >= 0) AND min(o + f) >= 99.5 AND max(o + f) <= 100.5 AS stackable FROM p""")
+def chart_stackable(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(recipes.month("l_shipdate").alias("period"))
+    shares = lines.agg((100.0 * F.count_if(F.col("l_linestatus") == "O") / F.count("*")).alias("o"), (100.0 * F.count_if(F.col("l_linestatus") != "O") / F.count("*")).alias("f"))
+    return ranking.stackable(shares, ["o", "f"])
