@@ -82,3 +82,12 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF).toPandas()
     assert packed.groupby("sequence_id").length.sum().map(lambda n: n & (n - 1) == 0).all()
     assert np.isin(packed.doc_id, list(before)).all()
+
+
+def test_stage_keeps_each_group_whatever_its_ids(spark):
+    """Unrelated texts without doc_id, copies without doc_id of a kept text, and two texts under one doc_id."""
+    texts = [" ".join(f"{name}{k}" for k in range(40)) for name in ("red", "green", "blue", "black", "white")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " end"), (1, texts[2]), (None, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[4] + " end")]
+    kept = stages.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    groups = sorted((r.doc_id or 0, next(k for k, t in enumerate(texts) if r.text.startswith(t))) for r in kept)
+    assert groups == [(0, 0), (0, 1), (1, 2), (2, 3), (2, 4)]

@@ -102,6 +102,11 @@ def within(x: Column, y: Column) -> Column:
     return (F.greatest(*apart) <= WIDE_RADIUS) & (F.bit_count(x.bitwiseXOR(y)) <= WIDE_RADIUS)
 
 
+def class_of(text: Column) -> Column:
+    """Tells equal texts; a null is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
     """(vertex, root) of every linked class but the roots; shared has (key, cls, fp) of buckets with several classes."""
     rooted = done = failed = None
@@ -139,9 +144,10 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         centres_of_bucket *= GROWTH
 
 
-def similar_documents(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) of every row of docs; component_id is the least doc_id of its group of similar texts."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
+def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, cls) of every row of docs, and (cls, first, root) of every class of equal texts; first is the class's least
+    doc_id, root tells its group of similar texts."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), class_of(F.col(text)).alias("cls"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     drawn = materialise(rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.fp", "s.keys"))
     classes = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     cells = classes.select(F.explode("keys").alias("key"), "cls", "fp")
@@ -151,7 +157,13 @@ def similar_documents(docs: DataFrame, n: int = WORDS, least: float = LEAST, tex
     sets = materialise(held.select("cls", packed_set(F.col("text"), n).alias("hashes")))
     rooted = link_classes(shared, sets, least)
     if rooted is None:
-        return drawn.join(classes.select("cls", F.col("first").alias("component_id")), "cls").select("doc_id", "component_id")
+        return drawn.select("doc_id", "cls"), classes.select("cls", "first", F.col("cls").alias("root"))
     placed = classes.join(rooted, classes.cls == rooted.vertex, "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    return drawn.select("doc_id", "cls"), placed
+
+
+def similar_documents(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of every row of docs; component_id is the least doc_id of its group of similar texts."""
+    rows, placed = similar_classes(docs, n, least, text, doc_id)
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return drawn.select("doc_id", "cls").join(placed.join(ids, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")
+    return rows.join(placed.join(ids, "root").select("cls", "component_id"), "cls").select("doc_id", "component_id")
