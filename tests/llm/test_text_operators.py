@@ -179,6 +179,20 @@ def test_html_blocks():
     assert html_extraction.main_text("")[0] == "" and html_extraction.main_text("<p")[0] is None
 
 
+def test_html_wrappers_keep_their_article():
+    """Layout classes are no sidebars, and an article inside a dropped wrapper stays, but not one among comments."""
+    for wrapper in ('div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="content with-nav"', 'div class="entry-header"', 'form id="aspnetForm"', 'div class="sidebar"', 'div class="widget banner"'):
+        name = wrapper.split()[0]
+        page = f"<body><nav>m</nav><{wrapper}><article><p>story</p></article></{name}><div class='site-footer'>f</div></body>"
+        assert html_extraction.main_text(page) == ("story", []), wrapper
+    assert html_extraction.main_text('<article class="post related-posts"><div class="entry-header">title</div>own</article>') == ("title\nown", [])
+    assert html_extraction.main_text('<form><div>whole page</div><button>go</button></form>') == (None, ["whole page"])
+    assert html_extraction.main_text('<div class="layout has-sidebar"><p>open</p><div class="sidebar">s</div><div class="ad-slot">a</div></div>') == (None, ["open"])
+    talk = '<div class="comments"><article>me too</article></div><aside><article>teaser</article></aside>'
+    assert html_extraction.main_text(f"<article>story{talk}</article>{talk}") == ("story", [])
+    assert html_extraction.main_text(f"<p>story</p>{talk}") == (None, ["story"])
+
+
 def test_html_suffix_array_removes_what_pages_share(spark):
     notice = "Welcome to our site please read these terms of use before you go on"
     rows = [(k, f"http://h.example/{k}", f"<body><div>{notice}</div><div>story {k} tells of number {k * 7}</div></body>") for k in range(6)]

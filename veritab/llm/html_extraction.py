@@ -40,47 +40,67 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form head button dialog menu object audio video canvas map fieldset".split())
-NOT_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menus?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|comments?|comment-?list|disqus|replies|related|share|sharing|social|breadcrumbs?|pagination|pager|widget|toolbar|skip-?link|login|signup|search)(?:$|[\s_-])", re.I)
+#: A class token or id that names such a part, as a whole: `site-footer` and `ad-slot`, not `has-sidebar` or `entry-header`.
+NOT_TEXT = re.compile(
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|desktop|sticky|fixed|floating|user|reader|post|article|blog|google|in)[-_]+)*"
+    r"(?:ads?|advert\w*|sponsor\w*|promos?|promotions?|promoted|banner|nav|navbar|navigation|menus?|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|comments?|disqus|replies|related|share|sharing|social|breadcrumbs?|pagination|pager|widgets?|toolbar|skip-?link|login|signup|search)"
+    r"(?:[-_]+(?:container|wrapper|wrap|box|bar|area|block|list|section|inner|content|body|unit|slot|label|links?|icons?|buttons?|btn|form|items?|banner|notice|consent|message|popup|modal|menu|nav|navigation|sidebar|widgets?|media|posts?|articles?|stories|thread|\d+))*",
+    re.I,
+)
+HEADER = re.compile(r"(?:(?:site|global|top|main|mobile|sticky|fixed)[-_]+)*header(?:[-_]+(?:container|wrapper|wrap|inner|bar|area))*", re.I)
+#: Parts that hold articles of their own, which are not the page's.
+OTHERS = re.compile(r"(?:\w+[-_]+)?(?:comments?|repl(?:y|ies)|disqus|related)(?:[-_]+\w+)*", re.I)
+#: An article element so named is itself no text.
+NO_ARTICLE = re.compile(r"(?:comments?|repl(?:y|ies)|ads?|advert\w*|sponsored)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 
 
-def judged(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """(dropped, article) of an element."""
-    dropped, article = name in DROPPED or name == "header" and not in_article, name in ("article", "main")
+def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """(dropped, article) of an element; dropped is 2 where articles inside are not the page's either."""
+    dropped, article = int(name in DROPPED or name == "header" and not in_article), name in ("article", "main")
+    named: list[str] = []
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if key in ("class", "id"):
-                dropped |= bool(NOT_TEXT.search(value)) and name not in ("html", "body")
+                named += value.split()
             elif key == "role":
-                dropped |= value in ROLES
+                dropped = max(dropped, value in ROLES)
                 article |= value in ("main", "article")
             elif key == "itemprop":
                 article |= value == "articlebody"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-                dropped = True
-    return dropped, article
-
-
-def blocks(page: str) -> list[tuple[int, str]]:
-    """(depth of article elements around it, text) of each block that is not dropped; main counts as half an article."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, article depth: of the element and all around it
+                dropped = 2
+    if name == "aside":
+        dropped = 2
+    if article:
+        return (2 if dropped == 2 or any(map(NO_ARTICLE.fullmatch, named)) else 0), True
+    if named and name not in ("html", "body"):
+        for x in named:
+            if NOT_TEXT.fullmatch(x):
+                dropped = max(dropped, 2 if OTHERS.fullmatch(x) else 1)
+            elif not in_article and HEADER.fullmatch(x):
+                dropped = max(dropped, 1)
+    return dropped, False
+
+
+def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, str]]:
+    """(rank, depth of article elements around it, text) of each block that is not dropped; main counts as half an article.
+
+    The rank is 0, or of an article inside something dropped how that is dropped, 1 or 2."""
+    out: list[tuple[int, int, str]] = []
+    stack: list[tuple[str, int, int, int]] = []  # name, dropped, article depth, rank: of the element and all around it
     parts: list[str] = []
     at = 0
 
     def flush() -> None:
         if parts:
-            dropped, depth = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            _, dropped, depth, rank = stack[-1] if stack else ("", 0, 0, 0)
             if not dropped and (text := " ".join(html.unescape("".join(parts)).split())):
-                out.append((depth, text))
+                out.append((rank, depth, text))
             parts.clear()
 
-    def pop_to(i: int) -> None:
-        flush()
-        del stack[i:]
-
     for m in MARKUP.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
@@ -94,7 +114,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 flush()
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if found is not None:
-                if stack[found:][0][1] or name in BLOCKS or stack[-1][1]:
+                if stack[found][1] or stack[found][3] or name in BLOCKS or stack[-1][1]:
                     flush()
                 del stack[found:]
             continue
@@ -111,11 +131,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     break
         if name in VOID or m[4].endswith("/") and name not in BLOCKS:
             continue
-        around = stack[-1] if stack else ("", False, 0)
-        dropped, article = judged(name, m[4], around[2] > 0)
-        if dropped and not around[1]:
+        _, around, depth, rank = stack[-1] if stack else ("", 0, 0, 0)
+        dropped, article = judged(name, m[4], depth > 0)
+        if name == "form" and keep_forms:
+            dropped = 0
+        if around and article and not dropped:
+            flush()
+            rank, depth, around = max(rank, around), 0, 0
+        elif dropped and not around:
             flush()
-        stack.append((name, around[1] or dropped, around[2] + (1 if name == "main" else 2) * article))
+        stack.append((name, max(around, dropped), depth + (1 if name == "main" else 2) * article, rank))
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -123,13 +148,18 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def main_text(page: str) -> tuple[str | None, list[str]]:
-    """The article's text, or None and the page's open blocks."""
+    """The article's text, or None and the page's open blocks.
+
+    An article inside something dropped is the page's if no other is; one among comments or asides only if there is no other
+    text. A page of which nothing stays is read again with its forms, since some pages are wrapped in one."""
     found = blocks(page)
-    deepest = max((d for d, _ in found), default=0)
-    if deepest:
-        inside = 2 if deepest >= 2 else 1
-        return "\n".join(t for d, t in found if d >= inside), []
-    return (None, [t for _, t in found]) if found else ("", [])
+    for rank in range(3):
+        deepest = max((d for r, d, _ in found if r == rank), default=0)
+        if deepest and (rank < 2 or not any(r < 2 for r, _, _ in found)):
+            inside = 2 if deepest >= 2 else 1
+            return "\n".join(t for r, d, t in found if r == rank and d >= inside), []
+    opened = [t for _, d, t in found if not d] or [t for _, d, t in blocks(page, keep_forms=True) if not d]
+    return (None, opened) if opened else ("", [])
 
 
 def parsed(page: Column) -> Column:
