@@ -204,6 +204,24 @@ def test_html_suffix_array_removes_what_pages_share(spark):
     assert html_extraction.unique_runs(alike) == [b[0] for _, b in alike]
 
 
+def test_html_counts_runs_over_the_whole_host(spark):
+    """A notice on three of 300 pages goes, however the host's tokens are dealt; one on two pages or on other hosts stays."""
+    draw = random.Random(5)
+    story = lambda: " ".join(f"w{draw.getrandbits(40)}" for _ in range(1000))
+    notice, rare = ("the shop is closed on the second friday of the month", "the pool is open on the first sunday of the year")
+    at = {7: notice, 120: notice, 250: notice, 30: rare, 200: rare}
+    stories = [story() for _ in range(303)]
+    rows = [(k, f"http://h.example/{k}", f"<p>{stories[k]}</p><p>{at.get(k, '')}</p>") for k in range(300)]
+    rows += [(k, f"http://h{k}.example/", f"<p>{stories[k]}</p><p>{rare}</p>") for k in range(300, 303)]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == stories[k] + (f"\n{rare}" if k in (30, 200) or k >= 300 else "") for k in range(303))
+
+
+def test_html_window_keys_travel_whole():
+    bits = np.sort(np.random.default_rng(1).integers(0, 2**40, 1000, dtype=np.uint64))
+    assert (html_extraction.unpacked(html_extraction.planes(bits)) == bits).all()
+
+
 def test_window_ranks_against_brute_force():
     draw = random.Random(2)
     tokens = [draw.randint(0, 3) for _ in range(400)]

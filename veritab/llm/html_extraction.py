@@ -3,12 +3,12 @@
 A page is cut into blocks of text at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are dropped by their element or its class, id or role; blocks inside the
 page's article (or main) element are its text. Where a page has no such element, its blocks are open, and the open pages
-of a host decide together: their token streams are concatenated, suffixes are sorted by their first `MIN_RUN` tokens with
-prefix doubling, runs that begin alike on `MIN_PAGES` different pages are boilerplate, covered tokens are removed, and
-unique runs are kept. A page that would lose everything is a copy, not boilerplate, and keeps its text.
+of a host decide together: windows of `MIN_RUN` tokens are keyed with prefix doubling, keys are sorted, and windows on
+`MIN_PAGES` different pages of the whole host are boilerplate; covered tokens are removed, and unique runs are kept. A page
+that would lose everything keeps its text.
 
-A host's open pages are dealt to shards of about `SHARD_TOKENS` tokens, so no host meets in one task; a menu or notice
-repeats within each shard. Text inside an article is never taken for boilerplate, even if other pages have it too.
+No host meets in one task: sorted keys of 40 bits are dealt to buckets by key, and the few streams with keys that meet there
+are counted again by whole keys. Exact copies of a page travel once a task.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; a page_id given twice is one
 page to the repeat count and two rows of the result. Columns other than page_id, url and html are never read.
@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm._common import materialise, table
+from veritab.llm._common import PASS_CHARS, materialise, mix, table
 
 MIN_RUN = 8
 MIN_PAGES = 3
-SHARD_TOKENS = 200_000
+#: Windows are dealt to so many buckets at least, and to one for so many pages.
+LEAST_BUCKETS = 64
+BUCKET_PAGES = 10_000
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|noscript|template|svg|iframe|title|select|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -163,12 +165,13 @@ def main_text(page: str) -> tuple[str | None, list[str]]:
 
 
 def parsed(page: Column) -> Column:
-    """struct(text, open): text is null where the open blocks are to be decided."""
+    """struct(fixed, blocks): fixed tells that the blocks are an article's."""
 
-    @F.arrow_udf("text string, open array<string>")
+    @F.arrow_udf("fixed boolean, blocks array<string>")
     def parse(pages: pa.Array) -> pa.Array:
         rows = [main_text(x or "") for x in pages.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["text", "open"])
+        found = [r[1] if r[0] is None else [t for t in r[0].split("\n") if t] for r in rows]
+        return pa.StructArray.from_arrays([pa.array([r[0] is not None for r in rows], pa.bool_()), pa.array(found, pa.list_(pa.string()))], names=["fixed", "blocks"])
 
     return parse(page)
 
@@ -195,7 +198,7 @@ def left(keep: np.ndarray) -> np.ndarray:
 
 
 def unique_runs(pages: list[tuple[object, list[str]]]) -> list[str]:
-    """The text of each (page, open blocks) without runs that other pages of the shard share."""
+    """The text of each (page, open blocks) without runs that `MIN_PAGES` of them share, in memory; `decide` does it for hosts."""
     numbers: dict[str, int] = {}
     stream: list[int] = []
     owner: list[int] = []
@@ -232,26 +235,130 @@ def unique_runs(pages: list[tuple[object, list[str]]]) -> list[str]:
     return out
 
 
-def decide(open_pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(page_id, url, text) of pages (page_id, url, open), each host's dealt to shards by its number of tokens."""
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    size = F.aggregate("open", F.lit(0).cast("long"), lambda n, b: n + F.size(F.split(b, " ")))
-    pages = materialise(open_pages.select("page_id", "url", "open", host.alias("host"), size.alias("size")))
-    shards = pages.groupBy("host").agg(F.ceil(F.sum("size") / shard_tokens).alias("shards"))
-    dealt = pages.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id"), F.greatest("shards", F.lit(1))))
+def window_keys(streams: list[str], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the stream, key) of every window of `MIN_RUN` tokens, by prefix doubling of hashes of host and token."""
+    words = [x.split(" ") if x else [] for x in streams]
+    n = np.array([len(w) for w in words], np.int64)
+    page = np.repeat(np.arange(len(n)), n)
+    if not len(page):
+        return page, np.empty(0, np.uint64)
+    key = mix(pd.util.hash_array(np.array([w for x in words for w in x], object)) ^ mix(hosts.view(np.uint64))[page])
+    step = 1
+    while step < MIN_RUN:
+        after = np.zeros_like(key)
+        after[:-step] = key[step:]
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + after)
+        step *= 2
+    whole = np.arange(len(page)) + MIN_RUN <= np.cumsum(n)[page]
+    return page[whole], key[whole]
+
+
+def short(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, 40 bits) of keys."""
+    return keys % np.uint64(buckets), keys >> np.uint64(24)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The differences of sorted numbers of 40 bits, byte by byte of all, so the empty high bytes lie together."""
+    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, -1).T
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def candidates(streams: DataFrame, buckets: int) -> DataFrame:
+    """(cls, bits) of short keys that `MIN_PAGES` classes of equal streams or more have; streams has (cls, host, stream).
+
+    Only sorted short keys and places travel, so a hot host is spread over all buckets."""
+
+    def pack(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch[~batch.cls.duplicated() & ~batch.cls.isin(seen)]
+            seen.update(batch.cls)
+            size = batch.stream.str.len().to_numpy()
+            for _, part in batch.groupby(np.minimum(np.cumsum(size) // PASS_CHARS, np.arange(len(batch)))):
+                for lo in range(0, len(part), 1 << 16):
+                    rows = part[lo : lo + (1 << 16)]
+                    page, key = window_keys(rows.stream.tolist(), rows.host.to_numpy())
+                    bucket, bits = short(key, buckets)
+                    order = np.lexsort((page, bits, bucket))
+                    bucket, bits, page = bucket[order], bits[order], page[order]
+                    cut = np.flatnonzero(np.diff(bucket)) + 1
+                    out = []
+                    for b, k, p in zip(np.split(bucket, cut), np.split(bits, cut), np.split(page, cut), strict=True):
+                        if len(b):
+                            used, at = np.unique(p, return_inverse=True)
+                            out.append((int(b[0]), rows.cls.to_numpy()[used].tobytes(), planes(k), at.astype("<u2").tobytes()))
+                    yield pd.DataFrame(out, columns=["bucket", "classes", "bits", "places"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.concatenate([unpacked(x) for x in rows.bits])
+        cls = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(p, "<u2")] for c, p in zip(rows.classes, rows.places, strict=True)])
+        order = np.lexsort((cls, bits))
+        bits, cls = bits[order], cls[order]
+        new = np.concatenate([[True], (np.diff(bits) != 0) | (np.diff(cls) != 0)])
+        bits, cls = bits[new], cls[new]
+        times = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], np.diff(bits) != 0])), len(bits)))
+        often = np.repeat(times >= MIN_PAGES, times)
+        return pd.DataFrame({"cls": cls[often], "bits": bits[often].astype(np.int64)})
+
+    packed = streams.mapInPandas(pack, "bucket long, classes binary, bits binary, places binary")
+    return packed.groupBy("bucket").applyInPandas(meet, "cls long, bits long")
+
+
+def kept_keys(stream: Column, host: Column, bits: Column) -> Column:
+    """The whole keys of a stream's different windows whose bits are among `bits`."""
+
+    @F.pandas_udf("array<long>")
+    def keys(streams: pd.Series, hosts: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for x, h, w in zip(streams, hosts, wanted, strict=True):
+            key = np.unique(window_keys([x], np.array([h], np.int64))[1])
+            out.append(key[np.isin(key >> np.uint64(24), np.asarray(w, np.int64).astype(np.uint64))].view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return keys(stream, host, bits)
+
+
+def without(blocks: list[str], host: int, keys: np.ndarray) -> str:
+    """The blocks' text without the windows of keys; a page that would lose everything keeps its text."""
+    sizes = [b.count(" ") + 1 for b in blocks]
+    start = np.flatnonzero(np.isin(window_keys([" ".join(blocks)], np.array([host], np.int64))[1].view(np.int64), keys))
+    edge = np.zeros(sum(sizes) + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + MIN_RUN, -1)
+    keep = np.split(np.cumsum(edge[:-1]) == 0, np.cumsum(sizes)[:-1])
+    texts = [" ".join([w for w, k in zip(b.split(" "), left(k), strict=True) if k]) for b, k in zip(blocks, keep, strict=True)]
+    return "\n".join([t for t in texts if t] or blocks)
 
-    def runs(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["page_id", "url"], na_position="first")
-        return pd.DataFrame({"page_id": shard.page_id, "url": shard.url, "text": unique_runs([(p, list(b)) for p, b in zip(shard.page_id, shard.open, strict=True)])})
 
-    return dealt.select("page_id", "url", "open", "host", "shard").groupBy("host", "shard").applyInPandas(runs, "page_id long, url string, text string")
+def repeated(pages: DataFrame, buckets: int) -> DataFrame:
+    """(cls, keys) of the streams with windows that stand on `MIN_PAGES` pages of their host; pages has (page_id, cls, host, stream)."""
+    met = materialise(candidates(pages.select("cls", "host", "stream"), buckets))
+    wanted = materialise(met.groupBy("cls").agg(F.collect_set("bits").alias("bits")))
+    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
+    named = held.select("cls", F.coalesce(F.xxhash64(F.lit("id"), "page_id"), "cls").alias("page"), F.explode("keys").alias("key"))
+    often = named.select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES).select("key")
+    return named.select("cls", "key").distinct().join(often, "key").groupBy("cls").agg(F.collect_list("key").alias("keys"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
-    read = materialise(pages.select("page_id", "url", parsed(F.col("html")).alias("r")).select("page_id", "url", "r.*"))
-    done = read.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    found = done.unionByName(decide(read.where(F.col("text").isNull()).select("page_id", "url", "open")))
+    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+    read = pages.select("page_id", "url", F.xxhash64(name).alias("host"), parsed(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
+    read = read.withColumn("cls", F.xxhash64("host", "fixed", "blocks"))
+    streams = read.where(~F.col("fixed")).select("page_id", "cls", "host", F.array_join("blocks", " ").alias("stream"))
+    marks = materialise(repeated(streams, max(LEAST_BUCKETS, pages.count() // BUCKET_PAGES)))
+
+    @F.pandas_udf("string")
+    def cut(blocks: pd.Series, host: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([None if k is None else without(list(b), h, np.asarray(k, np.int64)) for b, h, k in zip(blocks, host, keys, strict=True)], dtype=object)
+
+    found = read.join(marks, "cls", "left").select("page_id", "url", F.coalesce(cut("blocks", "host", "keys"), F.array_join("blocks", "\n")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
