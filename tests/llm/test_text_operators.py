@@ -217,6 +217,19 @@ def test_html_counts_runs_over_the_whole_host(spark):
     assert all(found[k] == stories[k] + (f"\n{rare}" if k in (30, 200) or k >= 300 else "") for k in range(303))
 
 
+def test_html_copies_count_once(spark):
+    """Five near copies, four exact ones and a page_id given three times keep their body and lose the notice of other pages."""
+    notice = "you are reading the free edition of the town paper so please tell your friends"
+    body = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    bodies = [f"{body('near')} seen {k} times {body('end')}" for k in range(5)] + [body("same")] * 4 + [body(f"own{k}x") for k in range(4)]
+    rows = [(k, f"http://h.example/{k}", f"<div>{notice}</div><p>{b}</p>") for k, b in enumerate(bodies)]
+    twice = "one page read three times on three days has a line that no other page has"
+    again = [(99, "http://h.example/99", f"<p>{twice}</p><p>{body(f'day{k}x')}</p>") for k in range(3)]
+    found = html_extraction.extract(spark.createDataFrame(rows + again, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found if r.page_id != 99} == dict(enumerate(bodies))
+    assert all(r.text.startswith(twice) for r in found if r.page_id == 99)
+
+
 def test_html_window_keys_travel_whole():
     bits = np.sort(np.random.default_rng(1).integers(0, 2**40, 1000, dtype=np.uint64))
     assert (html_extraction.unpacked(html_extraction.planes(bits)) == bits).all()

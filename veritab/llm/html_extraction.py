@@ -5,7 +5,8 @@ forms, scripts, styles and reader comments are dropped by their element or its c
 page's article (or main) element are its text. Where a page has no such element, its blocks are open, and the open pages
 of a host decide together: windows of `MIN_RUN` tokens are keyed with prefix doubling, keys are sorted, and windows on
 `MIN_PAGES` different pages of the whole host are boilerplate; covered tokens are removed, and unique runs are kept. A page
-that would lose everything keeps its text.
+that would lose everything keeps its text. Pages of a host whose streams share 0.8 of their word pairs are copies and count
+once, so copies keep their body and lose the menus that other pages have too.
 
 No host meets in one task: sorted keys of 40 bits are dealt to buckets by key, and the few streams with keys that meet there
 are counted again by whole keys. Exact copies of a page travel once a task.
@@ -26,9 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm._common import PASS_CHARS, materialise, mix, table
+from veritab.llm.simhash_dedup import components
+from veritab.llm.similar_copies import similar_classes
 
 MIN_RUN = 8
 MIN_PAGES = 3
+#: Streams that share so much of their runs of so many words are copies, and one page to the repeat count.
+COPY_SHARE = 0.8
+COPY_WORDS = 2
 #: Windows are dealt to so many buckets at least, and to one for so many pages.
 LEAST_BUCKETS = 64
 BUCKET_PAGES = 10_000
@@ -336,14 +342,28 @@ def without(blocks: list[str], host: int, keys: np.ndarray) -> str:
     return "\n".join([t for t in texts if t] or blocks)
 
 
+def pages_of(held: DataFrame) -> DataFrame:
+    """(cls, page) of streams (cls, page_id, host, stream): near copies on a host, and rows with one page_id, are one page."""
+    texts, placed = similar_classes(held.select("cls", "stream").dropDuplicates(["cls"]), COPY_WORDS, COPY_SHARE, "stream", "cls")
+    rooted = texts.toDF("cls", "text").join(placed.select(F.col("cls").alias("text"), "root"), "text").select("cls", "root")
+    named = materialise(held.select("cls", "page_id", "host").join(rooted, "cls").select("cls", "page_id", "host", F.xxhash64("host", "root").alias("page")).distinct())
+    ids = named.where("page_id IS NOT NULL").groupBy("host", "page_id").agg(F.min("page").alias("b"), F.max("page").alias("hi")).where("b != hi")
+    edges = materialise(named.join(ids, ["host", "page_id"]).where("page != b").select(F.col("page").alias("a"), "b"))
+    pages = named.select("cls", "page").distinct()
+    if edges.isEmpty():
+        return pages
+    linked = components(edges)
+    return pages.join(linked, pages.page == linked.vertex, "left").select("cls", F.coalesce("root", "page").alias("page"))
+
+
 def repeated(pages: DataFrame, buckets: int) -> DataFrame:
     """(cls, keys) of the streams with windows that stand on `MIN_PAGES` pages of their host; pages has (page_id, cls, host, stream)."""
     met = materialise(candidates(pages.select("cls", "host", "stream"), buckets))
     wanted = materialise(met.groupBy("cls").agg(F.collect_set("bits").alias("bits")))
-    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
-    named = held.select("cls", F.coalesce(F.xxhash64(F.lit("id"), "page_id"), "cls").alias("page"), F.explode("keys").alias("key"))
-    often = named.select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES).select("key")
-    return named.select("cls", "key").distinct().join(often, "key").groupBy("cls").agg(F.collect_list("key").alias("keys"))
+    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", "host", "stream", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
+    named = materialise(held.select("cls", "keys").dropDuplicates(["cls"]).select("cls", F.explode("keys").alias("key")))
+    often = named.join(pages_of(held), "cls").select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES)
+    return named.join(often, "key").groupBy("cls").agg(F.collect_list("key").alias("keys"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
