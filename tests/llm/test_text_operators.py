@@ -230,6 +230,20 @@ def test_html_copies_count_once(spark):
     assert all(r.text.startswith(twice) for r in found if r.page_id == 99)
 
 
+def test_html_articles_lose_shared_edges(spark):
+    """A block at the edge of twelve articles goes; one within them, one of nine articles, and copies' own text stay."""
+    lead, tail, few = ("read this and all other stories of our paper in the app", "sign up today for the free letter of our town paper", "this story is part of a row of nine on rivers")
+    quote = "the mayor said that the bridge would be open before the end of may"
+    body = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    page = lambda *parts: "<main>" + "".join(f"<div>{p}</div>" for p in parts if p) + "</main>"
+    rows = [(k, f"http://h.example/{k}", page(lead, few if k < 9 else "", body(f"a{k}x"), quote, body(f"b{k}x"), tail)) for k in range(12)]
+    rows += [(k, f"http://h.example/{k}", page(body("copy"), f"seen {k} times", body("more"))) for k in range(12, 30)]
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert found[k] == "\n".join([few] * (k < 9) + [body(f"a{k}x"), quote, body(f"b{k}x")])
+    assert all(found[k] == "\n".join([body("copy"), f"seen {k} times", body("more")]) for k in range(12, 30))
+
+
 def test_html_window_keys_travel_whole():
     bits = np.sort(np.random.default_rng(1).integers(0, 2**40, 1000, dtype=np.uint64))
     assert (html_extraction.unpacked(html_extraction.planes(bits)) == bits).all()

@@ -8,6 +8,9 @@ of a host decide together: windows of `MIN_RUN` tokens are keyed with prefix dou
 that would lose everything keeps its text. Pages of a host whose streams share 0.8 of their word pairs are copies and count
 once, so copies keep their body and lose the menus that other pages have too.
 
+Article pages take part in the counts with their own blocks. An article loses only whole blocks at its start and end whose
+windows stand on `MIN_ARTICLES` pages of the host; what fewer pages share, or stands between its own blocks, stays.
+
 No host meets in one task: sorted keys of 40 bits are dealt to buckets by key, and the few streams with keys that meet there
 are counted again by whole keys. Exact copies of a page travel once a task.
 
@@ -32,6 +35,8 @@ from veritab.llm.similar_copies import similar_classes
 
 MIN_RUN = 8
 MIN_PAGES = 3
+#: An article loses a block at its edge only if the block's windows stand on so many pages.
+MIN_ARTICLES = 10
 #: Streams that share so much of their runs of so many words are copies, and one page to the repeat count.
 COPY_SHARE = 0.8
 COPY_WORDS = 2
@@ -330,14 +335,19 @@ def kept_keys(stream: Column, host: Column, bits: Column) -> Column:
     return keys(stream, host, bits)
 
 
-def without(blocks: list[str], host: int, keys: np.ndarray) -> str:
-    """The blocks' text without the windows of keys; a page that would lose everything keeps its text."""
+def without(blocks: list[str], host: int, keys: np.ndarray, fixed: bool) -> str:
+    """The blocks' text without the windows of keys; a page that would lose everything keeps its text.
+
+    An article loses whole blocks at its start and end only."""
     sizes = [b.count(" ") + 1 for b in blocks]
     start = np.flatnonzero(np.isin(window_keys([" ".join(blocks)], np.array([host], np.int64))[1].view(np.int64), keys))
     edge = np.zeros(sum(sizes) + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + MIN_RUN, -1)
     keep = np.split(np.cumsum(edge[:-1]) == 0, np.cumsum(sizes)[:-1])
+    if fixed:
+        own = [i for i, k in enumerate(keep) if k.any()]
+        return "\n".join(blocks[own[0] : own[-1] + 1] if own else blocks)
     texts = [" ".join([w for w, k in zip(b.split(" "), left(k), strict=True) if k]) for b, k in zip(blocks, keep, strict=True)]
     return "\n".join([t for t in texts if t] or blocks)
 
@@ -357,13 +367,14 @@ def pages_of(held: DataFrame) -> DataFrame:
 
 
 def repeated(pages: DataFrame, buckets: int) -> DataFrame:
-    """(cls, keys) of the streams with windows that stand on `MIN_PAGES` pages of their host; pages has (page_id, cls, host, stream)."""
+    """(cls, keys) of the streams with windows that stand on `MIN_PAGES` pages of their host, of an article's stream on
+    `MIN_ARTICLES`; pages has (page_id, cls, host, fixed, stream)."""
     met = materialise(candidates(pages.select("cls", "host", "stream"), buckets))
     wanted = materialise(met.groupBy("cls").agg(F.collect_set("bits").alias("bits")))
-    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", "host", "stream", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
-    named = materialise(held.select("cls", "keys").dropDuplicates(["cls"]).select("cls", F.explode("keys").alias("key")))
+    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", "host", "fixed", "stream", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
+    named = materialise(held.select("cls", "fixed", "keys").dropDuplicates(["cls"]).select("cls", "fixed", F.explode("keys").alias("key")))
     often = named.join(pages_of(held), "cls").select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES)
-    return named.join(often, "key").groupBy("cls").agg(F.collect_list("key").alias("keys"))
+    return named.join(often, "key").where(~F.col("fixed") | (F.col("count") >= MIN_ARTICLES)).groupBy("cls").agg(F.collect_list("key").alias("keys"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -371,14 +382,15 @@ def extract(pages: DataFrame) -> DataFrame:
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     read = pages.select("page_id", "url", F.xxhash64(name).alias("host"), parsed(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
     read = read.withColumn("cls", F.xxhash64("host", "fixed", "blocks"))
-    streams = read.where(~F.col("fixed")).select("page_id", "cls", "host", F.array_join("blocks", " ").alias("stream"))
+    streams = read.select("page_id", "cls", "host", "fixed", F.array_join("blocks", " ").alias("stream"))
     marks = materialise(repeated(streams, max(LEAST_BUCKETS, pages.count() // BUCKET_PAGES)))
 
     @F.pandas_udf("string")
-    def cut(blocks: pd.Series, host: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else without(list(b), h, np.asarray(k, np.int64)) for b, h, k in zip(blocks, host, keys, strict=True)], dtype=object)
+    def cut(blocks: pd.Series, host: pd.Series, keys: pd.Series, fixed: pd.Series) -> pd.Series:
+        rows = zip(blocks, host, keys, fixed, strict=True)
+        return pd.Series([None if k is None else without(list(b), h, np.asarray(k, np.int64), f) for b, h, k, f in rows], dtype=object)
 
-    found = read.join(marks, "cls", "left").select("page_id", "url", F.coalesce(cut("blocks", "host", "keys"), F.array_join("blocks", "\n")).alias("text"))
+    found = read.join(marks, "cls", "left").select("page_id", "url", F.coalesce(cut("blocks", "host", "keys", "fixed"), F.array_join("blocks", "\n")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
