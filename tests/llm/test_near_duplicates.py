@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from veritab.llm import simhash_dedup as m
-from veritab.llm import stages
+from veritab.llm import stages, word_tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,20 @@ def test_stage_keeps_each_group_whatever_its_ids(spark):
     kept = stages.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     groups = sorted((r.doc_id or 0, next(k for k, t in enumerate(texts) if r.text.startswith(t))) for r in kept)
     assert groups == [(0, 0), (0, 1), (1, 2), (2, 3), (2, 4)]
+
+
+def test_pipeline_packs_one_of_each_group(spark):
+    """run() packs every document that the two classifiers keep, but for copies: by brute force over their whole shingle sets."""
+    from test_similar_copies import groups
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, SF)
+    clean = docs.select("doc_id", "text").toPandas().sort_values("doc_id")
+    kept = set(groups(clean.doc_id.tolist(), clean.text.tolist()))
+    packed = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(packed.doc_id) == kept
+    library = word_tokens.tokenizer(word_tokens.vocabulary())
+    lengths = packed.groupby("doc_id").length.sum()
+    expected = {i: len(library.encode(x, add_special_tokens=False).ids) + 1 for i, x in zip(clean.doc_id, clean.text, strict=True) if i in kept}
+    assert lengths.to_dict() == expected
