@@ -5,11 +5,13 @@ costs -log2 of its share in the longest context that has seen it, plus the escap
 have not; order -1 is uniform over 256 bytes. The statistics are frozen after training, so a text's code length under
 each language is exact, and the shortest one names the language.
 
-Training takes whole texts of at most `docs_per_language` documents per language, those with the smallest hashes of
-doc_id; everything else covers all rows. Texts are lower-cased first.
+Training takes whole texts of at most `DOCS_PER_LANGUAGE` documents per language and `TRAINING_DOCS` in all (with many
+languages each has fewer, but one at least), those with the smallest hashes of doc_id and text; everything else covers all
+rows. Texts are lower-cased first.
 
 Defined results: a null text or one without a letter is `und` with score 0; with no training rows every text is `und`.
-Repeated rows give repeated results, and columns other than the ones named are never read.
+A row without text, doc_id or lang is never learned from, and a document given several times is learned once. Repeated rows
+give repeated results, and columns other than the ones named are never read.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veritab.llm._common import passes, table
+from veritab.llm._common import materialise, passes, slices, table
 
 DOCS_PER_LANGUAGE = 600
-#: A table with more language tags than this is taken as damaged.
-MAX_LANGUAGES = 256
+TRAINING_DOCS = 38_400
 ORDER = 3
 PAD = b"\0" * ORDER
 #: Bytes of evidence at most that the posterior counts, so that it stays informative on long texts.
@@ -91,21 +92,37 @@ class ContextTree:
         return np.where(keys[at] == wanted, values[at], default).astype(np.float32)
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, ContextTree]:
-    """Context trees from at most docs_per_language whole documents of each language. The counts that reach the driver
-    are those of the bounded sample."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    ids = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(F.col(doc_id)).alias("_h"))
-    first = Window.partitionBy("_lang").orderBy("_h", "_id")
-    chosen = ids.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= docs_per_language).select("_id").distinct()
-    sample = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id", "left_semi")
-    counted = sample.select("lang", "text").mapInArrow(count_grams, GRAMS).groupBy("lang", "n", "code").agg(F.sum("times").alias("times")).toArrow()
-    langs = np.array(counted["lang"].to_pylist(), object)
-    n, code, times = (counted[k].to_numpy() for k in ("n", "code", "times"))
-    names = sorted(set(langs))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} language tags; {MAX_LANGUAGES} at most")
-    return {x: ContextTree({k: (code[m], times[m]) for k in range(1, ORDER + 2) for m in [(langs == x) & (n == k)]}) for x in names}
+def sample(known: DataFrame, docs_per_language: int, training_docs: int) -> DataFrame:
+    """(lang, text) of the documents with the smallest hashes of each language, from (lang, doc_id, text).
+
+    A language's share of the hashes' range follows from its number of different documents, so that the window which ranks
+    them sees little more than the sample, however many rows a language has."""
+    hashed = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    most = F.greatest(F.lit(1), F.least(F.lit(docs_per_language), F.floor(training_docs / F.greatest(F.lit(1), F.count("*").over(Window.partitionBy())))))
+    share = materialise(counts.withColumn("most", most).select("lang", "most", ((F.col("most") + 6 * F.sqrt("most") + 30) * 1.2 / F.col("n")).alias("share")))
+    low = F.shiftrightunsigned("h", 1) / float(1 << 63)
+    drawn = hashed.join(share, "lang").where(low < F.col("share")).groupBy("lang", "h").agg(F.first("most").alias("most"), F.first("text").alias("text"))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 1), "h")))
+    return ranked.where("rank <= most").select("lang", "text")
+
+
+def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", training_docs: int = TRAINING_DOCS) -> dict[str, ContextTree]:
+    """Context trees from a bounded sample of whole documents of each language; what reaches the driver are the counts of
+    that sample."""
+    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).dropna()
+    counted = sample(known, docs_per_language, training_docs).mapInArrow(count_grams, GRAMS).groupBy("lang", "n", "code").agg(F.sum("times").alias("times")).toArrow()
+    if not counted.num_rows:
+        return {}
+    counted = counted.sort_by([("lang", "ascending"), ("n", "ascending"), ("code", "ascending")])
+    names = counted["lang"].combine_chunks().dictionary_encode()
+    lang_at, n, code, times = names.indices.to_numpy(), *(counted[k].to_numpy() for k in ("n", "code", "times"))
+    out = {}
+    for k, name in enumerate(names.dictionary.to_pylist()):
+        lo, hi = np.searchsorted(lang_at, [k, k + 1])
+        cut = lo + np.searchsorted(n[lo:hi], np.arange(1, ORDER + 3))
+        out[name] = ContextTree({m: (code[a:b], times[a:b]) for m, a, b in zip(range(1, ORDER + 2), cut[:-1], cut[1:], strict=True)})
+    return out
 
 
 def identify(texts: list[str | None], trees: dict[str, ContextTree]) -> tuple[list[str], list[float]]:
@@ -133,7 +150,11 @@ def language_of(text: Column, trees: dict[str, ContextTree]) -> Column:
 
     @F.arrow_udf("lang_pred string, score double")
     def language(texts: pa.Array) -> pa.Array:
-        names, scores = identify(texts.to_pylist(), shared.value)
+        names, scores = [], []
+        for _, some in slices(texts):
+            found = identify(some, shared.value)
+            names += found[0]
+            scores += found[1]
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return language(text)

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,16 +137,21 @@ def fit(labelled: DataFrame) -> Model:
         for batch in batches:
             z = model.fourier(matrix(batch.column(0)))
             total += z.T @ np.hstack([z, batch.column(1).to_numpy(zero_copy_only=False)[:, None]])
-        yield pa.record_batch({"m": pa.array([total.tobytes()], pa.binary())})
+        yield pa.record_batch({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total, least = np.zeros((size, size + 1)), None
         for batch in batches:
-            for m in batch.column(0):
+            for part, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total += np.frombuffer(m.as_py()).reshape(size, size + 1)
-        yield pa.record_batch({"m": pa.array([total.tobytes()], pa.binary())})
-
-    sums = labelled.where(part).select("stats", "label").mapInArrow(normal, "m binary").repartition(8).mapInArrow(together, "m binary").collect()
+                least = part if least is None else min(least, part)
+        if least is not None:
+            yield pa.record_batch({"part": pa.array([least], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
+
+    # Sums of doubles depend on their order: they meet by partition number, in order.
+    shape = "part long, m binary"
+    dealt = labelled.where(part).select("stats", "label").mapInArrow(normal, shape).repartition(8, F.pmod("part", F.lit(8))).sortWithinPartitions("part")
+    sums = sorted(dealt.mapInArrow(together, shape).collect(), key=lambda r: r.part)
     total = sum(np.frombuffer(r.m).reshape(size, size + 1) for r in sums)
     penalty = RIDGE * np.eye(size)
     penalty[-1, -1] = 1e-6

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm._common import bytes_of, materialise, table
+from veritab.llm._common import bytes_of, discard, materialise, table
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -88,9 +88,14 @@ def cell_keys(fp: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), *[groups[g] for g in some]) for k, some in enumerate(chosen)])
 
 
-def near(x: Column, y: Column) -> Column:
-    """No coordinate differs by more than the radius, and then the bits themselves don't."""
-    apart = [F.abs(distance(x, p) - distance(y, p)) for p in SPREAD_PIVOTS]
+def coordinates(fp: Column) -> Column:
+    """A fingerprint's distances to the spread references."""
+    return F.array(*[distance(fp, p).cast("tinyint") for p in SPREAD_PIVOTS])
+
+
+def near(x: Column, y: Column, xs: Column, ys: Column) -> Column:
+    """No stored coordinate (xs, ys) differs by more than the radius, and then the bits themselves don't."""
+    apart = [F.abs(xs[k] - ys[k]) for k in range(len(SPREAD_PIVOTS))]
     return (F.greatest(*apart) <= RADIUS) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
 
 
@@ -99,8 +104,9 @@ def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
     cells = materialise(fps.select(F.explode(cell_keys(F.col("fp"))).alias("key"), "fp"))
     sizes = cells.groupBy("key").count().where("count > 1")
     shared = materialise(cells.join(sizes, "key"))
-    few = shared.where(F.col("count") <= cell_pairs).select("key", "fp")
-    pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    few = shared.where(F.col("count") <= cell_pairs).select("key", "fp", coordinates(F.col("fp")).alias("at"))
+    met = few.toDF("key", "a", "at_a").join(few.toDF("key", "b", "at_b"), "key")
+    pairs = met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"), F.col("at_a"), F.col("at_b"))).select("a", "b")
     many = shared.where(F.col("count") > cell_pairs).select("fp").distinct()
     balls = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(signed(1 << k)).cast("long")) for k in range(64)])
     met = many.select("fp", F.explode(balls).alias("centre")).groupBy("centre").agg(F.collect_list("fp").alias("met")).where(F.size("met") > 1)
@@ -121,10 +127,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
-        edges = materialise(small)
+        last, edges = edges, materialise(small)
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
-            return edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+            out._veritab_path = edges._veritab_path
+            return out
         before = now
 
 

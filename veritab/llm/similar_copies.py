@@ -2,14 +2,16 @@
 
 Texts that share 0.8 of their five-word shingles have SimHashes some ten bits apart, where cells of equal pivot coordinates
 no longer tell pairs apart. Here documents meet that share a band of minima: of `BANDS` bands with `BAND_ROWS` minima each,
-a pair of likeness 0.8 shares at least one with probability 0.99997. A met pair is discarded if a pivot coordinate or the
-SimHashes themselves are more than `WIDE_RADIUS` bits apart (some five deviations beyond a pair at 0.8), and the survivors
-are verified by the exact likeness (intersection over union) of their whole shingle sets.
+a pair of likeness 0.8 shares at least one with probability 0.99997. A met pair is discarded if a pivot coordinate (each
+class carries its table of distances) or the SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
+`SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; both bounds lie five deviations beyond a pair at 0.8.
+The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
 
 Groups of any size are joined without emitting their pairs. In each round every open bucket names a few centres, which are
-verified against the bucket's members of other components; found links merge components. A bucket is closed when all its
-members outside its largest component have been centres, so every link between components that share a bucket is found, and
-work goes to the pairs that could still merge something. The number of centres grows fourfold each round.
+compared with the bucket's members of other components. Of what passes the filter each class first verifies its nearest
+centre alone; links merge components, and only pairs that still lie in two of them are verified after that. A bucket is
+closed when all its members outside its largest component have been centres, so every link between components that share a
+bucket is found. The number of centres grows fourfold each round.
 
 Defined results: null and empty texts, and texts without words, are one group; texts of fewer words than a shingle are their
 whole sequence; equal texts are one class throughout; a null doc_id names a component only if nothing else is in it;
@@ -18,24 +20,35 @@ repeated rows stay repeated. Columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm._common import bytes_of, materialise, mix
-from veritab.llm.simhash_dedup import SPREAD_PIVOTS, components, distance, majority, shingle_hashes
+from veritab.llm._common import bytes_of, discard, materialise, mix
+from veritab.llm.simhash_dedup import SPREAD_PIVOTS, components, coordinates, majority, shingle_hashes
 
 WORDS = 5
 LEAST = 0.8
 BANDS = 20
 BAND_ROWS = 4
 WIDE_RADIUS = 28
+SKETCH_WORDS = 8
+SKETCH_BITS = 64 * SKETCH_WORDS
+#: A pair at 0.8 differs in 51 of 512 places on average, with a deviation of 6.8.
+MOST_APART = 86
 CENTRES = 2
 GROWTH = 4
-#: Odd multipliers: each orders the shingle hashes in its own way.
+#: Odd multipliers: each orders the shingle hashes in its own way. The bands' are whole words, the sketch's half words.
 ORDERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-CHUNK = 512
+SKETCH_ORDERS = (mix(np.arange(1001, 1001 + SKETCH_BITS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+CHUNK = 256
+#: A list of classes with at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+PLACED = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
 def shingle_set(raw: bytes, n: int) -> np.ndarray:
@@ -55,15 +68,33 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def one_bit_minima(h: np.ndarray) -> np.ndarray:
+    """One bit of each of `SKETCH_BITS` minima, as signed longs; like sets agree in (1 + likeness) / 2 of them."""
+    low = mix(h).astype(np.uint32)
+    least = np.full(SKETCH_BITS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(low), CHUNK):
+        np.minimum(least, (low[i : i + CHUNK, None] * SKETCH_ORDERS).min(axis=0), out=least)
+    bits = mix(least.astype(np.uint64) ^ (np.arange(SKETCH_BITS, dtype=np.uint64) << np.uint64(32))) >> np.uint64(63)
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 def sketch(text: Column, n: int) -> Column:
-    """fp, the SimHash of the different shingles, and the band keys."""
+    """fp, the SimHash of the different shingles, the band keys and the one-bit minima."""
 
-    @F.arrow_udf("fp long, keys array<long>")
+    @F.arrow_udf("fp long, keys array<long>, bits array<long>")
     def sketches(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(x, n) for x in bytes_of(texts)]
-        keys = np.concatenate([band_keys(h) for h in sets]) if sets else np.empty(0, np.int64)
-        offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-        return pa.StructArray.from_arrays([pa.array([majority(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))], ["fp", "keys"])
+        prints, keys, bits = [], [], []
+        for x in bytes_of(texts):
+            h = shingle_set(x, n)
+            prints.append(majority(h))
+            keys.append(band_keys(h))
+            bits.append(one_bit_minima(h))
+
+        def lists(rows: list[np.ndarray], size: int) -> pa.Array:
+            flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * size), pa.array(flat))
+
+        return pa.StructArray.from_arrays([pa.array(prints, pa.int64()), lists(keys, BANDS), lists(bits, SKETCH_WORDS)], ["fp", "keys", "bits"])
 
     return sketches(text)
 
@@ -84,7 +115,7 @@ def alike(x: Column, y: Column, least: float) -> Column:
     @F.arrow_udf("boolean")
     def compared(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
-        for a, b in zip(xs.to_pylist(), ys.to_pylist(), strict=True):
+        for a, b in zip(bytes_of(xs), bytes_of(ys), strict=True):
             if min(len(a), len(b)) < least * max(len(a), len(b)):
                 out.append(False)
                 continue
@@ -96,10 +127,16 @@ def alike(x: Column, y: Column, least: float) -> Column:
     return compared(x, y)
 
 
-def within(x: Column, y: Column) -> Column:
-    """No pivot coordinate differs by more than the wide radius, and then the bits themselves don't."""
-    apart = [F.abs(distance(x, p) - distance(y, p)) for p in SPREAD_PIVOTS]
-    return (F.greatest(*apart) <= WIDE_RADIUS) & (F.bit_count(x.bitwiseXOR(y)) <= WIDE_RADIUS)
+def apart(left: str, right: str) -> Column:
+    """The number of one-bit minima in which two rows differ."""
+    return reduce(add, [F.bit_count(F.col(f"{left}.{b}").bitwiseXOR(F.col(f"{right}.{b}"))) for b in PLACED])
+
+
+def within(left: str, right: str) -> Column:
+    """No pivot coordinate differs by more than the wide radius, then not the bits themselves, and then not the minima."""
+    table = [F.abs(F.col(f"{left}.coords")[k] - F.col(f"{right}.coords")[k]) for k in range(len(SPREAD_PIVOTS))]
+    near = (F.greatest(*table) <= WIDE_RADIUS) & (F.bit_count(F.col(f"{left}.fp").bitwiseXOR(F.col(f"{right}.fp"))) <= WIDE_RADIUS)
+    return near & (apart(left, right) <= MOST_APART)
 
 
 def class_of(text: Column) -> Column:
@@ -107,40 +144,76 @@ def class_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def among(rows: DataFrame, few: DataFrame, on: Column, how: str = "left_semi") -> DataFrame:
+    """rows joined with few, whose number of rows is checked before it is broadcast; a longer list is shuffled."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, linked) of pairs (a, b)."""
+    told = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return materialise(told.select("a", "b", alike(F.col("x"), F.col("y"), least).alias("linked")))
+
+
+def merged(rooted: DataFrame | None, told: DataFrame) -> DataFrame | None:
+    """(vertex, root) after the links of told."""
+    found = told.where("linked").select("a", "b")
+    if found.isEmpty():
+        return rooted
+    out = components(found if rooted is None else found.unionAll(rooted.toDF("a", "b")))
+    discard(rooted)
+    return out
+
+
+def label_of(rows: DataFrame, vertex: str, rooted: DataFrame | None, name: str) -> DataFrame:
+    """rows with the column `name`, the root of the class in column vertex."""
+    if rooted is None:
+        return rows.withColumn(name, F.col(vertex))
+    return rows.join(rooted.toDF("_v", "_r"), F.col(vertex) == F.col("_v"), "left").withColumn(name, F.coalesce("_r", vertex)).drop("_v", "_r")
+
+
 def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """(vertex, root) of every linked class but the roots; shared has (key, cls, fp) of buckets with several classes."""
+    """(vertex, root) of every linked class but the roots; shared has (key, cls, fp, coords, b0 ...) of buckets with
+    several classes. Nothing that is bounded by the number of pairs is ever shuffled before the filter."""
     rooted = done = failed = None
     centres_of_bucket = CENTRES
+    traits = ["fp", "coords", *PLACED]
     while True:
+        placed = label_of(shared, "cls", rooted, "label")
         if rooted is None:
-            placed = shared.select("*", F.col("cls").alias("label"), F.lit(1).cast("long").alias("size"))
+            placed = placed.withColumn("size", F.lit(1).cast("long"))
         else:
             sizes = rooted.groupBy("root").agg((F.count("*") + 1).alias("size"))
-            known = rooted.unionAll(rooted.select(F.col("root").alias("vertex"), "root").distinct()).join(sizes, "root")
-            placed = shared.join(known, shared.cls == known.vertex, "left").select("key", "cls", "fp", F.coalesce("root", "cls").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
+            placed = placed.join(sizes, placed.label == sizes.root, "left").select(*placed.columns, F.coalesce("size", F.lit(1)).alias("size"))
         lead = placed.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         opened = materialise(placed.join(lead.select("key", F.col("lead.label").alias("lead")), "key"))
         waiting = opened.where("label != lead")
         if done is not None:
             waiting = waiting.join(done, ["key", "cls"], "left_anti")
         salt = F.pmod(F.xxhash64("cls", F.lit(centres_of_bucket)), F.lit(centres_of_bucket))
-        first = F.min(F.struct("size", F.xxhash64("cls").alias("order"), "cls", "fp", "label"))
-        centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("key", F.col("c.cls").alias("cls"), F.col("c.fp").alias("centre_fp"), F.col("c.label").alias("centre_label")))
+        first = F.min_by(F.struct("cls", "label", *traits), F.struct("size", F.xxhash64("cls")))
+        centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("key", "c.*"))
         if centres.isEmpty():
+            discard(opened, centres)
             return rooted
         named = centres.select("key", "cls").distinct()
         done = named if done is None else done.unionAll(named)
-        met = opened.join(centres.withColumnRenamed("cls", "centre"), "key").where((F.col("label") != F.col("centre_label")) & within(F.col("fp"), F.col("centre_fp")))
-        pairs = met.select(F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b")).distinct()
+        met = opened.alias("m").join(centres.alias("c"), "key").where((F.col("m.label") != F.col("c.label")) & within("m", "c"))
+        one, other = F.greatest("m.cls", "c.cls"), F.least("m.cls", "c.cls")
+        pairs = met.select(one.alias("a"), other.alias("b"), F.col("m.cls").alias("member"), apart("m", "c").alias("apart")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        told = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        told = materialise(told.select("a", "b", alike(F.col("x"), F.col("y"), least).alias("linked")))
-        missed = told.where("not linked").select("a", "b")
+        pairs = materialise(pairs)
+        nearest = pairs.groupBy("member").agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b").distinct()
+        told = verified(materialise(nearest), sets, least)
+        rooted = merged(rooted, told)
+        rest = pairs.select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti")
+        rest = materialise(label_of(label_of(rest, "a", rooted, "la"), "b", rooted, "lb").where("la != lb").select("a", "b"))
+        more = verified(rest, sets, least)
+        rooted = merged(rooted, more)
+        missed = told.unionAll(more).where("not linked").select("a", "b")
         failed = missed if failed is None else failed.unionAll(missed)
-        found = told.where("linked").select("a", "b")
-        if not found.isEmpty():
-            rooted = components(found if rooted is None else found.unionAll(rooted.toDF("a", "b")))
+        discard(opened, pairs, rest)
         centres_of_bucket *= GROWTH
 
 
@@ -148,14 +221,20 @@ def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text:
     """(doc_id, cls) of every row of docs, and (cls, first, root) of every class of equal texts; first is the class's least
     doc_id, root tells its group of similar texts."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), class_of(F.col(text)).alias("cls"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    drawn = materialise(rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.fp", "s.keys"))
-    classes = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    cells = classes.select(F.explode("keys").alias("key"), "cls", "fp")
-    shared = materialise(cells.join(cells.groupBy("key").count().where("count > 1").select("key"), "key"))
-    wanted = shared.select("cls").distinct().join(classes.select("cls", "first"), "cls")
-    held = rows.join(wanted.withColumnRenamed("cls", "wanted"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("wanted")), "left_semi").dropDuplicates(["cls"])
-    sets = materialise(held.select("cls", packed_set(F.col("text"), n).alias("hashes")))
+    drawn = materialise(rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.*"))
+    classes = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    cells = classes.select(F.explode("keys").alias("key"), "cls")
+    often = cells.groupBy("key").count().where("count > 1").select("key")
+    met = materialise(cells.join(often, "key"))
+    wanted = materialise(met.select("cls").distinct().join(classes.drop("keys"), "cls"))
+    traits = wanted.select(F.col("cls").alias("_c"), "fp", coordinates(F.col("fp")).alias("coords"), *[F.col("bits")[k].alias(b) for k, b in enumerate(PLACED)])
+    shared = materialise(met.join(traits, met.cls == traits["_c"]).drop("_c"))
+    named = wanted.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))
+    held = among(rows, named, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("cls") == F.col("_cls")))
+    sets = materialise(held.select("cls", "text").dropDuplicates(["cls"]).select("cls", packed_set(F.col("text"), n).alias("hashes")))
+    discard(met)
     rooted = link_classes(shared, sets, least)
+    discard(shared, sets, wanted)
     if rooted is None:
         return drawn.select("doc_id", "cls"), classes.select("cls", "first", F.col("cls").alias("root"))
     placed = classes.join(rooted, classes.cls == rooted.vertex, "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
