@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm._common import passes, table
-from veritab.llm.word_tokens import MOST_WORDS, Kept, byte_letters, definition, plain_words, specials, tokenizer, vocabulary
+from veritab.llm._common import slices, table
+from veritab.llm.word_tokens import Kept, byte_letters, definition, plain_words, specials, tokenizer, vocabulary
 
 NO_PAIR = 1 << 62
 #: Of a tree node's value; a pre-token may have so many bytes as these bits can count.
@@ -110,7 +110,7 @@ class Encoder:
         self.merges = Merges([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.names = {i: x for x, i in vocab.items()} | {x["id"]: x["content"] for x in definition(path)["added_tokens"]}
         self.special_ids = {x["content"]: x["id"] for x in definition(path)["added_tokens"]}
-        self.kept = Kept(self._words, MOST_WORDS * 2 // 3)
+        self.kept = Kept(self._words)
 
     def ids_of(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token's bytes; words of like length share a pass."""
@@ -209,12 +209,12 @@ def bpe_summary(text: Column, path: str | None = None) -> Column:
         own = encoder(path)
         for texts in batches:
             parts = [[], [], []]
-            whole = [x or "" for x in texts.to_pylist()]
-            for a, b in passes(whole):
-                for n, ids, decoded in own.summaries(whole[a:b]):
+            for _, whole in slices(texts):
+                for n, ids, decoded in own.summaries([x or "" for x in whole]):
                     for part, value in zip(parts, (n, digest(ids), digest(decoded)), strict=True):
                         part.append(value)
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(parts, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        own.kept.clear()
 
     return summary(text)
 

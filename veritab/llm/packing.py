@@ -2,8 +2,9 @@
 
 Documents are encoded and cut into full windows of the largest tier; what remains is routed to the smallest context size
 that holds it. From the largest tier down, each window is filled from shorter tiers, best fit first, and closed by
-cutting one document, so windows are full at a power of two and nothing is padded. What no block of documents could fill
-is carried on, and the last open window of a task is closed by the binary digits of its length. The windows of a block
+cutting one document, the shortest that fits a shorter tier or else the longest of all, so windows are full at a power of
+two and nothing is padded. Only one window of a block can stay open, and its pieces are carried to the next block; the last
+open window of a task is closed by the binary digits of its length. The windows of a block
 are dealt to step groups of `STEP_TOKENS` tokens, by turns in order of attention cost, so groups of a tier cost alike.
 
 Each task packs what it reads, in blocks of bounded size: no shuffle, and a lost task is read and packed again to the same
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm._common import passes, table
+from veritab.llm._common import slices, table
 from veritab.llm.word_tokens import library_ids, vocabulary
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -62,6 +63,9 @@ class Pool:
         """The shortest item, if it is no longer than `below`."""
         return self.take(0) if self.lengths and self.lengths[0] <= below else None
 
+    def longest(self) -> tuple | None:
+        return self.take(-1) if self.lengths else None
+
     def longest_between(self, low: int, high: int) -> tuple | None:
         """The longest item of more than low and at most high."""
         at = bisect_right(self.lengths, high) - 1
@@ -69,7 +73,9 @@ class Pool:
 
 
 def pack_block(pool: Pool, tiers: tuple[int, ...]) -> tuple[list[tuple[int, list]], list]:
-    """Full windows (tier, pieces), and the pieces that could fill none. A piece: (document, start, length)."""
+    """Full windows (tier, pieces), and the pieces of the one window that could not be filled, as the pool was empty.
+
+    A piece: (document, start, length)."""
     full, rest = [], []
     for k, tier in enumerate(tiers):
         low = tiers[k + 1] if k + 1 < len(tiers) else 0
@@ -79,7 +85,7 @@ def pack_block(pool: Pool, tiers: tuple[int, ...]) -> tuple[list[tuple[int, list
             while gap and (item := pool.fitting(min(gap, inner))):
                 window.append(item)
                 gap -= item[2]
-            if gap and (item := pool.shortest(inner)):
+            if gap and (item := pool.shortest(inner) or pool.longest()):
                 doc, start, n = item
                 window.append((doc, start, gap))
                 pool.add((doc, start + gap, n - gap))
@@ -153,9 +159,9 @@ def packer(path: str, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_
             return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(COLUMNS))], names=COLUMNS)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in passes(texts):
-                for doc_id, ids in zip(doc_ids[a:b], words.encode(texts[a:b]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for a, texts in slices(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[a : a + len(texts)], words.encode([x or "" for x in texts]), strict=True):
                     ids += end
                     doc, n = (doc_id, ids), len(ids) // 4
                     whole = n - n % largest
@@ -166,6 +172,7 @@ def packer(path: str, tiers: tuple[int, ...] = TIERS, block_tokens: int = BLOCK_
                     if held >= block_tokens:
                         yield emit(False)
         yield emit(True)
+        words.kept.clear()
 
     return pack
 

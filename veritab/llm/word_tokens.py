@@ -2,7 +2,7 @@
 
 A text whose characters are all plain Latin ones is split here by the vocabulary's own pattern, which gives what the
 library gives; any other text, and one with a special token in it, goes through the library's own steps whole. The kept
-words of a Python worker are dropped when there are `MOST_WORDS` of them, so memory stays bounded.
+words of a Python worker are dropped when they hold `MOST_BYTES`, and at the end of a task, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from array import array
 from collections import Counter
 from functools import lru_cache
 
-MOST_WORDS = 600_000
+MOST_BYTES = 48 << 20
+#: What a kept word takes besides its characters and its value's.
+ENTRY_BYTES = 240
 LONGEST_KEPT = 48
 HOT_WORDS = 8_192
 #: Latin characters whose NFC form is themselves and whose lower case is one character.
@@ -86,8 +88,15 @@ class _Hot(dict):
 class Kept:
     """Values of words, learned in batches and kept within the bounds above."""
 
-    def __init__(self, learn, most: int = MOST_WORDS):
-        self.learn, self.most, self.hot = learn, most, _Hot()
+    def __init__(self, learn, most: int = MOST_BYTES):
+        self.learn, self.most, self.hot, self.held = learn, most, _Hot(), 0
+
+    def clear(self) -> None:
+        self.hot, self.held = _Hot(), 0
+
+    @staticmethod
+    def size_of(value) -> int:
+        return len(value) if isinstance(value, bytes) else sum(len(v) if isinstance(v, str) else 8 for v in value) + 150
 
     def values(self, lists: list[list[str]]) -> list[list]:
         get = self.hot.__getitem__
@@ -98,12 +107,16 @@ class Kept:
             learned = dict(zip(new, self.learn(new), strict=True))
             for i in lacking:
                 found[i] = [learned[w] if x is None else x for w, x in zip(lists[i], found[i], strict=True)]
-            if len(self.hot.rest) + len(new) > self.most:
+            if self.held > self.most:
                 self.hot.rest.clear()
+                self.held = 0
             if not self.hot:
                 common = Counter(w for words in lists for w in words).most_common(HOT_WORDS)
                 self.hot.update((w, learned[w]) for w, _ in common if len(w) <= LONGEST_KEPT)
-            self.hot.rest.update((w, x) for w, x in learned.items() if len(w) <= LONGEST_KEPT)
+            for w, x in learned.items():
+                if len(w) <= LONGEST_KEPT:
+                    self.hot.rest[w] = x
+                    self.held += ENTRY_BYTES + len(w) + self.size_of(x)
         return found
 
 
