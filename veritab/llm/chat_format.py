@@ -81,6 +81,13 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def masked_text(formatted: Column) -> Column:
+    """All text under the loss mask, unescaped, read from the marks of a formatted conversation: what stands between an
+    assistant's mark and the next end. No text can hold a mark, as each is escaped."""
+    said = F.regexp_extract_all(formatted, F.lit(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>\n"), F.lit(1))
+    return F.array_join(F.transform(said, unescape), "")
+
+
 def log_of(conversations: DataFrame) -> DataFrame:
     """Rows by turn as a log: each row is a message that was streamed in one delta.
 
@@ -96,17 +103,12 @@ def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
-    done = render(fold(log_of(own.unionByName(extra)), "block")).select("conv_id", "segments", text_of(F.col("segments")).alias("formatted"))
-    read = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), unescape_each(F.col("segments")).alias("loss"))
+    done = render(fold(log_of(own.unionByName(extra)), "block")).select("conv_id", text_of(F.col("segments")).alias("formatted"))
+    read = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked_text(F.col("formatted")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def unescape_each(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-
-
 #: The same rows from DuckDB; formatted_chars counts the template's marks, the encoded role and the escapes.
 OP4_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -6,11 +6,14 @@ local maxima, and each stretch from one maximum to the next is a phrase, named b
 few neighbours only, so equal substrings get equal names away from their ends, whatever their offset, and one name at the
 top stands for the whole text. A fingerprint holds that name and, for levels 1 to 3, the least hashes of the level's
 phrases, each with its number of occurrence, so it is a multiset sketch. Likeness is the share of common phrases (Dice)
-estimated at the highest level at which both texts have enough phrases.
+estimated at the highest level at which both texts have enough phrases. Every text keeps the same levels.
+
+Documents are dealt by ranges of (doc_id, hash of the text), so rows that share a doc_id, or have none, are split as well;
+only rows equal in both stay together, one after another in one task.
 
 Defined results: a null text is empty; empty texts share one fingerprint and are alike. The next document of the last one
-is the first; of a table of one row, the row itself. Rows with one doc_id are ordered by text. Rows without doc_id come
-first. Columns other than doc_id and text are never read.
+is the first; of a table of one row, the row itself. Rows with one doc_id are ordered by the hash of their text. Rows
+without doc_id come first. Columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm._common import mix, table
+from veritab.llm._common import mix, slices, table
 
-#: (level, hashes kept, phrases that both texts need there, longest text that keeps the level)
-LEVELS = ((1, 16, 0, 512), (2, 24, 12, 4096), (3, 48, 24, 1 << 62))
+#: (level, hashes kept, phrases that both texts need there)
+LEVELS = ((1, 16, 0), (2, 24, 12), (3, 48, 24))
 PASS_CHARS = 400_000
 #: After the first toss has made labels below 128; three more make them below 14, 8 and 6.
 ROUNDS = 3
@@ -121,8 +124,8 @@ def parse(texts: list[str]) -> list[tuple]:
     sizes = np.array([len(texts[i]) for i in rows], np.int64)
     names = np.frombuffer("".join(texts[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    kept = {level: (keep, longest) for level, keep, _, longest in LEVELS}
-    level, chars = 0, sizes
+    kept = {level: keep for level, keep, _ in LEVELS}
+    level = 0
     while len(rows):
         names, starts = collapse(names, starts)
         ends = np.append(starts[1:], len(names))
@@ -131,21 +134,16 @@ def parse(texts: list[str]) -> list[tuple]:
             for i, name in zip(rows[single].tolist(), names[starts[single]].tolist(), strict=True):
                 out[i] = (name ^ level, out[i][1])
             keep_names = np.repeat(~single, ends - starts)
-            names, rows, chars = names[keep_names], rows[~single], chars[~single]
+            names, rows = names[keep_names], rows[~single]
             if not len(rows):
                 break
             starts = np.concatenate([[0], np.cumsum((ends - starts)[~single])[:-1]])
         names, starts = phrases(names, starts)
         level += 1
         if level in kept:
-            keep, longest = kept[level]
-            some = chars <= longest
-            n = np.diff(np.append(starts, len(names)))
-            chosen = names[np.repeat(some, n)]
-            if some.any():
-                found, counts = least(chosen, np.concatenate([[0], np.cumsum(n[some])[:-1]]), keep)
-                for i, hashes, count in zip(rows[some].tolist(), found, counts.tolist(), strict=True):
-                    out[i][1][level] = (hashes, count)
+            found, counts = least(names, starts, kept[level])
+            for i, hashes, count in zip(rows.tolist(), found, counts.tolist(), strict=True):
+                out[i][1][level] = (hashes, count)
     return out
 
 
@@ -169,7 +167,7 @@ def likeness(a: tuple, b: tuple) -> float:
     if not shared:
         return 0.0
     enough = [x for x in shared if min(a[1][x[0]][1], b[1][x[0]][1]) >= x[2]]
-    level, keep, _, _ = (enough or shared)[-1 if enough else 0]
+    level, keep, _ = (enough or shared)[-1 if enough else 0]
     x, y = a[1][level][0], b[1][level][0]
     union = np.union1d(x, y)[:keep]
     common = np.intersect1d(np.intersect1d(x, y), union)
@@ -203,39 +201,71 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     bucket, followed = None, True
     for batch in batches:
-        for b, is_own, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
-            if is_own:
-                if waiting and b == bucket and size >= PASS_CHARS:
+        buckets, owns, ids = (batch.column(k).to_pylist() for k in range(3))
+        for start, texts in slices(batch.column(3)):
+            for k, text in enumerate(texts, start):
+                b, text = buckets[k], text or ""
+                if owns[k]:
+                    if waiting and b == bucket and size >= PASS_CHARS:
+                        yield emit(waiting, text)
+                        waiting, size = [], 0
+                    waiting.append((ids[k], text))
+                    size += len(text)
+                    bucket, followed = b, False
+                elif not followed:
                     yield emit(waiting, text)
-                    waiting, size = [], 0
-                waiting.append((doc_id, text))
-                size += len(text)
-                bucket, followed = b, False
-            elif not followed:
-                yield emit(waiting, text)
-                waiting, size, followed = [], 0, True
+                    waiting, size, followed = [], 0, True
+
+
+def bounds_of(keyed: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """At most `buckets` - 1 places (_id, _h) that cut the rows into even ranges; where one _id spans several of them, it is
+    cut at its hashes' own quantiles. Only these places reach the driver."""
+    at = [k / buckets for k in range(1, buckets)] or [0.5]
+    found = keyed.agg(F.percentile_approx("_id", at, 100 * buckets)).first()[0] or []
+    times = {x: found.count(x) for x in found}
+    hot = {x: n for x, n in times.items() if n > 1}
+    out = [(x, -(1 << 63)) for x in times]
+    if hot:
+        parts = max(hot.values()) + 1
+        cuts = keyed.where(F.col("_id").isin(list(hot))).groupBy("_id").agg(F.percentile_approx("_h", [k / parts for k in range(1, parts)], 100 * parts).alias("cuts")).collect()
+        out += [(r["_id"], h) for r in cuts for h in r["cuts"]]
+    return sorted(set(out))
 
 
 def with_following(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, own, doc_id, text) sorted within partitions: ranges of doc_id, each with the next range's first row after
-    its own. Only the ranges' first ids, one for each of `buckets` at most, reach the driver."""
-    docs = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_id"), F.col("doc_id"), F.col("text"))
-    at = [k / buckets for k in range(1, buckets)]
-    bounds = sorted(set(docs.select("_id").agg(F.percentile_approx("_id", at or [0.5], 100 * buckets)).first()[0] or []))
-    place = F.lit(0)
-    if bounds:
-        place = F.aggregate(F.array(*[F.lit(x).cast("long") for x in bounds]), F.lit(0), lambda n, x: n + F.when(F.col("_id") >= x, 1).otherwise(0))
-    placed = docs.withColumn("bucket", place)
-    firsts = placed.groupBy("bucket").agg(F.min("_id")).orderBy("bucket").collect()
-    if not firsts:
-        return placed.select("bucket", F.lit(True).alias("own"), "doc_id", "text")
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    ghost = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]).cast("map<bigint,int>"), F.col("_id"))
-    copies = F.when(F.col("_id").isin(list(before)), F.array(F.struct(F.col("bucket"), F.lit(True).alias("own")), F.struct(ghost.alias("bucket"), F.lit(False).alias("own"))))
-    sent = placed.select(F.explode(F.coalesce(copies, F.array(F.struct(F.col("bucket"), F.lit(True).alias("own"))))).alias("to"), "_id", "doc_id", "text")
-    dealt = sent.select("to.bucket", "to.own", "_id", "doc_id", "text").repartitionById(len(bounds) + 1, F.col("bucket"))
-    return dealt.sortWithinPartitions("bucket", F.desc("own"), "_id", F.asc_nulls_first("text")).select("bucket", "own", "doc_id", "text")
+    """(bucket, own, doc_id, text) sorted within partitions: ranges of (doc_id, hash of text), each with the next range's
+    first row after its own. Only the ranges' first places, one for each of `buckets` at most, reach the driver."""
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), "doc_id", "text")
+    bounds = bounds_of(keyed.select("_id", "_h"), buckets)
+    edges = np.array(bounds, np.dtype([("i", "<i8"), ("h", "<i8")]))
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = np.empty(len(ids), edges.dtype)
+        own["i"], own["h"] = ids.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(edges, own, side="right").astype(np.int32)) if len(edges) else pa.array(np.zeros(len(ids), np.int32))
+
+    dealt = keyed.withColumn("bucket", place("_id", "_h"))
+    firsts = dealt.groupBy("bucket").agg(F.min(F.struct("_id", "_h")).alias("first")).orderBy("bucket").collect()
+    before = {(r["first"]["_id"], r["first"]["_h"]): firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
+    order = sorted(before)
+    heads = np.array(order, edges.dtype)
+    follows = np.array([before[x] for x in order], np.int32)
+
+    @F.arrow_udf("int")
+    def ghost(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        own = np.empty(len(ids), edges.dtype)
+        own["i"], own["h"] = ids.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        if not len(heads):
+            return pa.nulls(len(ids), pa.int32())
+        at = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
+        return pa.array(follows[at], mask=heads[at] != own)
+
+    to = F.when(F.col("ghost").isNull(), F.array(F.struct(F.col("bucket"), F.lit(True).alias("own"))))
+    to = to.otherwise(F.array(F.struct(F.col("bucket"), F.lit(True).alias("own")), F.struct(F.col("ghost").alias("bucket"), F.lit(False).alias("own"))))
+    sent = dealt.withColumn("ghost", ghost("_id", "_h")).select(F.explode(to).alias("to"), "_id", "_h", "doc_id", "text")
+    spread = sent.select("to.bucket", "to.own", "_id", "_h", "doc_id", "text").repartitionById(max(1, len(bounds) + 1), F.col("bucket"))
+    return spread.sortWithinPartitions("bucket", F.desc("own"), "_id", "_h", F.asc_nulls_first("text")).select("bucket", "own", "doc_id", "text")
 
 
 def fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
