@@ -1,18 +1,19 @@
 """HTML extraction with a host suffix array (operator 2).
 
 A page is cut into blocks of text at block-level tags. Blocks inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are dropped by their element or its class, id or role; blocks inside the
-page's article (or main) element are its text. Where a page has no such element, its blocks are open, and the open pages
-of a host decide together: windows of `MIN_RUN` tokens are keyed with prefix doubling, keys are sorted, and windows on
-`MIN_PAGES` different pages of the whole host are boilerplate; covered tokens are removed, and unique runs are kept. A page
-that would lose everything keeps its text. Pages of a host whose streams share 0.8 of their word pairs are copies and count
-once, so copies keep their body and lose the menus that other pages have too.
+forms, scripts, styles and reader comments are outside by their element or its class, id or role; blocks inside the page's
+article (or main) element are its text. Where a page has no such element, its other blocks are open.
 
-Article pages take part in the counts with their own blocks. An article loses only whole blocks at its start and end whose
-windows stand on `MIN_ARTICLES` pages of the host; what fewer pages share, or stands between its own blocks, stays.
+The streams of all pages of a host form its suffix array: every suffix is keyed by its first `MIN_RUN` tokens with prefix
+doubling (a stretch that is shorter, by all of it), equal keys meet in one place by a shuffle, and keys on `MIN_PAGES`
+different pages of the host are repeated; longer repeats are runs of such keys. Every page sends the suffixes of what stands
+outside its article, and an open page also those of its open blocks. Covered boilerplate is removed and unique runs are
+kept: an open page loses the covered runs of its open blocks; an article loses a block (of `MIN_RUN` tokens at least) only if
+the host repeats all of it outside of articles, since a passage that many articles share is their own text. A page that would lose everything keeps its
+text. Pages of a host whose streams share 0.8 of their word pairs are copies and count once, so copies keep their body and
+lose the menus that other pages have too; only pages with something to lose are compared.
 
-No host meets in one task: sorted keys of 40 bits are dealt to buckets by key, and the few streams with keys that meet there
-are counted again by whole keys. Exact copies of a page travel once a task.
+Keys are 8 bytes and are counted by partial sums, so a hot host is spread over all tasks, and texts never travel.
 
 Defined results: null and empty html give the empty text; a null url is a host of its own; a page_id given twice is one
 page to the repeat count and two rows of the result. Columns other than page_id, url and html are never read.
@@ -26,33 +27,31 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm._common import PASS_CHARS, materialise, mix, table
+from veritab.llm._common import discard, materialise, mix, slices, table
 from veritab.llm.simhash_dedup import components
 from veritab.llm.similar_copies import similar_classes
 
 MIN_RUN = 8
 MIN_PAGES = 3
-#: An article loses a block at its edge only if the block's windows stand on so many pages.
-MIN_ARTICLES = 10
 #: Streams that share so much of their runs of so many words are copies, and one page to the repeat count.
 COPY_SHARE = 0.8
 COPY_WORDS = 2
-#: Windows are dealt to so many buckets at least, and to one for so many pages.
-LEAST_BUCKETS = 64
-BUCKET_PAGES = 10_000
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|noscript|template|svg|iframe|title|select|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|iframe|xmp)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>",
     re.I | re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form head button dialog menu object audio video canvas map fieldset".split())
+DROPPED = frozenset("nav footer aside form head button dialog menu object audio video canvas map fieldset noscript template svg select option".split())
+#: Of these, one that is never closed is no container: what follows it is judged as if it were not there.
+CLOSABLE = frozenset("noscript template svg select object audio video canvas map button dialog".split())
 #: A class token or id that names such a part, as a whole: `site-footer` and `ad-slot`, not `has-sidebar` or `entry-header`.
 NOT_TEXT = re.compile(
     r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|desktop|sticky|fixed|floating|user|reader|post|article|blog|google|in)[-_]+)*"
@@ -60,6 +59,8 @@ NOT_TEXT = re.compile(
     r"(?:[-_]+(?:container|wrapper|wrap|box|bar|area|block|list|section|inner|content|body|unit|slot|label|links?|icons?|buttons?|btn|form|items?|banner|notice|consent|message|popup|modal|menu|nav|navigation|sidebar|widgets?|media|posts?|articles?|stories|thread|\d+))*",
     re.I,
 )
+#: Of those, single words that inside an article are as likely to name a part of its own text: there the host's pages decide.
+AMBIGUOUS = frozenset("share sharing search login signup notice notices alert alerts banner media related menu menus replies comment widget widgets toolbar".split())
 HEADER = re.compile(r"(?:(?:site|global|top|main|mobile|sticky|fixed)[-_]+)*header(?:[-_]+(?:container|wrapper|wrap|inner|bar|area))*", re.I)
 #: Parts that hold articles of their own, which are not the page's.
 OTHERS = re.compile(r"(?:\w+[-_]+)?(?:comments?|repl(?:y|ies)|disqus|related)(?:[-_]+\w+)*", re.I)
@@ -69,8 +70,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 
 
-def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """(dropped, article) of an element; dropped is 2 where articles inside are not the page's either."""
+def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool, bool]:
+    """(dropped, article, doubtful) of an element; dropped is 2 where articles inside are not the page's either."""
     dropped, article = int(name in DROPPED or name == "header" and not in_article), name in ("article", "main")
     named: list[str] = []
     if attributes:
@@ -88,30 +89,66 @@ def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
     if name == "aside":
         dropped = 2
     if article:
-        return (2 if dropped == 2 or any(map(NO_ARTICLE.fullmatch, named)) else 0), True
+        return (2 if dropped == 2 or any(map(NO_ARTICLE.fullmatch, named)) else 0), True, False
+    doubtful = False
     if named and name not in ("html", "body"):
         for x in named:
+            if in_article and x in AMBIGUOUS:
+                doubtful = True
+                continue
             if NOT_TEXT.fullmatch(x):
                 dropped = max(dropped, 2 if OTHERS.fullmatch(x) else 1)
             elif not in_article and HEADER.fullmatch(x):
                 dropped = max(dropped, 1)
-    return dropped, False
+    return dropped, False, doubtful
 
 
-def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, str]]:
-    """(rank, depth of article elements around it, text) of each block that is not dropped; main counts as half an article.
+class Open:
+    """The open elements; each knows what is dropped or article around it. All look-ups take constant time."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int, bool]] = []  # name, dropped, article depth, rank, doubtful: of the element and all around it
+        self.places: dict[str, list[int]] = {}  # of each name that is open
+        self.block_places: list[int] = []
+
+    def state(self) -> tuple[int, int, int, bool]:
+        return self.stack[-1][1:] if self.stack else (0, 0, 0, False)
+
+    def push(self, name: str, dropped: int, depth: int, rank: int, doubtful: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.block_places.append(len(self.stack))
+        self.stack.append((name, dropped, depth, rank, doubtful))
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place and all within it."""
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.block_places.pop()
+
+    def place_of(self, name: str) -> int | None:
+        """The place of the innermost open element of a name."""
+        return found[-1] if (found := self.places.get(name)) else None
+
+
+def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, int, bool, str]]:
+    """(dropped, rank, depth of article elements around it, doubtful, text) of each block; main counts as half an article.
 
     The rank is 0, or of an article inside something dropped how that is dropped, 1 or 2."""
-    out: list[tuple[int, int, str]] = []
-    stack: list[tuple[str, int, int, int]] = []  # name, dropped, article depth, rank: of the element and all around it
+    out: list[tuple[int, int, int, bool, str]] = []
+    open_now = Open()
     parts: list[str] = []
+    last_end: dict[str, int] = {}
+    lower = page.lower()
     at = 0
 
     def flush() -> None:
         if parts:
-            _, dropped, depth, rank = stack[-1] if stack else ("", 0, 0, 0)
-            if not dropped and (text := " ".join(html.unescape("".join(parts)).split())):
-                out.append((rank, depth, text))
+            dropped, depth, rank, doubtful = open_now.state()
+            if text := " ".join(html.unescape("".join(parts)).split()):
+                out.append((dropped, rank, depth, doubtful, text))
             parts.clear()
 
     for m in MARKUP.finditer(page):
@@ -125,66 +162,72 @@ def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, str]]:
         if m[2]:
             if name in BLOCKS:
                 flush()
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            found = open_now.place_of(name)
             if found is not None:
-                if stack[found][1] or stack[found][3] or name in BLOCKS or stack[-1][1]:
+                if open_now.stack[found][1] or open_now.stack[found][3] or open_now.stack[found][4] or name in BLOCKS or open_now.stack[-1][1]:
                     flush()
-                del stack[found:]
+                open_now.cut(found)
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSED_BY.get(name, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            if open_now.block_places:
+                inner = open_now.block_places[-1]
+                around = open_now.stack[inner][0]
+                if around in ("p", "option") or around in CLOSED_BY.get(name, ()):
+                    open_now.cut(inner)
         if name in VOID or m[4].endswith("/") and name not in BLOCKS:
             continue
-        _, around, depth, rank = stack[-1] if stack else ("", 0, 0, 0)
-        dropped, article = judged(name, m[4], depth > 0)
+        if name in CLOSABLE:
+            if name not in last_end:
+                last_end[name] = lower.rfind("</" + name)
+            if last_end[name] < at:
+                continue
+        around, depth, rank, doubted = open_now.state()
+        dropped, article, doubtful = judged(name, m[4], depth > 0)
         if name == "form" and keep_forms:
             dropped = 0
         if around and article and not dropped:
             flush()
             rank, depth, around = max(rank, around), 0, 0
-        elif dropped and not around:
+        elif dropped and not around or doubtful and not doubted:
             flush()
-        stack.append((name, max(around, dropped), depth + (1 if name == "main" else 2) * article, rank))
+        open_now.push(name, max(around, dropped), depth + (1 if name == "main" else 2) * article, rank, doubted or doubtful)
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
-def main_text(page: str) -> tuple[str | None, list[str]]:
-    """The article's text, or None and the page's open blocks.
+def main_text(page: str) -> tuple[bool, list[str], list[bool], list[str]]:
+    """(whether they are an article's, the page's blocks, which of them are doubtful, the stretches of text outside of them).
 
     An article inside something dropped is the page's if no other is; one among comments or asides only if there is no other
     text. A page of which nothing stays is read again with its forms, since some pages are wrapped in one."""
     found = blocks(page)
+    kept = None
     for rank in range(3):
-        deepest = max((d for r, d, _ in found if r == rank), default=0)
-        if deepest and (rank < 2 or not any(r < 2 for r, _, _ in found)):
+        deepest = max((d for x, r, d, _, _ in found if not x and r == rank), default=0)
+        if deepest and (rank < 2 or not any(r < 2 for x, r, _, _, _ in found if not x)):
             inside = 2 if deepest >= 2 else 1
-            return "\n".join(t for r, d, t in found if r == rank and d >= inside), []
-    opened = [t for _, d, t in found if not d] or [t for _, d, t in blocks(page, keep_forms=True) if not d]
-    return (None, opened) if opened else ("", [])
-
-
-def parsed(page: Column) -> Column:
-    """struct(fixed, blocks): fixed tells that the blocks are an article's."""
-
-    @F.arrow_udf("fixed boolean, blocks array<string>")
-    def parse(pages: pa.Array) -> pa.Array:
-        rows = [main_text(x or "") for x in pages.to_pylist()]
-        found = [r[1] if r[0] is None else [t for t in r[0].split("\n") if t] for r in rows]
-        return pa.StructArray.from_arrays([pa.array([r[0] is not None for r in rows], pa.bool_()), pa.array(found, pa.list_(pa.string()))], names=["fixed", "blocks"])
-
-    return parse(page)
+            kept = [not x and r == rank and d >= inside for x, r, d, _, _ in found]
+            break
+    fixed = kept is not None
+    if kept is None:
+        kept = [not x and not d for x, _, d, _, _ in found]
+        if not any(kept):
+            found = blocks(page, keep_forms=True)
+            kept = [not x and not d for x, _, d, _, _ in found]
+    outside: list[list[str]] = [[]]
+    for own, (*_, text) in zip(kept, found, strict=True):
+        if not own:
+            outside[-1].append(text)
+        elif outside[-1]:
+            outside.append([])
+    own_blocks = [(t, fixed and q) for own, (*_, q, t) in zip(kept, found, strict=True) if own]
+    return fixed, [t for t, _ in own_blocks], [q for _, q in own_blocks], [" ".join(x) for x in outside if x]
 
 
 def window_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -247,111 +290,114 @@ def unique_runs(pages: list[tuple[object, list[str]]]) -> list[str]:
 
 
 def window_keys(streams: list[str], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the stream, key) of every window of `MIN_RUN` tokens, by prefix doubling of hashes of host and token."""
+    """(place of the stream, key) of every suffix of `MIN_RUN` tokens, by prefix doubling of hashes of host and token; a
+    stream of fewer tokens has one key, of all of it."""
     words = [x.split(" ") if x else [] for x in streams]
     n = np.array([len(w) for w in words], np.int64)
     page = np.repeat(np.arange(len(n)), n)
     if not len(page):
         return page, np.empty(0, np.uint64)
     key = mix(pd.util.hash_array(np.array([w for x in words for w in x], object)) ^ mix(hosts.view(np.uint64))[page])
+    ends = np.cumsum(n)
+    first = np.arange(len(page)) == (ends - n)[page]
+    left = ends[page] - np.arange(len(page))
     step = 1
     while step < MIN_RUN:
         after = np.zeros_like(key)
         after[:-step] = key[step:]
+        after[left <= step] = 0
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + after)
         step *= 2
-    whole = np.arange(len(page)) + MIN_RUN <= np.cumsum(n)[page]
+    whole = (left >= MIN_RUN) | first
     return page[whole], key[whole]
 
 
-def short(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, 40 bits) of keys."""
-    return keys % np.uint64(buckets), keys >> np.uint64(24)
-
+NARROW = "cls long, fixed boolean, outside array<long>, probes array<long>"
 
-def planes(x: np.ndarray) -> bytes:
-    """The differences of sorted numbers of 40 bits, byte by byte of all, so the empty high bytes lie together."""
-    return np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
+def read_keys(page: Column, host: Column) -> Column:
+    """cls, which tells equal texts of a host; the different keys outside of the page's article, those of doubtful blocks and
+    an open page's own among them; and of each doubtful block its least key."""
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, -1).T
-    return np.cumsum(out.reshape(-1).view("<u8"), dtype=np.uint64)
+    @F.arrow_udf(NARROW)
+    def keys(pages: pa.Array, hosts: pa.Array) -> pa.Array:
+        rows: list[tuple] = []
+        at = hosts.to_numpy(zero_copy_only=False)
+        for start, texts in slices(pages):
+            for k, text in enumerate(texts, start):
+                fixed, own, doubts, outside = main_text(text or "")
+                doubtful = [t for t, q in zip(own, doubts, strict=True) if q]
+                streams = outside + (doubtful if fixed else [" ".join(own)])
+                seen = np.unique(window_keys(streams, np.full(len(streams), at[k]))[1]).view(np.int64)
+                probes = np.empty(0, np.uint64)
+                if doubtful:
+                    block, key = window_keys(doubtful, np.full(len(doubtful), at[k]))
+                    probes = np.minimum.reduceat(key, np.flatnonzero(np.diff(block, prepend=-1)))
+                cls = xxhash.xxh64_intdigest("\n".join(own), int(at[k]) & (2**63 - 1))
+                rows.append((cls - (cls >> 63 << 64), fixed, seen, np.unique(probes).view(np.int64)))
 
+        def lists(arrays: list[np.ndarray]) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)])))
 
-def candidates(streams: DataFrame, buckets: int) -> DataFrame:
-    """(cls, bits) of short keys that `MIN_PAGES` classes of equal streams or more have; streams has (cls, host, stream).
+        cls, fixed, seen, probes = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.StructArray.from_arrays([pa.array(cls, pa.int64()), pa.array(fixed, pa.bool_()), lists(list(seen)), lists(list(probes))], names=["cls", "fixed", "outside", "probes"])
 
-    Only sorted short keys and places travel, so a hot host is spread over all buckets."""
+    return keys(page, host)
 
-    def pack(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            batch = batch[~batch.cls.duplicated() & ~batch.cls.isin(seen)]
-            seen.update(batch.cls)
-            size = batch.stream.str.len().to_numpy()
-            for _, part in batch.groupby(np.minimum(np.cumsum(size) // PASS_CHARS, np.arange(len(batch)))):
-                for lo in range(0, len(part), 1 << 16):
-                    rows = part[lo : lo + (1 << 16)]
-                    page, key = window_keys(rows.stream.tolist(), rows.host.to_numpy())
-                    bucket, bits = short(key, buckets)
-                    order = np.lexsort((page, bits, bucket))
-                    bucket, bits, page = bucket[order], bits[order], page[order]
-                    cut = np.flatnonzero(np.diff(bucket)) + 1
-                    out = []
-                    for b, k, p in zip(np.split(bucket, cut), np.split(bits, cut), np.split(page, cut), strict=True):
-                        if len(b):
-                            used, at = np.unique(p, return_inverse=True)
-                            out.append((int(b[0]), rows.cls.to_numpy()[used].tobytes(), planes(k), at.astype("<u2").tobytes()))
-                    yield pd.DataFrame(out, columns=["bucket", "classes", "bits", "places"])
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.concatenate([unpacked(x) for x in rows.bits])
-        cls = np.concatenate([np.frombuffer(c, np.int64)[np.frombuffer(p, "<u2")] for c, p in zip(rows.classes, rows.places, strict=True)])
-        order = np.lexsort((cls, bits))
-        bits, cls = bits[order], cls[order]
-        new = np.concatenate([[True], (np.diff(bits) != 0) | (np.diff(cls) != 0)])
-        bits, cls = bits[new], cls[new]
-        times = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], np.diff(bits) != 0])), len(bits)))
-        often = np.repeat(times >= MIN_PAGES, times)
-        return pd.DataFrame({"cls": cls[often], "bits": bits[often].astype(np.int64)})
+def stream_of(page: Column, host: Column) -> Column:
+    """The page's own text as one stream, and all keys of what it may lose."""
 
-    packed = streams.mapInPandas(pack, "bucket long, classes binary, bits binary, places binary")
-    return packed.groupBy("bucket").applyInPandas(meet, "cls long, bits long")
+    @F.arrow_udf("stream string, keys array<long>")
+    def read(pages: pa.Array, hosts: pa.Array) -> pa.Array:
+        streams, keys = [], []
+        for text, h in zip(pages.to_pylist(), hosts.to_numpy(zero_copy_only=False), strict=True):
+            fixed, own, doubts, _ = main_text(text or "")
+            parts = [t for t, q in zip(own, doubts, strict=True) if q] if fixed else [" ".join(own)]
+            streams.append(" ".join(own))
+            keys.append(np.unique(window_keys(parts, np.full(len(parts), h))[1]).view(np.int64).tolist())
+        return pa.StructArray.from_arrays([pa.array(streams, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["stream", "keys"])
 
+    return read(page, host)
 
-def kept_keys(stream: Column, host: Column, bits: Column) -> Column:
-    """The whole keys of a stream's different windows whose bits are among `bits`."""
 
-    @F.pandas_udf("array<long>")
-    def keys(streams: pd.Series, hosts: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for x, h, w in zip(streams, hosts, wanted, strict=True):
-            key = np.unique(window_keys([x], np.array([h], np.int64))[1])
-            out.append(key[np.isin(key >> np.uint64(24), np.asarray(w, np.int64).astype(np.uint64))].view(np.int64))
-        return pd.Series(out, dtype=object)
-
-    return keys(stream, host, bits)
-
-
-def without(blocks: list[str], host: int, keys: np.ndarray, fixed: bool) -> str:
-    """The blocks' text without the windows of keys; a page that would lose everything keeps its text.
-
-    An article loses whole blocks at its start and end only."""
+def without(blocks: list[str], host: int, keys: np.ndarray, fixed: bool, doubts: list[bool] | None = None) -> str:
+    """The blocks' text without the runs of keys; a page that would lose everything keeps its text. An article loses whole
+    doubtful blocks only."""
+    if fixed:
+        gone = [q and np.isin(window_keys([b], np.array([host], np.int64))[1].view(np.int64), keys).all() for b, q in zip(blocks, doubts or [], strict=True)]
+        return "\n".join([b for b, g in zip(blocks, gone, strict=True) if not g] or blocks)
     sizes = [b.count(" ") + 1 for b in blocks]
     start = np.flatnonzero(np.isin(window_keys([" ".join(blocks)], np.array([host], np.int64))[1].view(np.int64), keys))
-    edge = np.zeros(sum(sizes) + 1, np.int64)
+    edge = np.zeros(sum(sizes) + MIN_RUN + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + MIN_RUN, -1)
-    keep = np.split(np.cumsum(edge[:-1]) == 0, np.cumsum(sizes)[:-1])
-    if fixed:
-        own = [i for i, k in enumerate(keep) if k.any()]
-        return "\n".join(blocks[own[0] : own[-1] + 1] if own else blocks)
+    keep = np.split((np.cumsum(edge) == 0)[: sum(sizes)], np.cumsum(sizes)[:-1])
     texts = [" ".join([w for w, k in zip(b.split(" "), left(k), strict=True) if k]) for b, k in zip(blocks, keep, strict=True)]
     return "\n".join([t for t in texts if t] or blocks)
 
 
+def main_texts(page: Column, host: Column, keys: Column | None = None) -> Column:
+    """The text of each page, without the runs of its keys."""
+
+    @F.arrow_udf("string")
+    def whole(pages: pa.Array) -> pa.Array:
+        return pa.array(["\n".join(main_text(x or "")[1]) for _, some in slices(pages) for x in some], pa.string())
+
+    @F.arrow_udf("string")
+    def cut(pages: pa.Array, hosts: pa.Array, wanted: pa.Array) -> pa.Array:
+        out, at = [], hosts.to_numpy(zero_copy_only=False)
+        for start, some in slices(pages):
+            for k, x in enumerate(some, start):
+                fixed, own, doubts, _ = main_text(x or "")
+                gone = wanted[k].as_py()
+                out.append(without(own, int(at[k]), np.array(gone, np.int64), fixed, doubts) if gone and own else "\n".join(own))
+        return pa.array(out, pa.string())
+
+    return whole(page) if keys is None else cut(page, host, keys)
+
+
 def pages_of(held: DataFrame) -> DataFrame:
     """(cls, page) of streams (cls, page_id, host, stream): near copies on a host, and rows with one page_id, are one page."""
     texts, placed = similar_classes(held.select("cls", "stream").dropDuplicates(["cls"]), COPY_WORDS, COPY_SHARE, "stream", "cls")
@@ -366,31 +412,40 @@ def pages_of(held: DataFrame) -> DataFrame:
     return pages.join(linked, pages.page == linked.vertex, "left").select("cls", F.coalesce("root", "page").alias("page"))
 
 
-def repeated(pages: DataFrame, buckets: int) -> DataFrame:
-    """(cls, keys) of the streams with windows that stand on `MIN_PAGES` pages of their host, of an article's stream on
-    `MIN_ARTICLES`; pages has (page_id, cls, host, fixed, stream)."""
-    met = materialise(candidates(pages.select("cls", "host", "stream"), buckets))
-    wanted = materialise(met.groupBy("cls").agg(F.collect_set("bits").alias("bits")))
-    held = materialise(pages.join(wanted, "cls").select("cls", "page_id", "host", "fixed", "stream", kept_keys(F.col("stream"), F.col("host"), F.col("bits")).alias("keys")))
-    named = materialise(held.select("cls", "fixed", "keys").dropDuplicates(["cls"]).select("cls", "fixed", F.explode("keys").alias("key")))
-    often = named.join(pages_of(held), "cls").select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES)
-    return named.join(often, "key").where(~F.col("fixed") | (F.col("count") >= MIN_ARTICLES)).groupBy("cls").agg(F.collect_list("key").alias("keys"))
+def repeated(pages: DataFrame) -> DataFrame | None:
+    """(cls, keys): of each text with something to lose, the keys of its own that its host repeats; None if there is none.
+    pages has (page_id, host, html)."""
+    read = pages.select("page_id", "host", read_keys(F.col("html"), F.col("host")).alias("k")).select("page_id", "host", "k.*")
+    read = materialise(read)
+    seen = read.select("cls", F.explode("outside").alias("key"))
+    often = materialise(seen.groupBy("key").agg(F.count_distinct("cls").alias("n")).where(F.col("n") >= MIN_PAGES).select("key"))
+    probed = read.where("fixed").select("cls", F.explode("probes").alias("key")).join(often, "key").select("cls")
+    touched = materialise(read.where("NOT fixed").select("cls").union(probed).distinct())
+    if touched.isEmpty():
+        discard(read, often, touched)
+        return None
+    both = pages.withColumn("cls", read_keys(F.col("html"), F.col("host"))["cls"])
+    own = materialise(both.join(touched, "cls", "left_semi").select("cls", "page_id", "host", stream_of(F.col("html"), F.col("host")).alias("s")).select("cls", "page_id", "host", "s.*"))
+    named = materialise(own.select("cls", F.explode("keys").alias("key")).distinct().join(often, "key"))
+    wanted = named.select("key").distinct()
+    evidence = materialise(seen.join(wanted, "key").distinct())
+    involved = evidence.select("cls").distinct()
+    held = both.join(involved, "cls", "left_semi").select("cls", "page_id", "host", stream_of(F.col("html"), F.col("host"))["stream"].alias("stream"))
+    counted = evidence.join(pages_of(materialise(held)), "cls").select("key", "page").distinct().groupBy("key").count().where(F.col("count") >= MIN_PAGES)
+    return materialise(named.join(counted.select("key"), "key").groupBy("cls").agg(F.collect_list("key").alias("keys")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    read = pages.select("page_id", "url", F.xxhash64(name).alias("host"), parsed(F.col("html")).alias("r")).select("page_id", "url", "host", "r.*")
-    read = read.withColumn("cls", F.xxhash64("host", "fixed", "blocks"))
-    streams = read.select("page_id", "cls", "host", "fixed", F.array_join("blocks", " ").alias("stream"))
-    marks = materialise(repeated(streams, max(LEAST_BUCKETS, pages.count() // BUCKET_PAGES)))
-
-    @F.pandas_udf("string")
-    def cut(blocks: pd.Series, host: pd.Series, keys: pd.Series, fixed: pd.Series) -> pd.Series:
-        rows = zip(blocks, host, keys, fixed, strict=True)
-        return pd.Series([None if k is None else without(list(b), h, np.asarray(k, np.int64), f) for b, h, k, f in rows], dtype=object)
-
-    found = read.join(marks, "cls", "left").select("page_id", "url", F.coalesce(cut("blocks", "host", "keys", "fixed"), F.array_join("blocks", "\n")).alias("text"))
+    hosted = pages.select("page_id", "url", "html", F.xxhash64(name).alias("host"))
+    marks = repeated(hosted)
+    if marks is None or marks.isEmpty():
+        found = hosted.select("page_id", "url", main_texts(F.col("html"), F.col("host")).alias("text"))
+    else:
+        cls = read_keys(F.col("html"), F.col("host"))["cls"]
+        joined = hosted.withColumn("cls", cls).join(marks, "cls", "left")
+        found = joined.select("page_id", "url", main_texts(F.col("html"), F.col("host"), F.col("keys")).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
