@@ -4,14 +4,15 @@ Texts that share 0.8 of their five-word shingles have SimHashes some ten bits ap
 no longer tell pairs apart. Here documents meet that share a band of minima: of `BANDS` bands with `BAND_ROWS` minima each,
 a pair of likeness 0.8 shares at least one with probability 0.99997. A met pair is discarded if a pivot coordinate (each
 class carries its table of distances) or the SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
-`SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; both bounds lie five deviations beyond a pair at 0.8.
-The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
+`SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; the bounds lie four and a half deviations and more beyond
+a pair at 0.8. The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
 
 Groups of any size are joined without emitting their pairs. In each round every open bucket names a few centres, which are
-compared with the bucket's members of other components. Of what passes the filter each class first verifies its nearest
-centre alone; links merge components, and only pairs that still lie in two of them are verified after that. A bucket is
-closed when all its members outside its largest component have been centres, so every link between components that share a
-bucket is found. The number of centres grows fourfold each round.
+compared with the members of other components in all their buckets, each pair in the first bucket that both share. Of what
+passes the filter each class first verifies its nearest centre alone, then each two components their nearest pair; links
+merge components, and only pairs that still lie in two of them are all verified after that. A class that has been a centre is never compared again, and a bucket is closed when
+all its members outside its largest component have been centres, so every link between components that share a bucket is
+found. The number of centres grows eightfold each round.
 
 Defined results: null and empty texts, and texts without words, are one group; texts of fewer words than a shingle are their
 whole sequence; equal texts are one class throughout; a null doc_id names a component only if nothing else is in it;
@@ -36,18 +37,20 @@ LEAST = 0.8
 BANDS = 20
 BAND_ROWS = 4
 WIDE_RADIUS = 28
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
-#: A pair at 0.8 differs in 51 of 512 places on average, with a deviation of 6.8.
-MOST_APART = 86
+#: A pair at 0.8 differs in 102 of 1024 places on average, with a deviation of 9.6.
+MOST_APART = 146
 CENTRES = 2
-GROWTH = 4
+GROWTH = 8
 #: Odd multipliers: each orders the shingle hashes in its own way. The bands' are whole words, the sketch's half words.
 ORDERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 SKETCH_ORDERS = (mix(np.arange(1001, 1001 + SKETCH_BITS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 CHUNK = 256
 #: A list of classes with at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingle sets of at most so many bytes are broadcast to be verified against; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 PLACED = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -150,14 +153,18 @@ def among(rows: DataFrame, few: DataFrame, on: Column, how: str = "left_semi") -
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, linked) of pairs (a, b)."""
-    told = pairs.select("a", "b").join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    """(a, b, linked) of pairs (a, b) of a member and a centre. Centres are few: where their sets are small they travel to
+    the members' sets, and no set is shuffled."""
+    wanted = sets.join(pairs.select(F.col("b").alias("cls")).distinct(), "cls", "left_semi").toDF("b", "y")
+    size = wanted.agg(F.sum(F.length("y"))).first()[0] or 0
+    told = sets.toDF("a", "x").join(F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs, "a")
+    told = told.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "b")
     return materialise(told.select("a", "b", alike(F.col("x"), F.col("y"), least).alias("linked")))
 
 
 def merged(rooted: DataFrame | None, told: DataFrame) -> DataFrame | None:
     """(vertex, root) after the links of told."""
-    found = told.where("linked").select("a", "b")
+    found = told.where("linked").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     if found.isEmpty():
         return rooted
     out = components(found if rooted is None else found.unionAll(rooted.toDF("a", "b")))
@@ -173,11 +180,11 @@ def label_of(rows: DataFrame, vertex: str, rooted: DataFrame | None, name: str)
 
 
 def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """(vertex, root) of every linked class but the roots; shared has (key, cls, fp, coords, b0 ...) of buckets with
-    several classes. Nothing that is bounded by the number of pairs is ever shuffled before the filter."""
-    rooted = done = failed = None
+    """(vertex, root) of every linked class but the roots; shared has (key, cls, keys, fp, coords, b0 ...) of buckets with
+    several classes, keys being all of the class's. Nothing that is bounded by the number of pairs is shuffled before the
+    filter."""
+    rooted = done = None
     centres_of_bucket = CENTRES
-    traits = ["fp", "coords", *PLACED]
     while True:
         placed = label_of(shared, "cls", rooted, "label")
         if rooted is None:
@@ -185,35 +192,48 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         else:
             sizes = rooted.groupBy("root").agg((F.count("*") + 1).alias("size"))
             placed = placed.join(sizes, placed.label == sizes.root, "left").select(*placed.columns, F.coalesce("size", F.lit(1)).alias("size"))
-        lead = placed.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
-        opened = materialise(placed.join(lead.select("key", F.col("lead.label").alias("lead")), "key"))
-        waiting = opened.where("label != lead")
+        narrow = placed.select("key", "cls", "label", "size")
+        lead = narrow.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+        lead = materialise(lead.select("key", F.col("lead.label").alias("lead")))
+        waiting = narrow.join(lead, "key").where("label != lead")
         if done is not None:
-            waiting = waiting.join(done, ["key", "cls"], "left_anti")
+            waiting = waiting.join(done, "cls", "left_anti")
         salt = F.pmod(F.xxhash64("cls", F.lit(centres_of_bucket)), F.lit(centres_of_bucket))
-        first = F.min_by(F.struct("cls", "label", *traits), F.struct("size", F.xxhash64("cls")))
-        centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("key", "c.*"))
+        first = F.min(F.struct("size", F.xxhash64("cls").alias("order"), "cls"))
+        centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("c.cls").distinct())
         if centres.isEmpty():
-            discard(opened, centres)
+            discard(lead, centres)
             return rooted
-        named = centres.select("key", "cls").distinct()
-        done = named if done is None else done.unionAll(named)
-        met = opened.alias("m").join(centres.alias("c"), "key").where((F.col("m.label") != F.col("c.label")) & within("m", "c"))
-        one, other = F.greatest("m.cls", "c.cls"), F.least("m.cls", "c.cls")
-        pairs = met.select(one.alias("a"), other.alias("b"), F.col("m.cls").alias("member"), apart("m", "c").alias("apart")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        nearest = pairs.groupBy("member").agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b").distinct()
-        told = verified(materialise(nearest), sets, least)
-        rooted = merged(rooted, told)
-        rest = pairs.select("a", "b").distinct().join(told.select("a", "b"), ["a", "b"], "left_anti")
-        rest = materialise(label_of(label_of(rest, "a", rooted, "la"), "b", rooted, "lb").where("la != lb").select("a", "b"))
-        more = verified(rest, sets, least)
-        rooted = merged(rooted, more)
-        missed = told.unionAll(more).where("not linked").select("a", "b")
-        failed = missed if failed is None else failed.unionAll(missed)
-        discard(opened, pairs, rest)
+        opened = placed.drop("size").join(lead.select("key"), "key", "left_semi")
+        if done is not None:
+            opened = opened.join(done, "cls", "left_anti")
+        opened = materialise(opened.join(centres.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left").withColumn("central", F.col("_c").isNotNull()).drop("_c"))
+        once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("key")
+        apiece = (F.col("m.label") != F.col("c.label")) & (~F.col("m.central") | (F.col("m.cls") > F.col("c.cls")))
+        met = opened.alias("m").join(opened.where("central").alias("c"), "key").where(apiece & within("m", "c") & once)
+        pairs = materialise(met.select(F.col("m.cls").alias("a"), F.col("c.cls").alias("b"), apart("m", "c").alias("apart")))
+        rest = pairs
+        for step in range(3):
+            if step == 0:
+                some = rest.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
+            elif step == 1:
+                some = rest.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b")
+            else:
+                some = rest.select("a", "b")
+            some = materialise(some)
+            told = verified(some, sets, least)
+            rooted = merged(rooted, told)
+            if step < 2:
+                left = rest.select("a", "b", "apart").join(some, ["a", "b"], "left_anti")
+                left = materialise(label_of(label_of(left, "a", rooted, "la"), "b", rooted, "lb").where("la != lb"))
+                discard(rest)
+                rest = left
+            discard(some, told)
+            if rest.isEmpty():
+                break
+        discard(rest)
+        done = centres if done is None else done.unionAll(centres)
+        discard(lead, opened)
         centres_of_bucket *= GROWTH
 
 
@@ -226,8 +246,8 @@ def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text:
     cells = classes.select(F.explode("keys").alias("key"), "cls")
     often = cells.groupBy("key").count().where("count > 1").select("key")
     met = materialise(cells.join(often, "key"))
-    wanted = materialise(met.select("cls").distinct().join(classes.drop("keys"), "cls"))
-    traits = wanted.select(F.col("cls").alias("_c"), "fp", coordinates(F.col("fp")).alias("coords"), *[F.col("bits")[k].alias(b) for k, b in enumerate(PLACED)])
+    wanted = materialise(met.select("cls").distinct().join(classes, "cls"))
+    traits = wanted.select(F.col("cls").alias("_c"), "keys", "fp", coordinates(F.col("fp")).alias("coords"), *[F.col("bits")[k].alias(b) for k, b in enumerate(PLACED)])
     shared = materialise(met.join(traits, met.cls == traits["_c"]).drop("_c"))
     named = wanted.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))
     held = among(rows, named, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("cls") == F.col("_cls")))
