@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import veritab.queries_more  # noqa: F401  registers more queries
 from veritab.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that the tokeniser leaves out.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with")
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "are", "for", "on", "with", "as", "at", "by", "from", "this", "that", "it", "be", "do", "does", "have", "any", "there", "my", "our", "your", "you", "me", "i")
 
 
 def sanitize(name: str) -> str:
@@ -53,6 +53,27 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
+def singular(word: Column) -> Column:
+    """A word without a closing s, if three letters and more are left."""
+    return F.when((F.length(word) > 3) & word.endswith("s"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+
+
+def name_tokens(name: Column) -> Column:
+    """The singular words of a file's name without its extension."""
+    return F.array_distinct(F.transform(tokens(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")), singular))
+
+
+def compact_number(value: Column) -> Column:
+    """A number for an axis: thousands, millions and billions as k, M and B with one digit at most, else two."""
+
+    def trimmed(v: Column, digits: int) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits}f", F.round(v, digits)), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    size = F.abs(value)
+    out = F.when(size >= 1e9, F.concat(trimmed(value / 1e9, 1), F.lit("B"))).when(size >= 1e6, F.concat(trimmed(value / 1e6, 1), F.lit("M")))
+    return out.when(size >= 1e3, F.concat(trimmed(value / 1e3, 1), F.lit("k"))).otherwise(trimmed(value, 2))
+
+
 def token_estimate(text: Column) -> Column:
     """Half of the digits and a quarter of the other characters, each rounded up."""
     digits = F.length(F.regexp_replace(text, "[^0-9]", ""))

@@ -35,7 +35,7 @@ def key_of(text: Column) -> Column:
 def past_questions(history: DataFrame, pins: DataFrame, typed: str, now_ms: int, n: int = QUESTIONS) -> DataFrame:
     """(text, source, score): the n best of history (text, ts in ms, count) and pins (text) for what is typed.
 
-    Equal keys merge by partial sums: counts add up, the newest spelling is shown, a pinned one says so. Nothing typed
+    Scores have six digits, so that ties are ties. Equal keys merge by partial sums: counts add up, the newest spelling is shown, a pinned one says so. Nothing typed
     gives no rows; blank and null texts are left out."""
     typed = re.sub(r"\s+", " ", typed.strip()).lower()
     asked = history.select(F.trim("text").alias("text"), F.coalesce("ts", F.lit(0)).cast("long").alias("ts"), F.greatest(F.lit(1), F.floor(F.coalesce("count", F.lit(1)))).cast("long").alias("count"), F.lit(False).alias("pinned"))
@@ -48,7 +48,7 @@ def past_questions(history: DataFrame, pins: DataFrame, typed: str, now_ms: int,
     often = F.least(F.lit(1.0), (F.col("count") - 1) / 7)
     signal = F.when(F.col("count") > 0, recent * RECENCY + often * FREQUENCY).otherwise(PINNED_ONLY)
     score = F.when(begins, PREFIX_QUESTION + QUALITY).otherwise(tightness(typed, F.col("key")) * QUALITY) + signal
-    return merged.select(F.col("newest.text").alias("text"), F.when(F.col("pinned"), "pin").otherwise("history").alias("source"), score.alias("score")).orderBy(F.desc("score"), "text").limit(n)
+    return merged.select(F.col("newest.text").alias("text"), F.when(F.col("pinned"), "pin").otherwise("history").alias("source"), F.round(score, 6).alias("score")).orderBy(F.desc("score"), "text").limit(n)
 
 
 def quick_open(items: DataFrame, typed: str, n: int = ITEMS) -> DataFrame:
@@ -61,7 +61,7 @@ def quick_open(items: DataFrame, typed: str, n: int = ITEMS) -> DataFrame:
     name = F.lower("name")
     tier = F.when(name.startswith(typed), PREFIX_NAME).otherwise(WITHIN_NAME)
     score = F.coalesce(tier + tightness(typed, name) * QUALITY, tightness(typed, F.lower("path")) * QUALITY)
-    found = items.where("kind IS NULL OR kind != 'folder'").select("id", "name", "path", score.alias("score")).where("score IS NOT NULL")
+    found = items.where("kind IS NULL OR kind != 'folder'").select("id", "name", "path", F.round(score, 6).alias("score")).where("score IS NOT NULL")
     return found.orderBy(F.desc("score"), F.length("path"), "path", "id").limit(n)
 
 

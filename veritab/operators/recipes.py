@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FORECAST_MONTHS = 3
 MOVERS = 20
+ACCURACY = 100_000
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
@@ -59,8 +60,11 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Quartiles of each numeric column and the rows outside 1.5 interquartile ranges."""
-    bounds = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in columns]).first()
+    """Quartiles of each numeric column and the rows outside 1.5 interquartile ranges.
+
+    Quartiles are approximate: their rank is off by one in `ACCURACY` at most, and exact up to so many different values, so
+    the sketch of a column is bounded whatever its size."""
+    bounds = df.agg(*[F.percentile_approx(F.col(c).cast("double"), [0.25, 0.75], ACCURACY).alias(c) for c in columns]).first()
     if bounds is None:
         raise ValueError("no columns")
     out = []
@@ -131,11 +135,20 @@ def changepoint_scan(df: DataFrame, date: str, metric: str) -> DataFrame:
     return scored.orderBy(F.desc("magnitude"), "period").limit(1)
 
 
+def data_quality(df: DataFrame, most: int = 4) -> DataFrame:
+    """The completeness of each column with the quartiles and outliers of the first `most` numeric ones, null for others."""
+    numeric = [c for c, k in kinds(df).items() if k == "numeric"][:most]
+    whole = completeness(df)
+    if not numeric:
+        return whole.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("q1", "double"), ("q3", "double"), ("iqr", "double"), ("outliers", "long"))])
+    return whole.join(iqr_outliers(df, numeric), "column_name", "left")
+
+
 #: Recipe id: (kinds of columns it needs, function of a table and those columns).
 RECIPES = {
     "variance-vs-last-period": (("date", "numeric"), variance_vs_last_period),
     "cohort-breakdown": (("text", "numeric"), cohort_breakdown),
-    "data-quality-audit": ((), completeness),
+    "data-quality-audit": ((), data_quality),
     "anomaly-scan": (("date", "numeric"), anomaly_scan),
     "top-movers": (("text", "numeric", "date"), top_movers),
     "forecast": (("date", "numeric"), forecast),
@@ -155,7 +168,8 @@ def applicable(df: DataFrame) -> list[str]:
 
 
 def insights(tables: dict[str, DataFrame], most: int = 8) -> DataFrame:
-    """Anomalies, movers of 25 % and more, and changepoints of magnitude 1 and more over tables with a date and a number."""
+    """Anomalies, movers of 25 % and more, and changepoints of magnitude 1 and more over tables with a date and a number; no
+    rows where no table has both."""
     found = []
     for name, df in list(tables.items())[:12]:
         date, metric, group = (first_of(df, k) for k in ("date", "numeric", "text"))
@@ -167,5 +181,6 @@ def insights(tables: dict[str, DataFrame], most: int = 8) -> DataFrame:
         if group:
             found.append(top_movers(df, group, metric, date).where("abs(pct_change) >= 25").select(*row("mover", F.col("cohort"), F.abs("pct_change") / 100)))
     if not found:
-        raise ValueError("no table has a date and a numeric column")
+        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+        return spark.createDataFrame([], "table_name string, kind string, label string, magnitude double")
     return reduce(DataFrame.unionByName, found).orderBy(F.desc("magnitude"), "table_name", "kind", "label").limit(most)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritab.functions.text import tokens
+from veritab.functions.text import name_tokens, singular, tokens
+from veritab.sources.store import written
 
 CHUNK_WORDS, OVERLAP = 120, 25
 RRF_K, RRF_DEPTH = 60, 400
@@ -25,31 +29,18 @@ def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, F.explode(tokens(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(rows: DataFrame, text: str) -> DataFrame:
+    """(term, df, tf) over rows. Each row tells of its different terms and of all, so only partial sums by term travel."""
+    words = rows.select(tokens(F.col(text)).alias("w"))
+    marks = lambda a, df: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(1 - df).alias("tf")))
+    each = words.select(F.explode(F.concat(marks(F.array_distinct("w"), 1), marks(F.col("w"), 0))).alias("t"))
+    return each.groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.tf").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def tfidf(rows: DataFrame, keys: list[str], text: str, query: list[str]) -> DataFrame:
-    """(keys, score): cosine of each row with the query terms under TF-IDF weights. Only the query's few postings are
-    joined; norms are a partial aggregate by row."""
-    counts = term_counts(rows, keys, text)
-    n = rows.agg(F.count("*").alias("n"))
-    weighed = counts.join(document_frequency(counts), "term").withColumn("w", F.col("tf") * idf(n.select("n").scalar(), F.col("df")))
-    times = {q: query.count(q) for q in dict.fromkeys(query)}
-    factor = F.coalesce(*[F.when(F.col("term") == q, F.lit(float(k))) for q, k in times.items()], F.lit(0.0))
-    known = weighed.where(F.col("term").isin(*times)).groupBy("term").agg(F.max(F.col("w") / F.col("tf")).alias("idf"))
-    found = known.select(F.sum(F.pow(factor * F.col("idf"), 2)).alias("q2"), F.collect_set("term").alias("has"))
-    missing = F.size(F.array_except(F.array(*map(F.lit, times)), F.col("has"))) * F.pow(F.log(n.select("n").scalar() + 1) + 1, 2)
-    norm = found.select((F.coalesce("q2", F.lit(0.0)) + missing).alias("q2"))
-    dot = F.sum(F.when(factor > 0, F.col("w") * factor * F.col("w") / F.col("tf")).otherwise(0.0))
-    scored = weighed.groupBy(*keys).agg(dot.alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("dot > 0")
-    return scored.select(*keys, (F.col("dot") / (F.col("norm") * F.sqrt(norm.select("q2").scalar()))).alias("score"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)))
@@ -82,3 +73,151 @@ def best_chunk(scored: DataFrame, key: str) -> DataFrame:
     """The best chunk of each document, with its score relative to the best of all."""
     best = scored.groupBy(key).agg(F.max_by("ordinal", F.struct("score", -F.col("ordinal"))).alias("ordinal"), F.max("score").alias("score"))
     return best.select(key, "ordinal", F.round(F.col("score") / F.max("score").over(Window.partitionBy()), 6).alias("score"))
+
+
+@dataclass
+class Index:
+    """Postings by term, document frequencies and norms of the rows of a table, written once and read by every query."""
+
+    keys: list[str]
+    postings: DataFrame
+    terms: DataFrame
+    norms: DataFrame
+    rows: int
+
+    def search(self, query: list[str]) -> DataFrame:
+        """(keys, score): cosine under TF-IDF weights of each row that has a query term.
+
+        The scan reads the query's own postings, as the files are sorted by term, and the norms of the rows met."""
+        times = {q: float(query.count(q)) for q in dict.fromkeys(query)}
+        found = self.terms.where(F.col("term").isin(*times)).collect()
+        weight = {r["term"]: math.log((self.rows + 1) / (r["df"] + 1)) + 1 for r in found}
+        missing = math.log(self.rows + 1) + 1
+        norm = math.sqrt(sum((k * weight.get(q, missing)) ** 2 for q, k in times.items()))
+        factor = F.element_at(F.create_map(*[F.lit(x) for q, w in weight.items() for x in (q, times[q] * w * w)]), F.col("term")) if weight else F.lit(0.0)
+        dots = self.postings.where(F.col("term").isin(*times)).groupBy(*self.keys).agg(F.sum(F.col("tf") * factor).alias("dot"))
+        return dots.join(self.norms, self.keys).select(*self.keys, (F.col("dot") / (F.col("norm") * norm)).alias("score"))
+
+
+def build_index(rows: DataFrame, keys: list[str], text: str, folder: str, files: int | None = None) -> Index:
+    """Tokenises the rows once, and writes their postings by ranges of terms, the terms' document frequencies and the rows'
+    norms under folder."""
+    spark = rows.sparkSession
+    counts = term_counts(rows, keys, text)
+    ranged = counts.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "term", *keys).sortWithinPartitions("term", *keys)
+    postings = written(ranged, f"{folder}/postings")
+    n = rows.count()
+    terms = written(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).coalesce(1).sortWithinPartitions("term") if n < 1_000_000 else postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"{folder}/terms")
+    weighed = postings.join(terms.select("term", "df"), "term").select(*keys, (F.col("tf") * idf(F.lit(n), F.col("df"))).alias("w"))
+    norms = written(weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), f"{folder}/norms")
+    return Index(keys, postings, terms, norms, n)
+
+
+def name_hits(name: Column, query: list[str]) -> Column:
+    """How many of the query's different words a name has, in the singular; none unless one of four letters and more is there."""
+    wanted = F.array_distinct(F.transform(F.array(*map(F.lit, query)), singular))
+    hit = F.array_intersect(wanted, name_tokens(name))
+    return F.when(F.exists(hit, lambda w: F.length(w) >= 4), F.size(hit)).otherwise(0)
+
+
+def boosted(hits: DataFrame, names: DataFrame, key: str, query: list[str], notes: str | None = None, preferred: str | None = None) -> DataFrame:
+    """(key, score): lexical scores with what a file's name adds. A name that has query words adds up to 0.2 to a file that was
+    found by its text, and gives 0.5 to 0.9 to one that was not; conversation notes count half as much again, preferred
+    files three tenths more. hits: (key, score); names: (key, name, and the named flags)."""
+    share = name_hits(F.col("name"), query) / float(max(1, len(dict.fromkeys(query))))
+    both = names.withColumn("_share", share).join(hits, key, "left").where(F.col("score").isNotNull() | (F.col("_share") > 0))
+    score = F.when(F.col("score").isNull(), 0.5 + 0.4 * F.col("_share")).otherwise(F.col("score") + 0.2 * F.col("_share"))
+    for flag, factor in ((notes, 1.5), (preferred, 1.3)):
+        if flag:
+            score = score * F.when(F.col(flag), factor).otherwise(1.0)
+    return both.select(key, F.round(score, 6).alias("score"))
+
+
+def named_file(names: DataFrame, key: str, query: list[str]) -> DataFrame:
+    """The one file that a question names, or no row: half of its name's words at least, two of them or one of five letters,
+    and no other file covered as well."""
+    wanted = F.transform(F.array(*map(F.lit, query)), singular)
+    own = name_tokens(F.col("name"))
+    hit = F.array_intersect(own, wanted)
+    fits = (2 * F.size(hit) >= F.size(own)) & ((F.size(hit) >= 2) | F.exists(hit, lambda w: F.length(w) >= 5))
+    scored = names.where(F.size(own) > 0).where(fits).select(key, (F.size(hit) / F.size(own)).alias("coverage"), F.size(hit).alias("hits"))
+    best = scored.agg(F.max(F.struct("coverage", "hits")).alias("best"))
+    top = scored.join(best, F.struct("coverage", "hits") == F.col("best"))
+    return top.groupBy().agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n = 1").select(key)
+
+
+def references(scored: DataFrame, key: str, chunk: str, snippet: int = 240) -> DataFrame:
+    """(key, ordinal, snippet, score): the best chunk of each file, its text cut to `snippet` characters, relative to the top."""
+    best = scored.groupBy(key).agg(F.max_by(F.struct("ordinal", chunk), F.struct("score", -F.col("ordinal"))).alias("b"), F.max("score").alias("score"))
+    top = best.agg(F.max("score").alias("t")).select("t").scalar()
+    return best.select(key, F.col("b.ordinal").alias("ordinal"), F.substring(F.col(f"b.{chunk}"), 1, snippet).alias("snippet"), F.round(F.try_divide(F.col("score"), top), 6).alias("score"))
+
+
+def ranked_documents(hits: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, score): files by the sum of their chunks' scores, the best one 1."""
+    sums = hits.groupBy(key).agg(F.sum("score").alias("s"))
+    top = sums.agg(F.max("s").alias("t")).select("t").scalar()
+    return sums.select(key, F.round(F.try_divide(F.col("s"), top), 6).alias("score")).orderBy(F.desc("score"), key).limit(most)
+
+
+def dominant(hits: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """The file with `least` context blocks and more, if it is the only one; else no row."""
+    counts = hits.groupBy(key).agg(F.count("*").alias("blocks")).where(F.col("blocks") >= least)
+    return counts.groupBy().agg(F.count("*").alias("n"), F.min(key).alias(key), F.min("blocks").alias("blocks")).where("n = 1").select(key, "blocks")
+
+
+TABLE_ROWS, TABLE_OVERLAP = 30, 5
+
+
+def tabular_chunks(files: DataFrame, key: str, text: str = "text", headers: int = 1) -> DataFrame:
+    """(key, block, ordinal, rows, chunk): of each block of lines between blank ones, windows of 30 rows that overlap by 5, with
+    the block's header lines before each."""
+    blocks = F.filter(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n[ \t]*(?:\n[ \t]*)+"), lambda b: F.trim(b) != "")
+    each = files.select(key, F.posexplode(blocks).alias("block", "b")).withColumn("lines", F.filter(F.split("b", "\n"), lambda x: F.trim(x) != ""))
+    own = F.slice("lines", F.lit(headers + 1), F.greatest(F.size("lines") - headers, F.lit(0)))
+    step = TABLE_ROWS - TABLE_OVERLAP
+    starts = F.sequence(F.lit(0), F.greatest(F.size("own") - TABLE_OVERLAP - 1, F.lit(0)), F.lit(step))
+    cut = each.withColumn("own", own).where(F.size("own") > 0).select(key, "block", F.slice("lines", 1, headers).alias("head"), F.posexplode(F.transform(starts, lambda s: F.slice("own", s + 1, TABLE_ROWS))).alias("ordinal", "part"))
+    return cut.select(key, "block", "ordinal", F.size("part").alias("rows"), F.array_join(F.concat("head", "part"), "\n").alias("chunk"))
+
+
+def segments(chunks_: DataFrame, key: str, size: str, budget: int) -> DataFrame:
+    """(key, ordinal, segment): consecutive chunks of a file put together while they fit the budget; a chunk beyond it is a
+    segment of its own. The running sum starts anew where it is exceeded, so each file's sizes are folded in order."""
+    ordered = chunks_.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ordinal", F.col(size).cast("long").alias("size")))).alias("c"))
+
+    def fold(state: Column, x: Column) -> Column:
+        fits = (state["used"] + x["size"] <= budget) | (state["used"] == 0)
+        at = F.when(fits, state["at"]).otherwise(state["at"] + 1)
+        used = F.when(fits, state["used"] + x["size"]).otherwise(x["size"])
+        return F.struct(at.alias("at"), used.alias("used"), F.concat(state["out"], F.array(at)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    folded = ordered.select(key, "c", F.aggregate("c", start, fold)["out"].alias("s"))
+    return folded.select(key, F.explode(F.arrays_zip(F.col("c.ordinal").alias("ordinal"), F.col("s").alias("segment"))).alias("z")).select(key, "z.ordinal", "z.segment")
+
+
+#: Shortened words after which a full stop ends no sentence.
+SHORTENED = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "cf", "al", "inc", "ltd", "co", "corp", "no", "dept", "est", "approx", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec", "fig", "vol", "rev", "gen")
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text: ends are . ! ? before white space and a capital, a digit or a quote. A full stop after a shortened
+    word, a single letter, a dotted run or digits alone ends none."""
+    marked = F.regexp_replace(text, r"(?i)(?<![\w.])(" + "|".join(x.replace(".", r"\.") for x in SHORTENED) + r"|[a-z]|(?:\w+\.)+\w+|\d+)\.(?=\s)", "$1\u0001")
+    parts = F.split(marked, r"(?<=[.!?])\s+(?=[\p{Lu}\d\"'(])")
+    return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
+
+
+def digest_text(text: Column, terms: list[str], budget: int) -> Column:
+    """The sentences that share most words with the question, as many as fit the budget of characters, in their own order."""
+    wanted = F.array(*map(F.lit, terms))
+    each = F.transform(sentences(text), lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(tokens(s)), wanted))).alias("score"), i.alias("at"), s.alias("s")))
+
+    def take(state: Column, x: Column) -> Column:
+        fits = state["used"] + F.length(x["s"]) + 1 <= budget
+        return F.struct(F.when(fits, state["used"] + F.length(x["s"]) + 1).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["kept"], F.array(F.struct(x["at"].alias("at"), x["s"].alias("s"))))).otherwise(state["kept"]).alias("kept"))
+
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<at:int,s:string>>").alias("kept"))
+    kept = F.aggregate(F.array_sort(each), start, take)["kept"]
+    return F.array_join(F.transform(F.array_sort(kept), lambda x: x["s"]), " ")

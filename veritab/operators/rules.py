@@ -7,17 +7,52 @@ from pyspark.sql import functions as F
 
 
 def decide(files: DataFrame, rules: DataFrame, key: str, path: str) -> DataFrame:
-    """(key, included): the verdict of the last rule of the deepest scope that fits; included where none does.
-
-    rules: (scope, pattern, verdict, position), a table that people write, so its size is checked before it is broadcast.
-    Of all rules that fit a file only the strongest is kept by a partial max, so no window over the files is needed."""
-    n = rules.count()
-    if n > 10_000:
-        raise ValueError(f"{n} rules; 10000 at most")
-    fits = F.col(path).startswith(F.col("scope")) & F.expr(f"`{path}` RLIKE pattern")
-    strength = F.struct(F.length("scope"), F.col("position"), F.col("verdict"))
-    found = files.select(key, path).join(F.broadcast(rules), fits, "left").groupBy(key).agg(F.max(F.when(F.col("scope").isNotNull(), strength)).alias("s"))
-    return found.select(key, F.coalesce(F.col("s.verdict") == "include", F.lit(True)).alias("included"))
+    """(key, included), a row for each row of files: the verdict of the last rule of the deepest scope that fits; included
+    where none does, and where the path is null.
+
+    rules: (scope, pattern, verdict, position), verdict include, exclude or clear, which undoes the rules above it. The
+    different paths meet the rules by an equi-join of their prefixes of the lengths that scopes have, and the patterns are
+    tested after it; of all rules that fit a path only the strongest is kept, by a partial max."""
+    lengths = [r[0] for r in rules.select(F.length("scope")).distinct().collect()]
+    paths = files.select(F.col(path).alias("_path")).where("_path IS NOT NULL").distinct()
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    near = paths.select("_path", F.explode(prefixes).alias("scope")).join(rules, "scope").where("_path RLIKE pattern")
+    strongest = near.groupBy("_path").agg(F.max(F.struct(F.length("scope"), F.col("position"), F.col("verdict"))).alias("s"))
+    verdict = strongest.select("_path", F.col("s.verdict").alias("_verdict"))
+    found = files.select(key, F.col(path).alias("_path")).join(verdict, "_path", "left")
+    return found.select(key, F.coalesce(F.col("_verdict") != "exclude", F.lit(True)).alias("included"))
+
+
+def decide_all(files: DataFrame, rules: DataFrame, key: str, path: str, own: str, parent: str | None = None) -> DataFrame:
+    """(key, included): a file in an excluded folder is excluded, whatever else holds; then its own flag decides (own, true or
+    false), then the rules, then it is included. parent: a column of the excluded folder around it, null where there is none."""
+    ruled = decide(files, rules, key, path)
+    out = files.select(key, F.col(own).alias("_own"), (F.col(parent).isNotNull() if parent else F.lit(False)).alias("_away")).join(ruled, key)
+    return out.select(key, F.when(F.col("_away"), False).otherwise(F.coalesce("_own", "included")).alias("included"))
+
+
+def shareable(files: DataFrame, local_only: DataFrame, key: str, cloud: bool) -> DataFrame:
+    """Included files, without those that must stay local where the answer leaves the machine."""
+    kept = files.where("included")
+    return kept.join(local_only.select(key).distinct(), key, "left_anti") if cloud else kept
+
+
+def whats_new(files: DataFrame, saved: str, now: Column, days: int, most: int = 15) -> DataFrame:
+    """Files saved within so many days, newest first."""
+    return files.where((F.col(saved) <= now) & (F.col(saved) > now - F.make_interval(days=F.lit(days)))).orderBy(F.desc(saved), "name").limit(most)
+
+
+def inventory(files: DataFrame, kind: str, most: int = 10) -> DataFrame:
+    """Files by kind, most first; kinds beyond the first `most` are one row, other."""
+    counts = files.groupBy(F.coalesce(F.col(kind), F.lit("unknown")).alias("kind")).agg(F.count("*").alias("files"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("files"), "kind")))
+    return ranked.groupBy(F.when(F.col("rank") <= most, F.col("kind")).otherwise("other").alias("kind")).agg(F.sum("files").alias("files"))
+
+
+def with_column(columns: DataFrame, wanted: str) -> DataFrame:
+    """(table_name, column_name): tables that have a column of the name; where none has, those whose column names hold it."""
+    named = columns.withColumn("exact", F.lower("column_name") == wanted.lower()).where(F.col("exact") | F.lower("column_name").contains(wanted.lower()))
+    return named.where(F.col("exact") | ~F.coalesce(named.agg(F.bool_or("exact").alias("e")).select("e").scalar(), F.lit(False))).select("table_name", "column_name")
 
 
 def top_and_other(totals: DataFrame, label: str, value: str, n: int = 23) -> DataFrame:

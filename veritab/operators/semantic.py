@@ -6,9 +6,10 @@ import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.functions.text import sanitize
-from veritab.plans.guard import Refused, guard, items, name_of, parse, reads
+from veritab.plans.guard import Refused, guard, items, name_of, parse, parser, reads
 
 DEPTH = 3
 AGGREGATES = ("sum(", "avg(", "count(", "min(", "max(", "median(", "stddev", "var_", "approx_count_distinct(", "percentile")
@@ -28,14 +29,21 @@ class Metric:
     entity: str
 
 
+#: Column words and their usual short forms.
+SHORT_FORMS = (("amount", "amt"), ("quantity", "qty"), ("region", "rgn"), ("number", "num"), ("description", "desc"), ("category", "cat"), ("customer", "cust"), ("account", "acct"), ("department", "dept"), ("revenue", "rev"), ("average", "avg"), ("transaction", "txn"), ("reference", "ref"), ("balance", "bal"), ("percent", "pct"), ("organization", "org"), ("identifier", "ident"), ("address", "addr"))
+DEFINITIONS = 24
+
+
 @dataclass
 class Catalog:
-    """Views and metrics over the session's temporary views."""
+    """Views, metrics and synonyms over the session's temporary views; local_only names tables that never leave the machine."""
 
     spark: SparkSession
     tables: list[str]
     views: dict[str, View] = field(default_factory=dict)
     metrics: dict[str, Metric] = field(default_factory=dict)
+    synonyms: dict[str, str] = field(default_factory=dict)
+    local_only: set[str] = field(default_factory=set)
 
     def depth(self, name: str) -> int:
         return 1 + max(map(self.depth, self.views[name].reads), default=0) if name in self.views else 0
@@ -66,6 +74,68 @@ class Catalog:
             del self.views[v]
         return [name, *others]
 
+    def rename_view(self, name: str, new: str) -> View:
+        """Refused where another view stands on it, or the new name is in use."""
+        new = sanitize(new)
+        if others := self.dependents(name):
+            raise Refused(f"{', '.join(others)} need {name}")
+        if new in self.views or new in self.tables:
+            raise Refused(f"{new} is in use")
+        view = self.views.pop(name)
+        self.spark.catalog.dropTempView(name)
+        self.spark.sql(view.sql).createOrReplaceTempView(new)
+        self.views[new] = View(new, view.sql, view.reads)
+        return self.views[new]
+
+    def resolve(self, tables: list[str]) -> list[str]:
+        """The views that hold over these tables alone, in the order they were made: all that a view reads must be a table or a
+        view that holds. A table of a view's name hides it."""
+        known = {t.lower() for t in tables}
+        out: list[str] = []
+        for name, view in self.views.items():
+            if name not in known and set(view.reads) <= known | set(out):
+                out.append(name)
+        return out
+
+    def private(self, name: str) -> bool:
+        """Whether a table, a view or a metric rests on a table that never leaves the machine."""
+        if name in self.metrics:
+            return self.private(self.metrics[name].entity.lower())
+        return name in self.local_only or any(self.private(r) for r in (self.views[name].reads if name in self.views else ()))
+
+    def create_synonym(self, term: str, target: str) -> None:
+        """A term that means a metric or a column; refused where the term is a metric or has a meaning."""
+        term = term.strip().lower()
+        if not term or term in self.metrics or term in self.synonyms:
+            raise Refused(f"{term or 'a term'} is in use or empty")
+        self.synonyms[term] = target
+
+    def rename_metric(self, name: str, new: str) -> Metric:
+        """Synonyms of the metric follow."""
+        if new in self.metrics or new in self.spark.table(self.metrics[name].entity).columns:
+            raise Refused(f"{new} is in use")
+        old = self.metrics.pop(name)
+        self.metrics[new] = Metric(new, old.expression, old.entity)
+        self.synonyms = {t: new if x == name else x for t, x in self.synonyms.items()}
+        return self.metrics[new]
+
+    def delete_metric(self, name: str, cascade: bool = False) -> list[str]:
+        """The synonyms that went with it; refused where there are any and cascade is not asked for."""
+        terms = [t for t, x in self.synonyms.items() if x == name]
+        if terms and not cascade:
+            raise Refused(f"{', '.join(terms)} mean {name}")
+        del self.metrics[name]
+        for t in terms:
+            del self.synonyms[t]
+        return terms
+
+    def definitions(self, question: str | None = None, most: int = DEFINITIONS) -> list[str]:
+        """A line for each of the newest metrics and synonyms; with a question only of those that it names."""
+        lines = [(m.name, f"{m.name} = {m.expression} over {m.entity}") for m in reversed(self.metrics.values())]
+        lines += [(t, f"{t} means {x}") for t, x in reversed(self.synonyms.items())]
+        asked = f" {question.lower()} " if question is not None else None
+        return [text for name, text in lines if asked is None or name.replace("_", " ").lower() in asked or name.lower() in asked][:most]
+
     def create_metric(self, name: str, expression: str, entity: str) -> Metric:
         guard(self.spark, f"SELECT {expression} AS metric_value FROM {entity}", [*self.tables, *self.views])
         columns = self.spark.table(entity).columns
@@ -79,8 +149,7 @@ class Catalog:
         """Metrics whose expression is one of the statement's projections and whose entity it reads."""
         shown = {canonical(x) for x in projections(self.spark, sql)}
         entities = set(map(str.lower, reads(self.spark, sql)))
-        parser = self.spark._jsparkSession.sessionState().sqlParser()
-        return [m.name for m in self.metrics.values() if canonical(parser.parseExpression(m.expression).sql()) in shown and m.entity.lower() in entities]
+        return [m.name for m in self.metrics.values() if canonical(parser(self.spark).parseExpression(m.expression).sql()) in shown and m.entity.lower() in entities]
 
     def reconcile(self, sql: str, metric: str) -> bool:
         """Whether the metric, run anew with the statement's filter and grouping, gives the statement's values."""
@@ -88,24 +157,16 @@ class Catalog:
         where, groups = filter_and_groups(self.spark, sql)
         own = self.spark.table(m.entity)
         own = own.where(where) if where else own
-        fresh = own.groupBy(*groups).agg(_expr(m.expression).alias("v")) if groups else own.agg(_expr(m.expression).alias("v"))
+        fresh = own.groupBy(*groups).agg(F.expr(m.expression).alias("v")) if groups else own.agg(F.expr(m.expression).alias("v"))
         shown = self.spark.sql(sql)
-        column = next((c for c, e in zip(shown.columns, projections(self.spark, sql), strict=False) if canonical(e) == canonical(self.spark._jsparkSession.sessionState().sqlParser().parseExpression(m.expression).sql())), None)
+        column = next((c for c, e in zip(shown.columns, projections(self.spark, sql), strict=False) if canonical(e) == canonical(parser(self.spark).parseExpression(m.expression).sql())), None)
         if column is None:
             return False
         a, b = _rounded(fresh, "v"), _rounded(shown, column)
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def _expr(text: str):
-    from pyspark.sql import functions as F
-
-    return F.expr(text)
-
-
 def _rounded(df: DataFrame, column: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return df.select(F.round(F.col(f"`{column}`").cast("double"), 6).alias("v"))
 
 
@@ -158,3 +219,26 @@ def ledger(spark: SparkSession, sql: str) -> list[str]:
 
 def short_id(kind: str, *parts: str) -> str:
     return f"{kind}-{hashlib.sha1(chr(0).join(parts).encode()).hexdigest()[:12]}"
+
+
+def propose_synonyms(columns: DataFrame, known: DataFrame) -> DataFrame:
+    """(term, column_name): for each column of (column_name) that is a usual short form, or long form, the other one; none where both are
+    columns or the term has a meaning in known (term)."""
+    pairs = [(x, y) for long, short in SHORT_FORMS for x, y in ((long, short), (short, long))]
+    forms = columns.sparkSession.createDataFrame(pairs, "column_name string, term string")
+    names = columns.select(F.lower("column_name").alias("column_name")).distinct()
+    found = names.join(forms, "column_name").join(names.select(F.col("column_name").alias("term")), "term", "left_anti")
+    return found.join(known.select(F.lower("term").alias("term")).distinct(), "term", "left_anti").select("term", "column_name")
+
+
+def closure(edges: DataFrame, flagged: DataFrame, steps: int = DEPTH + 1) -> DataFrame:
+    """(name) of all that rests, over any number of steps up to `steps`, on something flagged. edges: (name, reads)."""
+    out = flagged.select("name").distinct()
+    for _ in range(steps):
+        out = out.unionAll(edges.join(out.select(F.col("name").alias("reads")), "reads", "left_semi").select("name")).distinct()
+    return out
+
+
+def shaped_samples(before: DataFrame, after: DataFrame, n: int = 3) -> tuple[list, list]:
+    """The first rows of a table and of what a statement makes of it."""
+    return before.head(n), after.head(n)

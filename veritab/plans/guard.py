@@ -1,7 +1,8 @@
 """The read-only guard over Spark's own parser, and what a statement reads.
 
 The parsed plan's nodes must all be on a list of those that only read; a relation is a one-part name that the caller has
-registered. Functions that run foreign code are refused.
+registered, or a CTE within its own scope. Only Spark's own functions may be called, but for those that run foreign code or
+tell of files; a function that the session has added is refused, and so is one that hides a function of Spark's.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ class Refused(ValueError):
     """A statement that is not a single read of registered tables."""
 
 
+def parser(spark: SparkSession):
+    """Spark's SQL parser; the one place that needs a classic session."""
+    return spark._jsparkSession.sessionState().sqlParser()
+
+
 def parse(spark: SparkSession, sql: str):
     try:
-        return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        return parser(spark).parsePlan(sql)
     except Exception as e:
         raise Refused(f"not one readable statement: {str(e).splitlines()[0][:200]}") from None
 
@@ -59,27 +65,62 @@ def walk_expression(expression) -> Iterator[tuple[str, object]]:
         yield from walk_expression(child)
 
 
+def relations(plan, own: frozenset[str] = frozenset()) -> Iterator[str]:
+    """The names of relations below a plan that are no CTE where they stand. A CTE is known to the CTEs after it, to its own
+    statement and to the subqueries in it, and nowhere else."""
+    kind = name_of(plan)
+    if kind == "UnresolvedWith":
+        for pair in items(plan.cteRelations()):
+            name = pair._1().lower()
+            yield from relations(pair._2(), own | {name} if plan.allowRecursion() else own)
+            own = own | {name}
+    elif kind == "UnresolvedRelation":
+        parts = list(items(plan.multipartIdentifier()))
+        if len(parts) > 1 or parts[0].lower() not in own:
+            yield ".".join(parts)
+    for expression in items(plan.expressions()):
+        yield from _relations_of(expression, own)
+    for child in items(plan.children()):
+        yield from relations(child, own)
+
+
+def _relations_of(expression, own: frozenset[str]) -> Iterator[str]:
+    if name_of(expression) in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+        yield from relations(expression.plan(), own)
+    for child in items(expression.children()):
+        yield from _relations_of(child, own)
+
+
 def reads(spark: SparkSession, sql: str) -> list[str]:
     """The relations that a statement names, in order of appearance, without its own CTEs."""
-    names, own = [], set()
-    for kind, node in walk(parse(spark, sql)):
-        if kind == "plan" and name_of(node) == "UnresolvedWith":
-            own |= {pair._1().lower() for pair in items(node.cteRelations())}
-        if kind == "plan" and name_of(node) == "UnresolvedRelation":
-            names.append(".".join(items(node.multipartIdentifier())))
-    return list(dict.fromkeys(n for n in names if n.lower() not in own))
+    return list(dict.fromkeys(relations(parse(spark, sql))))
+
+
+def builtin_functions(spark: SparkSession) -> frozenset[str]:
+    """Spark's own functions that nothing in the session hides."""
+    listed = [{r.function.lower() for r in spark.sql(f"SHOW {kind} FUNCTIONS").collect()} for kind in ("SYSTEM", "USER")]
+    return frozenset(listed[0] - {x.split(".")[-1] for x in listed[1]} - REFUSED_FUNCTIONS)
+
+
+def called(node) -> str | None:
+    """The name of the function that an unresolved call names, in full."""
+    kind = name_of(node)
+    if kind == "UnresolvedFunction":
+        return ".".join(items(node.nameParts())).lower()
+    return node.name().unquotedString().lower() if kind == "UnresolvedGenerator" else None
 
 
 def guard(spark: SparkSession, sql: str, tables: list[str] | None = None) -> list[str]:
     """Raises Refused unless the statement only reads registered tables; returns their names."""
+    builtin = None
     for kind, node in walk(parse(spark, sql)):
         name = name_of(node)
         if kind == "plan" and name not in ALLOWED:
             raise Refused(f"{name} is not a read")
-        if kind == "expression" and name == "UnresolvedFunction":
-            called = list(items(node.nameParts()))[-1].lower()
-            if called in REFUSED_FUNCTIONS:
-                raise Refused(f"function {called} is not allowed")
+        if kind == "expression" and (function := called(node)):
+            builtin = builtin or builtin_functions(spark)
+            if function not in builtin:
+                raise Refused(f"function {function} is not allowed")
     found = reads(spark, sql)
     known = {t.lower() for t in tables} if tables is not None else None
     for name in found:

@@ -12,6 +12,7 @@ from veritab.operators import profile, ranking, recipes, retrieval, rules
 from veritab.operators.semantic import Catalog
 from veritab.plans.execute import run_query
 from veritab.session import table
+from veritab.sources.store import new_folder
 from veritab.streaming.watch import windowed_totals
 
 QUERIES: dict = {}
@@ -30,7 +31,7 @@ def query(sql: str | None = None):
     return put
 
 
-STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
+STOP = "'the', 'a', 'an', 'and', 'or', 'of', 'to', 'in', 'is', 'are', 'for', 'on', 'with', 'as', 'at', 'by', 'from', 'this', 'that', 'it', 'be', 'do', 'does', 'have', 'any', 'there', 'my', 'our', 'your', 'you', 'me', 'i'"
 MONTHS = "m AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice) AS total FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1)"
 
 
@@ -148,12 +149,28 @@ def dq_completeness(spark, d):
     return recipes.completeness(table(spark, d, "customer"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, (SELECT count(*) FROM part WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3 FROM part)" for c in ("p_size", "p_retailprice")))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, (SELECT count(*) FROM part WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers FROM (SELECT quantile_disc(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_disc(CAST({c} AS DOUBLE), 0.75) AS q3 FROM part)" for c in ("p_size", "p_retailprice")))
 def iqr_outliers(spark, d):
     return recipes.iqr_outliers(table(spark, d, "part"), ["p_size", "p_retailprice"])
 
 
-@query()
+def _insight_sql() -> str:
+    """Findings over orders and lineitem from the recipes' own SQL."""
+    parts = []
+    for name, date, metric, group in (("orders", "o_orderdate", "o_orderkey", "o_orderstatus"), ("lineitem", "l_shipdate", "l_orderkey", "l_returnflag")):
+        m = f"SELECT strftime({date}, '%Y-%m') AS period, sum(CAST({metric} AS DOUBLE)) AS total FROM {name} WHERE {date} IS NOT NULL GROUP BY 1"
+        z = "round((total - avg(total) OVER ()) / nullif(stddev_samp(total) OVER (), 0), 2)"
+        parts.append(f"SELECT '{name}' AS table_name, 'anomaly' AS kind, period AS label, abs(z) AS magnitude FROM (SELECT period, {z} AS z FROM ({m})) WHERE abs(z) > 2")
+        parts.append(f"""SELECT '{name}', 'changepoint', period, magnitude FROM (SELECT period, round(abs(a - b) / (coalesce(sd, 0) + 1e-9), 2) AS magnitude FROM (
+SELECT period, part / k AS b, (s - part) / (n - k) AS a, sd FROM (SELECT period, count(*) OVER (ORDER BY period) AS k, sum(total) OVER (ORDER BY period) AS part, count(*) OVER () AS n, sum(total) OVER () AS s, stddev_samp(total) OVER () AS sd FROM ({m})) WHERE n >= 4 AND k < n)
+ORDER BY magnitude DESC, period LIMIT 1) WHERE magnitude >= 1""")
+        g = m.replace("SELECT strftime", f"SELECT {group} AS g, strftime").replace("GROUP BY 1", "GROUP BY 1, 2")
+        parts.append(f"""SELECT '{name}', 'mover', g, abs(pct) / 100 FROM (SELECT g, round(100 * (c - p) / nullif(p, 0), 1) AS pct FROM (SELECT g, max(CASE WHEN rn = 1 THEN total END) AS c, max(CASE WHEN rn = 2 THEN total END) AS p FROM (
+SELECT *, row_number() OVER (PARTITION BY g ORDER BY period DESC) AS rn FROM ({g})) GROUP BY g) WHERE c - p IS NOT NULL ORDER BY abs(round(c - p, 2)) DESC, g LIMIT 20) WHERE abs(pct) >= 25""")
+    return f"SELECT * FROM ({' UNION ALL '.join(f'SELECT * FROM ({p})' for p in parts)}) ORDER BY magnitude DESC, table_name, kind, label LIMIT 8"
+
+
+@query(_insight_sql())
 def insight_findings(spark, d):
     return recipes.insights({"orders": orders(spark, d), "lineitem": table(spark, d, "lineitem")})
 
@@ -181,9 +198,9 @@ def distinct_counts(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("SELECT l_linestatus, median(l_quantity) AS mid, round(var_samp(l_quantity), 6) AS var, round(stddev_samp(l_discount), 6) AS sd, bool_and(l_tax >= 0) AS sound FROM lineitem GROUP BY 1")
+@query("SELECT l_linestatus, quantile_disc(l_quantity, 0.5) AS mid, round(var_samp(l_quantity), 6) AS var, round(stddev_samp(l_discount), 6) AS sd, bool_and(l_tax >= 0) AS sound FROM lineitem GROUP BY 1")
 def median_var(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.median("l_quantity").alias("mid"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.round(F.stddev_samp("l_discount"), 6).alias("sd"), F.bool_and(F.col("l_tax") >= 0).alias("sound"))
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.percentile_approx("l_quantity", 0.5, 100_000).alias("mid"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.round(F.stddev_samp("l_discount"), 6).alias("sd"), F.bool_and(F.col("l_tax") >= 0).alias("sound"))
 
 
 @query("SELECT r_name AS name, 'region' AS kind FROM region UNION ALL SELECT n_name, 'nation' FROM nation")
@@ -259,7 +276,23 @@ TERMS = f"t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{
 
 @query(f"WITH {TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM c GROUP BY 1")
 def doc_freq(spark, d):
-    return retrieval.term_counts(table(spark, d, "documents"), ["doc_id"], "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.document_frequency(table(spark, d, "documents"), "text")
+
+
+INDEXES: dict = {}
+
+
+def document_index(spark: SparkSession, d: str) -> retrieval.Index:
+    """The index of the table documents, written once for each session and folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in INDEXES:
+        INDEXES[at] = retrieval.build_index(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", new_folder(spark, "index"))
+    return INDEXES[at]
+
+
+@query(f"WITH {{TERMS}}, n AS (SELECT count(*) AS n FROM documents), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1) SELECT doc_id, round(sqrt(sum(pow(tf * (ln((n + 1) / (df + 1)) + 1), 2))), 6) AS norm FROM c JOIN f USING (term), n GROUP BY 1".replace("{TERMS}", TERMS))
+def index_norms(spark, d):
+    return document_index(spark, d).norms.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 QUERY_TERMS = ["thing", "nation", "hand", "thing"]
@@ -272,7 +305,7 @@ qn AS (SELECT sqrt(sum(pow(coalesce(k * (ln((n + 1) / (df + 1)) + 1), ln(n + 1)
 s AS (SELECT doc_id, sum(CASE WHEN k IS NULL THEN 0 ELSE w * k * idf END) AS dot, sqrt(sum(w * w)) AS norm FROM w LEFT JOIN q USING (term) GROUP BY 1)
 SELECT doc_id, round(dot / (s.norm * qn.norm), 6) AS score FROM s, qn WHERE dot > 0 ORDER BY round(dot / (s.norm * qn.norm), 6) DESC, doc_id LIMIT 20""")
 def tfidf_topk(spark, d):
-    scored = retrieval.tfidf(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", QUERY_TERMS)
+    scored = document_index(spark, d).search(QUERY_TERMS)
     return scored.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -343,12 +376,14 @@ def view_over_view(spark, d):
     return spark.table("vt_open_by_priority")
 
 
-@query("SELECT 'revenue' AS metric, true AS certified, true AS reconciled")
+@query("""SELECT * FROM (VALUES ('revenue', 'certified', true, true), ('revenue', 'near miss', false, false), ('revenue', 'other rows', true, false)) t(metric, statement, certified, reconciled)""")
 def metric_reconcile(spark, d):
     catalog = _catalog(spark, d)
     catalog.create_metric("revenue", "sum(o_totalprice)", "vt_orders")
-    sql = "SELECT o_orderpriority, SUM(o_totalprice) AS revenue FROM vt_orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority"
-    return spark.createDataFrame([("revenue", "revenue" in catalog.certified(sql), catalog.reconcile(sql, "revenue"))], "metric string, certified boolean, reconciled boolean")
+    base = "SELECT o_orderpriority, SUM(o_totalprice) AS revenue FROM vt_orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority"
+    statements = {"certified": base, "near miss": base.replace("SUM(o_totalprice)", "SUM(o_totalprice * 2)"), "other rows": base + " HAVING SUM(o_totalprice) < 0"}
+    rows = [("revenue", name, "revenue" in catalog.certified(sql), catalog.reconcile(sql, "revenue")) for name, sql in statements.items()]
+    return spark.createDataFrame(rows, "metric string, statement string, certified boolean, reconciled boolean")
 
 
 @query("SELECT 200 AS shown, true AS truncated, count(*) AS total FROM orders")
@@ -361,14 +396,13 @@ def capped_query(spark, d):
 @query("""WITH h AS (SELECT event_type || ' by user ' || user_id AS text, epoch_ms(ts) AS ts FROM events),
 k AS (SELECT lower(text) AS key, max(ts) AS ts, count(*) AS n FROM h GROUP BY 1),
 s AS (SELECT key, ts, n, regexp_extract(key, 'c.*?k.*?2', 0) AS w FROM k)
-SELECT key AS text, 'history' AS source, round(CASE WHEN starts_with(key, 'ck2') THEN 1100 ELSE 300.0 / length(w) END + 40 * pow(0.5, greatest(0, 1735689600000 - ts) / 604800000.0) + 20 * least(1, (n - 1) / 7.0), 6) AS score
+SELECT key AS text, 'history' AS source, round(CASE WHEN starts_with(key, 'ck2') THEN 1100 ELSE 300.0 / length(w) END + 40 * pow(0.5, greatest(0, 1706659200000 - ts) / 604800000.0) + 20 * least(1, (n - 1) / 7.0), 6) AS score
 FROM s WHERE w != '' ORDER BY score DESC, text LIMIT 6""")
 def type_ahead(spark, d):
     events = table(spark, d, "events")
     text = F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
     history = events.select(text.alias("text"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("count"))
-    found = ranking.past_questions(history, spark.createDataFrame([], "text string"), "ck2", 1_735_689_600_000)
-    return found.withColumn("score", F.round("score", 6))
+    return ranking.past_questions(history, spark.createDataFrame([], "text string"), "ck2", 1_706_659_200_000)
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '/' || p_name AS path, regexp_extract(lower(p_name), 'b.*?o.*?t', 0) AS w, regexp_extract(lower(p_brand || '/' || p_name), 'b.*?o.*?t', 0) AS v FROM part)
@@ -377,7 +411,7 @@ FROM s WHERE w != '' OR v != '' ORDER BY score DESC, length(path), path, id LIMI
 def quick_open(spark, d):
     path = F.concat(F.col("p_brand"), F.lit("/"), F.col("p_name"))
     items = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), path.alias("path"), F.lit("file").alias("kind"))
-    return ranking.quick_open(items, "bot").withColumn("score", F.round("score", 6))
+    return ranking.quick_open(items, "bot")
 
 
 @query("""WITH p AS (SELECT l_shipmonth, 100.0 * count(*) FILTER (WHERE l_linestatus = 'O') / count(*) AS o, 100.0 * count(*) FILTER (WHERE l_linestatus <> 'O') / count(*) AS f FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipmonth, l_linestatus FROM lineitem) GROUP BY 1)

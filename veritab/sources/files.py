@@ -15,7 +15,7 @@ from veritab.operators.recipes import kinds
 FORMATS = {".csv": ("csv", {"header": "true", "inferSchema": "true"}), ".tsv": ("csv", {"header": "true", "inferSchema": "true", "sep": "\t"}), ".parquet": ("parquet", {})}
 FILE_SLOTS, TABLES, FAMILY = 4, 6, 48
 #: Column names too general to suggest a join.
-GENERAL = frozenset("id name date amount value total count type status description notes comment year month day quantity price label title category code number key index".split())
+GENERAL = ("id", "name", "date", "value", "amount", "total", "count", "n", "status", "type", "category", "notes", "note", "priority", "active", "description", "comment", "created_at", "updated_at", "month", "year", "quarter", "label", "key", "code")
 
 
 @dataclass
