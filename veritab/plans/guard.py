@@ -24,7 +24,7 @@ class Refused(ValueError):
 
 
 def parser(spark: SparkSession):
-    """Spark's SQL parser; the one place that needs a classic session."""
+    """Spark's SQL parser. This and `builtin` need a classic session."""
     return spark._jsparkSession.sessionState().sqlParser()
 
 
@@ -96,10 +96,12 @@ def reads(spark: SparkSession, sql: str) -> list[str]:
     return list(dict.fromkeys(relations(parse(spark, sql))))
 
 
-def builtin_functions(spark: SparkSession) -> frozenset[str]:
-    """Spark's own functions that nothing in the session hides."""
-    listed = [{r.function.lower() for r in spark.sql(f"SHOW {kind} FUNCTIONS").collect()} for kind in ("SYSTEM", "USER")]
-    return frozenset(listed[0] - {x.split(".")[-1] for x in listed[1]} - REFUSED_FUNCTIONS)
+def builtin(spark: SparkSession, name: str) -> bool:
+    """Whether a name is a function of Spark's own that the session has not replaced."""
+    if "." in name or name in REFUSED_FUNCTIONS:
+        return False
+    found = spark._jsparkSession.sessionState().functionRegistry().lookupFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return found.isDefined() and found.get().getSource() == "built-in"
 
 
 def called(node) -> str | None:
@@ -112,15 +114,12 @@ def called(node) -> str | None:
 
 def guard(spark: SparkSession, sql: str, tables: list[str] | None = None) -> list[str]:
     """Raises Refused unless the statement only reads registered tables; returns their names."""
-    builtin = None
     for kind, node in walk(parse(spark, sql)):
         name = name_of(node)
         if kind == "plan" and name not in ALLOWED:
             raise Refused(f"{name} is not a read")
-        if kind == "expression" and (function := called(node)):
-            builtin = builtin or builtin_functions(spark)
-            if function not in builtin:
-                raise Refused(f"function {function} is not allowed")
+        if kind == "expression" and (function := called(node)) and not builtin(spark, function):
+            raise Refused(f"function {function} is not allowed")
     found = reads(spark, sql)
     known = {t.lower() for t in tables} if tables is not None else None
     for name in found:
