@@ -4,15 +4,16 @@ Texts that share 0.8 of their five-word shingles have SimHashes some ten bits ap
 no longer tell pairs apart. Here documents meet that share a band of minima: of `BANDS` bands with `BAND_ROWS` minima each,
 a pair of likeness 0.8 shares at least one with probability 0.99997. A met pair is discarded if a pivot coordinate (each
 class carries its table of distances) or the SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
-`SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; the bounds lie four and a half deviations and more beyond
+`SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; the bounds lie four deviations and more beyond
 a pair at 0.8. The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
 
 Groups of any size are joined without emitting their pairs. In each round every open bucket names a few centres, which are
-compared with the members of other components in all their buckets, each pair in the first bucket that both share. Of what
+compared with the members of other components in all their buckets, each pair in the first bucket that both share; the first round's are named by an eighth of the buckets. Of what
 passes the filter each class first verifies its nearest centre alone, then each two components their nearest pair; links
-merge components, and only pairs that still lie in two of them are all verified after that. A class that has been a centre is never compared again, and a bucket is closed when
-all its members outside its largest component have been centres, so every link between components that share a bucket is
-found. The number of centres grows eightfold each round.
+merge components, and only pairs that still lie in two of them are all verified after that. The second round's centres are members of each bucket's largest component, which
+most of the others join there; later ones are those that have not. A class that has been a centre is never compared again, and
+a bucket is closed when all its members outside its largest component have been centres, so every link between components that
+share a bucket is found. The number of centres grows sixteenfold each round.
 
 Defined results: null and empty texts, and texts without words, are one group; texts of fewer words than a shingle are their
 whole sequence; equal texts are one class throughout; a null doc_id names a component only if nothing else is in it;
@@ -22,6 +23,7 @@ repeated rows stay repeated. Columns other than doc_id and text are never read.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from operator import add
 
 import numpy as np
@@ -40,9 +42,11 @@ WIDE_RADIUS = 28
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: A pair at 0.8 differs in 102 of 1024 places on average, with a deviation of 9.6.
-MOST_APART = 146
-CENTRES = 2
-GROWTH = 8
+MOST_APART = 141
+#: Of the first rounds: centres of a bucket, whether they are of its largest component, and which share of the buckets names
+#: any (one in so many); later rounds grow from the last.
+ROUNDS = ((1, False, 8), (4, True, 1), (16, False, 1))
+GROWTH = 16
 #: Odd multipliers: each orders the shingle hashes in its own way. The bands' are whole words, the sketch's half words.
 ORDERS = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 SKETCH_ORDERS = (mix(np.arange(1001, 1001 + SKETCH_BITS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
@@ -50,7 +54,7 @@ CHUNK = 256
 #: A list of classes with at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Shingle sets of at most so many bytes are broadcast to be verified against; more are joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 PLACED = [f"b{k}" for k in range(SKETCH_WORDS)]
 
 
@@ -184,8 +188,8 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
     several classes, keys being all of the class's. Nothing that is bounded by the number of pairs is shuffled before the
     filter."""
     rooted = done = None
-    centres_of_bucket = CENTRES
-    while True:
+    for turn in count():
+        centres_of_bucket, of_lead, one_in = ROUNDS[turn] if turn < len(ROUNDS) else (ROUNDS[-1][0] * GROWTH ** (turn + 1 - len(ROUNDS)), False, 1)
         placed = label_of(shared, "cls", rooted, "label")
         if rooted is None:
             placed = placed.withColumn("size", F.lit(1).cast("long"))
@@ -195,14 +199,18 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         narrow = placed.select("key", "cls", "label", "size")
         lead = narrow.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         lead = materialise(lead.select("key", F.col("lead.label").alias("lead")))
-        waiting = narrow.join(lead, "key").where("label != lead")
+        waiting = narrow.join(lead, "key").where("label = lead" if of_lead else "label != lead")
         if done is not None:
             waiting = waiting.join(done, "cls", "left_anti")
+        if one_in > 1:
+            waiting = waiting.where(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(one_in)) == 0)
         salt = F.pmod(F.xxhash64("cls", F.lit(centres_of_bucket)), F.lit(centres_of_bucket))
         first = F.min(F.struct("size", F.xxhash64("cls").alias("order"), "cls"))
         centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("c.cls").distinct())
         if centres.isEmpty():
             discard(lead, centres)
+            if of_lead or one_in > 1:
+                continue
             return rooted
         opened = placed.drop("size").join(lead.select("key"), "key", "left_semi")
         if done is not None:
@@ -234,7 +242,6 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         discard(rest)
         done = centres if done is None else done.unionAll(centres)
         discard(lead, opened)
-        centres_of_bucket *= GROWTH
 
 
 def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
