@@ -35,10 +35,11 @@ def edited(draw: random.Random, words: list[str], times: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("start", [2, 1])
-def test_large_groups_against_brute_force(spark, monkeypatch, start):
+@pytest.mark.parametrize("rounds", [((2, False, 4), (2, True, 1), (4, False, 1)), ((1, False, 1),)])
+def test_large_groups_against_brute_force(spark, monkeypatch, rounds):
     """Copies of a few texts with one to eight edits, so groups hold chains and members that only some others are near to."""
-    monkeypatch.setattr(m, "CENTRES", start)
+    monkeypatch.setattr(m, "ROUNDS", rounds)
+    monkeypatch.setattr(m, "GROWTH", 3)
     draw = random.Random(11)
     texts = []
     for _ in range(4):
