@@ -62,9 +62,11 @@ def places(host: Column, path: Column) -> Column:
     """The places of the n-grams of host, framed by ^ and $, and of path; repeats included."""
 
     def grams(text: Column, mark: str, n: int) -> Column:
-        letters = F.split(text, "")
-        at = F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1)))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.array_join(F.slice(letters, i, n), "")), F.lit(PLACES)).cast("int"))
+        def cut(letters: Column) -> Column:
+            at = F.sequence(F.lit(1), F.greatest(F.size(letters) - n + 1, F.lit(1)))
+            return F.transform(at, lambda i: F.pmod(F.xxhash64(F.lit(mark), F.array_join(F.slice(letters, i, n), "")), F.lit(PLACES)).cast("int"))
+
+        return let(F.split(text, ""), cut)
 
     return F.concat(*[grams(F.concat(F.lit("^"), text, F.lit("$")), mark, n) for text, mark in ((host, "h"), (path, "p")) for n in GRAM_LENGTHS])
 
