@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veritab.llm import simhash_dedup as m
@@ -108,3 +109,27 @@ def test_pipeline_packs_one_of_each_group(spark):
     lengths = packed.groupby("doc_id").length.sum()
     expected = {i: len(library.encode(x, add_special_tokens=False).ids) + 1 for i, x in zip(clean.doc_id, clean.text, strict=True) if i in kept}
     assert lengths.to_dict() == expected
+
+
+def test_stages_of_odd_tables(spark):
+    """Null and repeated ids, repeated rows, clashing and odd column names, no tags, no labels, an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _veritab_language string, `a.b` int, found int, doc string"
+    story = lambda k: " ".join(f"word{k}x{j}" for j in range(40))
+    rows = [(i, t, g, "s", 1, "own", 5, 6, "d") for i, t, g in [(1, story(1), "en"), (1, story(2), "en"), (1, story(1), "en"), (None, story(3), "en"), (None, story(4), None), (None, story(5), None), (2, None, "en"), (3, "", None), (4, " \n", "en"), (5, "12 34", "en"), (6, "word " * 30_000, "en")]]
+    docs = spark.createDataFrame(rows, schema)
+    for stage, sizes in ((stages.keep_identified, 7), (stages.keep_good, None), (stages.keep_one_of_each, 8)):
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema and {r._veritab_language for r in out.select("_veritab_language").collect()} <= {"own"}
+        assert sizes is None or out.count() == sizes, stage
+        assert stage(spark, docs.limit(0), SF).isEmpty()
+    untagged = stages.keep_identified(spark, docs.withColumn("lang", F.lit(None).cast("string")), SF)
+    assert untagged.count() == 7
+    assert stages.pack(spark, docs, SF).selectExpr("sum(length) > 0").first()[0] and stages.pack(spark, docs.limit(0), SF).isEmpty()
+
+
+def test_stage_does_not_depend_on_the_order_of_rows(spark):
+    """Copies under one id differ in other columns: whichever way the rows are dealt, the same one stays."""
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text, f"s{k}") for k in range(20)] + [(None, text + " end", "t")] * 3
+    kept = {tuple(map(tuple, stages.keep_one_of_each(spark, spark.createDataFrame(rows[::step], "doc_id long, text string, source string").repartition(n), SF).collect())) for step, n in ((1, 3), (-1, 5))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
