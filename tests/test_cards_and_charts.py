@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from veritab.functions import text as fx
 from veritab.operators import charts, recipes, retrieval, rules, stores
-from veritab.operators.semantic import Catalog, closure, propose_synonyms
-from veritab.plans import cards
+from veritab.operators.semantic import Catalog, closure, ledger, propose_synonyms
+from veritab.plans import cards, execute
 from veritab.plans.execute import run_query
 from veritab.plans.guard import Refused, guard, parse
 from veritab.sources import files, workbooks
@@ -241,3 +241,34 @@ def test_registered_csv_has_its_own_header(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,2\n")
     files.register(spark, [str(tmp_path / "t.csv")])
     assert run_query(spark, "SELECT a + b AS s FROM t", ["t"], seconds=60).rows == [(3,)]
+
+
+def test_artifacts(spark, tmp_path):
+    df = frame(spark, [("a", 1.5), (None, 2.0)], "k string, v double")
+    paths = [p.rsplit("/", 1)[1] for p in (execute.save_csv(df, str(tmp_path), "out.csv") for _ in range(2))]
+    assert paths == ["out.csv", "out-2.csv"] and (tmp_path / "out.csv").read_bytes().startswith(b"k,v\r\n")
+    df.createOrReplaceTempView("t_art")
+    found = run_query(spark, "SELECT * FROM t_art ORDER BY v", ["t_art"], seconds=60)
+    assert execute.to_csv(found, "\n") == "k,v\na,1.5\n,2.0\n" and execute.to_json(found) == '{"columns": ["k", "v"], "rows": [["a", "1.5"], ["", "2.0"]]}'
+
+
+def test_ledger_tells_dates_and_rows(spark):
+    frame(spark, [(datetime.date(2024, 1, 1), 1.0)], "d date, v double").createOrReplaceTempView("t_led")
+    found = ledger(spark, "SELECT date_format(d, 'yyyy-MM') AS m, sum(v) AS s FROM t_led WHERE v > 0 GROUP BY date_format(d, 'yyyy-MM')", 12)
+    assert found[0] == "Dates are taken from d" and found[-2:] == ["12 rows considered", "Reads t_led"] and len(found) == 6
+
+
+def test_hybrid_needs_vectors(spark):
+    lexical = frame(spark, [(1, 0.9), (2, 0.5)], "k int, score double")
+    vectors = frame(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])], "k int, embedding array<double>")
+    query = F.array(F.lit(1.0), F.lit(0.0))
+    assert {r.k: r.score for r in retrieval.hybrid(lexical, vectors, query, lexical, "k").collect()}[1] == 1.0
+    assert {r.k: r.score for r in retrieval.hybrid(lexical, vectors.where("k = 1"), query, lexical, "k").collect()} == {1: 0.9, 2: 0.5}
+
+
+def test_local_files_stay(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("x,y\n1,2\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    assert [r.table for r in files.register(spark, paths, local_only={paths[0]}, cloud=True)] == ["b"]
+    assert len(files.register(spark, paths, local_only={paths[0]})) == 2

@@ -69,6 +69,14 @@ def fuse(lexical: DataFrame, semantic: DataFrame, key: str, depth: int = RRF_DEP
     return ranked(lexical).unionByName(ranked(semantic)).groupBy(key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def hybrid(lexical: DataFrame, vectors: DataFrame, query: Column, chunks_: DataFrame, key: str, least: float = 0.8, vector: str = "embedding") -> DataFrame:
+    """(key, score): lexical scores fused with the vectors' nearest, if `least` of the chunks have a vector; else lexical alone."""
+    told = chunks_.select(key).distinct().join(vectors.select(key, F.lit(1).alias("has")), key, "left").agg(F.count("*").alias("n"), F.count("has").alias("v")).first()
+    if told is None or not told["n"] or told["v"] < least * told["n"]:
+        return lexical.select(key, "score")
+    return fuse(lexical, vectors.select(key, cosine(F.col(vector), query).alias("score")), key)
+
+
 def best_chunk(scored: DataFrame, key: str) -> DataFrame:
     """The best chunk of each document, with its score relative to the best of all."""
     best = scored.groupBy(key).agg(F.max_by("ordinal", F.struct("score", -F.col("ordinal"))).alias("ordinal"), F.max("score").alias("score"))

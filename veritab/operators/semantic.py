@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,16 +205,26 @@ def propose_metric(spark: SparkSession, sql: str) -> tuple[str, str] | None:
     return (shown[0], found[0]) if shown and len(found) == 1 else None
 
 
-def ledger(spark: SparkSession, sql: str) -> list[str]:
-    """What a statement assumes, in fixed order: groups, filter, how nulls count, and the tables."""
+def date_buckets(groups: list[str]) -> list[str]:
+    """The columns whose months or years a statement groups by."""
+    found = [re.search(r"(?i)(?:substr(?:ing)?|date_format|date_trunc|trunc)\(.*?([A-Za-z_][A-Za-z0-9_]*)\b(?:\s+AS\s+\w+\))?\s*(?:,|\))", g) if not g.lower().startswith("date_trunc") else re.search(r"(?i)date_trunc\([^,]*,\s*`?([A-Za-z_][A-Za-z0-9_]*)", g) for g in groups]
+    return [m[1] for m in found if m]
+
+
+def ledger(spark: SparkSession, sql: str, rows: int | None = None) -> list[str]:
+    """What a statement assumes, in fixed order: its date column, groups, filter, how nulls count, rows considered, tables."""
     where, groups = filter_and_groups(spark, sql)
     out = []
+    if dates := date_buckets(groups):
+        out.append(f"Dates are taken from {', '.join(dict.fromkeys(dates))}")
     if groups:
         out.append(f"Grouped by {', '.join(groups)}")
     if where:
         out.append(f"Only rows where {where}")
     if any(p.lower().startswith(AGGREGATES[:5]) for p in projections(spark, sql)):
         out.append("Empty cells are left out of totals and averages")
+    if rows is not None:
+        out.append(f"{rows:,} rows considered")
     return [*out, f"Reads {', '.join(reads(spark, sql))}"]
 
 

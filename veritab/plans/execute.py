@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import json
 import threading
 import uuid
 from dataclasses import dataclass, field
@@ -68,16 +69,21 @@ def ordered(spark: SparkSession, sql: str) -> bool:
 
 
 def digest(rows: list[tuple], in_order: bool) -> str:
-    """SHA-1 of the rows as text, doubles at nine digits; rows without an order are sorted first."""
-    texts = ["\x1f".join("" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows]
-    return hashlib.sha1("\x1e".join(texts if in_order else sorted(texts)).encode()).hexdigest()
+    """SHA-1 of the rows as CSV, doubles at nine digits; rows without an order are sorted first."""
+    texts = [_csv([["" if v is None else f"{v:.9g}" if isinstance(v, float) else v for v in r]]) for r in rows]
+    return hashlib.sha1("".join(texts if in_order else sorted(texts)).encode()).hexdigest()
+
+
+def _csv(rows: list[list], end: str = "\r\n") -> str:
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end).writerows(rows)
+    return out.getvalue()
 
 
 def run_query(spark: SparkSession, sql: str, tables: list[str] | None = None, rows: int = ROWS, seconds: float = SECONDS) -> Result:
     """At most `rows` rows; if there are more, one count tells how many. No rows is an error."""
     names = guard(spark, sql, tables)
-    df = spark.sql(sql)
-    found = [tuple(r) for r in within(spark, seconds, df.limit(rows + 1).collect)]
+    df, found = within(spark, seconds, lambda: ((df := spark.sql(sql)), [tuple(r) for r in df.limit(rows + 1).collect()]))
     if not found:
         raise Refused("the query returned no rows")
     total: int | None = len(found)
@@ -99,15 +105,29 @@ def to_markdown(result: Result, rows: int = ROWS) -> str:
     return "\n".join("| " + " | ".join(map(cell, line)) + " |" for line in lines)
 
 
-def to_csv(result: Result) -> str:
-    """RFC 4180 with CRLF; null is empty."""
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\r\n")
-    writer.writerow(result.columns)
-    writer.writerows([["" if v is None else v for v in r] for r in result.rows])
-    return out.getvalue()
-
-
-def save_csv(df: DataFrame, path: str, rows: int = SAVED_ROWS) -> None:
-    """At most `rows` rows as one CSV file with CRLF line ends."""
-    df.limit(rows).coalesce(1).write.option("header", True).option("lineSep", "\r\n").csv(path)
+def to_csv(result: Result, end: str = "\r\n") -> str:
+    """RFC 4180; null is empty. end: CRLF for files, LF for what a page shows."""
+    return _csv([result.columns, *[["" if v is None else v for v in r] for r in result.rows]], end)
+
+
+def to_json(result: Result, rows: int = 40) -> str:
+    """{columns, rows} for display: at most 40 rows and 24 columns, every cell a string."""
+    shown = [["" if v is None else str(v) for v in r[:COLUMNS]] for r in result.rows[:rows]]
+    return json.dumps({"columns": result.columns[:COLUMNS], "rows": shown}, ensure_ascii=False)
+
+
+def save_csv(df: DataFrame, folder: str, name: str, rows: int = SAVED_ROWS) -> str:
+    """Writes at most `rows` rows as one CSV file with CRLF line ends and gives its path; a name that is taken gets a number."""
+    spark = df.sparkSession
+    part = f"{folder.rstrip('/')}/_saving-{uuid.uuid4().hex}"
+    df.limit(rows).coalesce(1).write.option("header", True).option("lineSep", "\r\n").csv(part)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = next(f.getPath() for f in store.listStatus(path(part)) if f.getPath().getName().startswith("part-"))
+    base, k = name.removesuffix(".csv"), 1
+    while True:
+        target = path(f"{folder.rstrip('/')}/{base}{'' if k == 1 else f'-{k}'}.csv")
+        if not store.exists(target) and store.rename(written, target):
+            store.delete(path(part), True)
+            return target.toString()
+        k += 1

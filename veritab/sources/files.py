@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from veritab.functions.text import sanitize
 from veritab.operators.recipes import kinds
@@ -27,13 +28,16 @@ class Registered:
     data: DataFrame | None = field(default=None, repr=False)
 
 
-def read_file(spark: SparkSession, *paths: str) -> DataFrame | None:
-    """One frame of files of one format with sanitised, distinct column names; None for other formats and bad files."""
+def read_file(spark: SparkSession, *paths: str, like: StructType | None = None) -> DataFrame | None:
+    """One frame of files of one format with sanitised, distinct column names; None for other formats and bad files.
+
+    like: the schema of a file of the same kind, so that text files are not read once more to tell their types."""
     form = FORMATS.get(os.path.splitext(paths[0])[1].lower())
     if not form:
         return None
+    reader = spark.read.format(form[0]).options(**form[1])
     try:
-        df = spark.read.format(form[0]).options(**form[1]).load(list(paths))
+        df = (reader.schema(like) if like is not None and form[0] == "csv" else reader).load(list(paths))
     except Exception:
         return None
     names: list[str] = []
@@ -66,14 +70,16 @@ def families(files: list[tuple[str, dict[str, str], int]]) -> tuple[list[list[st
     return out, [p for _, p in sorted(singles, key=lambda m: (-m[0], m[1]))]
 
 
-def register(spark: SparkSession, paths: list[str], slots: int = FILE_SLOTS, most: int = TABLES) -> list[Registered]:
-    """Views over families first, then over single files, newest first; files that can't be read are left out."""
-    seen = [(p, kinds(df), int(os.path.getmtime(p) * 1000) if os.path.exists(p) else 0) for p in paths if (df := read_file(spark, p)) is not None]
+def register(spark: SparkSession, paths: list[str], slots: int = FILE_SLOTS, most: int = TABLES, local_only: frozenset[str] | set[str] = frozenset(), cloud: bool = False) -> list[Registered]:
+    """Views over families first, then over single files, newest first; files that can't be read are left out, and those that
+    must stay local where the answer leaves the machine. Every text file is read once to tell its types."""
+    frames = {p: df for p in paths if not (cloud and p in local_only) and (df := read_file(spark, p)) is not None}
+    seen = [(p, kinds(df), int(os.path.getmtime(p) * 1000) if os.path.exists(p) else 0) for p, df in frames.items()]
     grouped, singles = families(seen)
     used: set[str] = set()
     out: list[Registered] = []
     for members, family in [*((g, True) for g in grouped), *(([s], False) for s in singles)][:slots]:
-        df = read_file(spark, *members)
+        df = read_file(spark, *members, like=frames[members[0]].schema) if family else frames[members[0]]
         if df is None or len(out) >= most:
             continue
         base = sanitize(stem(members[0]) + "_all" if family else os.path.splitext(os.path.basename(members[0]))[0])
