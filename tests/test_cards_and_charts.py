@@ -272,3 +272,13 @@ def test_local_files_stay(spark, tmp_path):
     paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
     assert [r.table for r in files.register(spark, paths, local_only={paths[0]}, cloud=True)] == ["b"]
     assert len(files.register(spark, paths, local_only={paths[0]})) == 2
+
+
+def test_retrieve(spark, tmp_path):
+    texts = {1: "budget of the town for next year", 2: "a recipe for soup " * 40, 3: "minutes of the meeting on the budget", 4: "nothing here"}
+    parts = retrieval.chunks(frame(spark, list(texts.items()), "f int, text string"), "f")
+    index = retrieval.build_index(parts, ["f", "ordinal"], "chunk", str(tmp_path / "i"))
+    names = frame(spark, [(1, "plan.md"), (2, "soup recipes.md"), (3, "notes.md"), (4, "budget 2024.md")], "f int, name string")
+    found = retrieval.retrieve(index, parts, names, "f", ["budget", "town"]).collect()
+    assert [r.f for r in found][0] == 4 and {r.f for r in found} == {1, 3, 4} and found[0].pin == 1 and found[0].snippet == "nothing here"
+    assert [r.f for r in retrieval.retrieve(index, parts, names, "f", ["soup", "recipe"], 1).collect()] == [2]

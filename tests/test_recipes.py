@@ -31,6 +31,12 @@ def test_completeness(sales):
     assert (found["amount"].nulls, found["amount"].null_pct, found["order_id"].duplicates) == (1, 16.7, 1)
 
 
+def test_completeness_by_sketches(spark):
+    df = spark.range(5000).selectExpr("id", "id % 100 AS g")
+    found = {r.column_name: r.distinct_values for r in recipes.completeness(df, 0.01).collect()}
+    assert abs(found["id"] - 5000) < 250 and abs(found["g"] - 100) <= 5
+
+
 def test_anomaly_finds_the_one_month(spark):
     found = recipes.anomaly_scan(months(spark, [100] * 9 + [400]), "d", "amount").collect()
     assert [tuple(r) for r in found] == [("2024-10", 400.0, 2.85)]

@@ -51,9 +51,13 @@ def cohort_breakdown(df: DataFrame, group: str, metric: str) -> DataFrame:
     return sums.select("cohort", F.round("total", 2).alias("total"), F.round(share, 1).alias("share_pct"), "size")
 
 
-def completeness(df: DataFrame) -> DataFrame:
-    """Rows, nulls, distinct and duplicate values of each column, in one pass over the table."""
-    parts = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("total_rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(F.col(c)).alias("distinct_values")) for c in df.columns]
+def completeness(df: DataFrame, error: float | None = None) -> DataFrame:
+    """Rows, nulls, distinct and duplicate values of each column, in one pass over the table.
+
+    Distinct values are exact, which sends each column's values through a shuffle; with an error (0.01, say) they are told by
+    sketches of that relative deviation, and only the sketches travel."""
+    distinct = F.count_distinct if error is None else lambda c: F.approx_count_distinct(c, error)
+    parts = [F.struct(F.lit(c).alias("column_name"), F.count("*").alias("total_rows"), F.count_if(F.col(c).isNull()).alias("nulls"), distinct(F.col(c)).alias("distinct_values")) for c in df.columns]
     each = df.agg(F.array(*parts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
     pct = F.round(F.try_divide(100.0 * F.col("nulls"), F.nullif(F.col("total_rows"), F.lit(0)).cast("double")).cast("double"), 1)
     return each.select("column_name", "total_rows", "nulls", pct.alias("null_pct"), "distinct_values", (F.col("total_rows") - F.col("nulls") - F.col("distinct_values")).alias("duplicates"))

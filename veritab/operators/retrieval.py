@@ -229,3 +229,19 @@ def digest_text(text: Column, terms: list[str], budget: int) -> Column:
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<at:int,s:string>>").alias("kept"))
     kept = F.aggregate(F.array_sort(each), start, take)["kept"]
     return F.array_join(F.transform(F.array_sort(kept), lambda x: x["s"]), " ")
+
+
+def retrieve(index: Index, chunks_: DataFrame, names: DataFrame, key: str, question: list[str], k: int = 8, notes: str | None = None, preferred: str | None = None) -> DataFrame:
+    """(key, ordinal, snippet, score): the k best files for a question's words, each by its best chunk, the one that the question
+    names first.
+
+    index: over chunks_ (key, ordinal, chunk); names: (key, name, flags). A file that only its name speaks for has its first
+    chunk. Only the chunks met by the question's postings are ranked, and k rows of them are kept."""
+    hits = index.search(question)
+    best = hits.groupBy(key).agg(F.max_by("ordinal", F.struct("score", -F.col("ordinal"))).alias("ordinal"), F.max("score").alias("score"))
+    ranked = boosted(best.select(key, "score"), names, key, question, notes, preferred)
+    pinned = named_file(names, key, question).withColumn("_pin", F.lit(1))
+    top = ranked.join(F.broadcast(pinned), key, "full").select(key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("_pin", F.lit(0)).alias("pin")).orderBy(F.desc("pin"), F.desc("score"), key).limit(k)
+    placed = top.join(best.select(key, "ordinal"), key, "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(0)))
+    shown = placed.join(chunks_.select(key, "ordinal", F.substring("chunk", 1, 240).alias("snippet")), [key, "ordinal"], "left")
+    return shown.select(key, "ordinal", "snippet", "score", "pin").orderBy(F.desc("pin"), F.desc("score"), key)
