@@ -9,7 +9,7 @@ a pair at 0.8. The survivors are verified by the exact likeness (intersection ov
 
 Groups of any size are joined without emitting their pairs. In each round every open bucket names a few centres, which are
 compared with the members of other components in all their buckets, each pair in the first bucket that both share; the first round's are named by an eighth of the buckets. Of what
-passes the filter each class first verifies its nearest centre alone, then each two components their nearest pair; links
+passes the filter each class first verifies its nearest centre alone, or later each two components their nearest pair; links
 merge components, and only pairs that still lie in two of them are all verified after that. The second round's centres are members of each bucket's largest component, which
 most of the others join there; later ones are those that have not. A class that has been a centre is never compared again, and
 a bucket is closed when all its members outside its largest component have been centres, so every link between components that
@@ -219,9 +219,9 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("key")
         apiece = (F.col("m.label") != F.col("c.label")) & (~F.col("m.central") | (F.col("m.cls") > F.col("c.cls")))
         met = opened.alias("m").join(opened.where("central").alias("c"), "key").where(apiece & within("m", "c") & once)
-        pairs = materialise(met.select(F.col("m.cls").alias("a"), F.col("c.cls").alias("b"), apart("m", "c").alias("apart")))
-        rest = pairs
-        for step in range(3):
+        rest = materialise(met.select(F.col("m.cls").alias("a"), F.col("c.cls").alias("b"), apart("m", "c").alias("apart"), F.col("m.label").alias("la"), F.col("c.label").alias("lb")))
+        # Before anything is linked each class is a component, and only the nearest centre of each tells something.
+        for step in range(0 if rooted is None else 1, 3):
             if step == 0:
                 some = rest.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
             elif step == 1:
