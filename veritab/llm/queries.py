@@ -5,6 +5,7 @@ from __future__ import annotations
 from veritab.llm.bpe import op10_bpe_segment_tree
 from veritab.llm.chat_format import OP4_SQL, op4_event_sourced_chat
 from veritab.llm.collocations import OP13_SQL, op13_positional_lists
+from veritab.llm.conversation_repair import op11_repair_automata
 from veritab.llm.fingerprints import op1_lcp_fingerprints
 from veritab.llm.html_extraction import op2_host_suffix_array
 from veritab.llm.language_id import op8_language_id
@@ -17,6 +18,6 @@ from veritab.llm.url_filter import op6_url_ngrams
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lcp_fingerprints, op2_host_suffix_array, op3_packing, op4_event_sourced_chat, op5_quality_classifier, op6_url_ngrams, op7_simhash_pivots, op8_language_id, op9_repetition_rules, op10_bpe_segment_tree, op12_piece_chunks, op13_positional_lists)
+    for f in (op1_lcp_fingerprints, op2_host_suffix_array, op3_packing, op4_event_sourced_chat, op5_quality_classifier, op6_url_ngrams, op7_simhash_pivots, op8_language_id, op9_repetition_rules, op10_bpe_segment_tree, op11_repair_automata, op12_piece_chunks, op13_positional_lists)
 }
 ORACLE = {"op4_event_sourced_chat": OP4_SQL, "op13_positional_lists": OP13_SQL}
