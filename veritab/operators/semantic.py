@@ -6,13 +6,20 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.text import sanitize
 from veritab.plans.guard import Refused, guard, items, name_of, parse, parser, reads
+from veritab.plans.trees import canonical, with_column
+from veritab.plans.wholes import whole_digest
+from veritab.sources.store import new_folder, written
 
 DEPTH = 3
+#: Times that a mined expression must be used, unless a certified answer uses it.
+RECURRING = 2
+#: Shapes of statements that one mining run takes.
+SHAPES = 20_000
 AGGREGATES = ("sum(", "avg(", "count(", "min(", "max(", "median(", "stddev", "var_", "approx_count_distinct(", "percentile")
 
 
@@ -30,6 +37,19 @@ class Metric:
     entity: str
 
 
+@dataclass
+class Verdict:
+    """Whether a statement computes a metric, and whether the metric computed anew gives the answer's values; both as one value,
+    or as a number of values and their digest. reason: why the metric could not be computed anew."""
+
+    certified: bool
+    reconciled: bool = False
+    metric: str | None = None
+    expected: str | None = None
+    got: str | None = None
+    reason: str | None = None
+
+
 #: Column words and their usual short forms.
 SHORT_FORMS = (("amount", "amt"), ("quantity", "qty"), ("region", "rgn"), ("number", "num"), ("description", "desc"), ("category", "cat"), ("customer", "cust"), ("account", "acct"), ("department", "dept"), ("revenue", "rev"), ("average", "avg"), ("transaction", "txn"), ("reference", "ref"), ("balance", "bal"), ("percent", "pct"), ("organization", "org"), ("identifier", "ident"), ("address", "addr"))
 DEFINITIONS = 24
@@ -147,33 +167,48 @@ class Catalog:
         return self.metrics[name]
 
     def certified(self, sql: str) -> list[str]:
-        """Metrics whose expression is one of the statement's projections and whose entity it reads."""
-        shown = {canonical(x) for x in projections(self.spark, sql)}
-        entities = set(map(str.lower, reads(self.spark, sql)))
-        return [m.name for m in self.metrics.values() if canonical(parser(self.spark).parseExpression(m.expression).sql()) in shown and m.entity.lower() in entities]
-
-    def reconcile(self, sql: str, metric: str) -> bool:
-        """Whether the metric, run anew with the statement's filter and grouping, gives the statement's values."""
+        """Metrics whose expression is one of the statement's projections and whose entity it reads; none of a statement that
+        cannot be read."""
+        try:
+            shown, entities = set(map(canonical, projected(self.spark, sql))), set(map(str.lower, reads(self.spark, sql)))
+        except Refused:
+            return []
+        return [m.name for m in self.metrics.values() if self._own(m) in shown and m.entity.lower() in entities]
+
+    def _own(self, metric: Metric) -> str:
+        return canonical(parser(self.spark).parseExpression(metric.expression))
+
+    def reconcile(self, sql: str, metric: str, shown: DataFrame | None = None) -> Verdict:
+        """Computes the metric anew in the statement's own shape and compares its values with those of the answer.
+
+        The statement passes the guard. Its plan stays as it is, with joins, filters, groups, HAVING and limits; the metric's
+        own expression is put beside its columns, so that groups named by place or alias hold. shown: the answer's rows as they
+        were given, those of a new run if left out. Values are compared as a whole, in any order, without rows coming to
+        the driver. No values at all agree with nothing, and what cannot be computed is not reconciled."""
         m = self.metrics[metric]
-        where, groups = filter_and_groups(self.spark, sql)
-        own = self.spark.table(m.entity)
-        own = own.where(where) if where else own
-        fresh = own.groupBy(*groups).agg(F.expr(m.expression).alias("v")) if groups else own.agg(F.expr(m.expression).alias("v"))
-        shown = self.spark.sql(sql)
-        column = next((c for c, e in zip(shown.columns, projections(self.spark, sql), strict=False) if canonical(e) == canonical(parser(self.spark).parseExpression(m.expression).sql())), None)
-        if column is None:
-            return False
-        a, b = _rounded(fresh, "v"), _rounded(shown, column)
-        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
-def _rounded(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.round(F.col(f"`{column}`").cast("double"), 6).alias("v"))
-
-
-def canonical(text: str) -> str:
-    """An expression's SQL with names in lower case; literals stay as they are."""
-    return "".join(p if k % 2 else p.lower().replace(" ", "") for k, p in enumerate(text.split("'")))
+        guard(self.spark, sql, [*self.tables, *self.views])
+        listed = projected(self.spark, sql)
+        place = next((k for k, e in enumerate(listed) if canonical(e) == self._own(m)), None)
+        if place is None or m.entity.lower() not in map(str.lower, reads(self.spark, sql)):
+            return Verdict(False)
+        try:
+            fresh = with_column(self.spark, parse(self.spark, sql), m.expression, "veritab_metric")
+            answer = self.spark.sql(sql) if shown is None else shown
+            expected, got = (_values(df, k) for df, k in ((fresh, len(fresh.columns) - 1), (answer, place)))
+        except Exception as e:
+            return Verdict(True, False, m.name, reason=str(e).splitlines()[0][:200])
+        return Verdict(True, expected == got and expected[0] > 0, m.name, *(v[2] for v in (expected, got)))
+
+
+def _values(df: DataFrame, place: int) -> tuple[int, str, str]:
+    """(rows, digest, text) of a column's values; numbers count with nine digits, as sums of doubles depend on their order."""
+    column = F.col(f"`{df.columns[place]}`") if df.columns.count(df.columns[place]) == 1 else None
+    one = df.select(column.alias("v")) if column is not None else df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(F.col(f"c{place}").alias("v"))
+    numeric = one.dtypes[0][1].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    plain = one.select(F.format_string("%.8e", F.col("v").cast("double") + 0.0) if numeric else F.col("v").cast("string")).toDF("v")
+    rows, digest = whole_digest(plain)
+    text = str(plain.first()["v"]) if rows == 1 else f"{rows} values (digest {digest[:12]})" if rows else ""
+    return rows, digest, text
 
 
 def outer(spark: SparkSession, sql: str):
@@ -184,10 +219,15 @@ def outer(spark: SparkSession, sql: str):
     return plan
 
 
-def projections(spark: SparkSession, sql: str) -> list[str]:
+def projected(spark: SparkSession, sql: str) -> list:
+    """The expressions of the statement's own columns, without their aliases."""
     plan = outer(spark, sql)
     listed = plan.aggregateExpressions() if name_of(plan) == "Aggregate" else plan.projectList() if name_of(plan) == "Project" else None
-    return [] if listed is None else [(e.child() if name_of(e) == "Alias" else e).sql() for e in items(listed)]
+    return [] if listed is None else [e.child() if name_of(e) in ("Alias", "UnresolvedAlias") else e for e in items(listed)]
+
+
+def projections(spark: SparkSession, sql: str) -> list[str]:
+    return [e.sql() for e in projected(spark, sql)]
 
 
 def filter_and_groups(spark: SparkSession, sql: str) -> tuple[str | None, list[str]]:
@@ -242,14 +282,61 @@ def propose_synonyms(columns: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select(F.lower("term").alias("term")).distinct(), "term", "left_anti").select("term", "column_name")
 
 
-def closure(edges: DataFrame, flagged: DataFrame, steps: int = DEPTH + 1) -> DataFrame:
-    """(name) of all that rests, over any number of steps up to `steps`, on something flagged. edges: (name, reads)."""
-    out = flagged.select("name").distinct()
-    for _ in range(steps):
-        out = out.unionAll(edges.join(out.select(F.col("name").alias("reads")), "reads", "left_semi").select("name")).distinct()
+def closure(edges: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(name) of all that rests, over any number of steps, on something flagged. edges: (name, reads).
+
+    Only the names that the last step added are followed, until a step adds none, so each step reads the edges once, and a
+    cycle ends by itself. Steps are written to the shared folder, which keeps the plan small."""
+    folder = new_folder(edges.sparkSession, "closure")
+    known = written(edges.select("name", "reads").where("name IS NOT NULL AND reads IS NOT NULL"), f"{folder}/edges")
+    new = written(flagged.select("name").where("name IS NOT NULL").distinct(), f"{folder}/0")
+    out, step = new, 0
+    while not new.isEmpty():
+        step += 1
+        met = known.join(new.select(F.col("name").alias("reads")), "reads", "left_semi").select("name").distinct()
+        new = written(met.join(out, "name", "left_anti"), f"{folder}/{step}")
+        out = out.unionAll(new)
     return out
 
 
+def statement_shape(statement: Column) -> Column:
+    """A statement without differences of white space, without case outside of quotes, and with one mark for each literal
+    behind its WHERE: statements of one shape aggregate alike."""
+    quoted = F.regexp_extract_all(statement, F.lit(r"'(?:[^']|'')*'"), F.lit(0))
+    bare = F.split(F.regexp_replace(statement, r"'(?:[^']|'')*'", "\u0001"), "\u0001")
+    lower = F.transform(bare, lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))
+    whole = F.trim(F.array_join(F.transform(F.arrays_zip(lower.alias("a"), quoted.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), ""))
+    # Only a filter's own comparisons, so that a literal inside an aggregate stays.
+    return F.regexp_replace(whole, r"(\bwhere [a-z_][a-z0-9_.]* ?(?:=|<>|!=|<=|>=|<|>) ?)(?:'(?:[^']|'')*'|\d+(?:\.\d+)?)", "$1?")
+
+
+def mine_metrics(statements: DataFrame, known: Catalog, least: int = RECURRING, shapes: int = SHAPES) -> DataFrame:
+    """(expression, entity, n, certified): aggregates over one table that statements (statement, certified) use `least` times, or
+    a certified one uses, without those that are metrics already; the most used first.
+
+    Statements are counted by shape where they lie; one example of each shape is parsed, and shapes whose aggregates have
+    one tree (names, case, spacing and order of operands aside) count together. More shapes than `shapes` are refused, not
+    cut."""
+    spark = statements.sparkSession
+    counted = statements.where("statement IS NOT NULL").groupBy(statement_shape(F.col("statement")).alias("shape")).agg(F.count("*").alias("n"), F.max(F.coalesce("certified", F.lit(False))).alias("certified"), F.min("statement").alias("example"))
+    counted = written(counted, new_folder(spark, "shapes"))
+    examples = counted.select("shape", "example").limit(shapes + 1).collect()
+    if len(examples) > shapes:
+        raise Refused(f"more than {shapes:,} shapes of statements")
+    own = {canonical(parser(spark).parseExpression(m.expression), commute=True) for m in known.metrics.values()}
+    trees = []
+    for r in examples:
+        try:
+            found = propose_metric(spark, r["example"])
+        except Refused:
+            continue
+        if found and (tree := canonical(parser(spark).parseExpression(found[0]), commute=True)) not in own:
+            trees.append((r["shape"], tree, *found))
+    read = spark.createDataFrame(trees, "shape string, tree string, expression string, entity string")
+    same = counted.join(read, "shape").groupBy("tree", F.lower("entity").alias("entity")).agg(F.min("expression").alias("expression"), F.sum("n").alias("n"), F.max("certified").alias("certified"))
+    return same.where(F.col("certified") | (F.col("n") >= least)).select("expression", "entity", "n", "certified").orderBy(F.desc("n"), "expression")
+
+
 def shaped_samples(before: DataFrame, after: DataFrame, n: int = 3) -> tuple[list, list]:
     """The first rows of a table and of what a statement makes of it."""
     return before.head(n), after.head(n)
