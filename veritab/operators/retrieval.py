@@ -30,11 +30,12 @@ def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def document_frequency(rows: DataFrame, text: str) -> DataFrame:
-    """(term, df, tf) over rows. Each row tells of its different terms and of all, so only partial sums by term travel."""
-    words = rows.select(tokens(F.col(text)).alias("w"))
-    marks = lambda a, df: F.transform(a, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(1 - df).alias("tf")))
-    each = words.select(F.explode(F.concat(marks(F.array_distinct("w"), 1), marks(F.col("w"), 0))).alias("t"))
-    return each.groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.tf").alias("tf"))
+    """(term, df, tf) over rows. A row's terms are sorted, so that the first of each counts for the row; only partial sums by
+    term travel."""
+    words = rows.select(F.sort_array(tokens(F.col(text))).alias("w"))
+    each = words.select("w", F.posexplode("w").alias("at", "term"))
+    first = (F.col("at") == 0) | (F.get("w", F.col("at") - 1) != F.col("term"))
+    return each.groupBy("term").agg(F.count_if(first).alias("df"), F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -71,7 +72,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, key: str, depth: int = RRF_DEP
 
 def hybrid(lexical: DataFrame, vectors: DataFrame, query: Column, chunks_: DataFrame, key: str, least: float = 0.8, vector: str = "embedding") -> DataFrame:
     """(key, score): lexical scores fused with the vectors' nearest, if `least` of the chunks have a vector; else lexical alone."""
-    told = chunks_.select(key).distinct().join(vectors.select(key, F.lit(1).alias("has")), key, "left").agg(F.count("*").alias("n"), F.count("has").alias("v")).first()
+    told = chunks_.select(key).distinct().join(vectors.select(key).distinct().withColumn("has", F.lit(1)), key, "left").agg(F.count("*").alias("n"), F.count("has").alias("v")).first()
     if told is None or not told["n"] or told["v"] < least * told["n"]:
         return lexical.select(key, "score")
     return fuse(lexical, vectors.select(key, cosine(F.col(vector), query).alias("score")), key)

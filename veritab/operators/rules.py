@@ -64,10 +64,12 @@ def top_and_other(totals: DataFrame, label: str, value: str, n: int = 23) -> Dat
 
 
 def evenly_spaced(rows: DataFrame, key: str, m: int) -> DataFrame:
-    """m rows at even steps of key's order, first and last among them; needs key to count from 0 without gaps."""
+    """m rows at even steps of key's order, first and last among them, the first alone if m is 1; needs key to count from 0 without gaps."""
     n = rows.count()
     if n <= m:
         return rows
+    if m < 2:
+        return rows.where(F.col(key) < m)
     return rows.where(F.col(key).isin(sorted({i * (n - 1) // (m - 1) for i in range(m)})))
 
 

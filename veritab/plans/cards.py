@@ -154,7 +154,7 @@ def format_sql(sql: str) -> str:
 def has_cue(question: Column, words: Iterable[str] = FIGURE_WORDS + FIGURE_PHRASES) -> Column:
     """Whether a question has one of the words or phrases, as whole words."""
     bare = F.concat(F.lit(" "), F.regexp_replace(F.lower(question), "[^a-z0-9]+", " "), F.lit(" "))
-    return F.coalesce(F.exists(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: bare.contains(w)), F.lit(False))
+    return F.coalesce(bare.rlike(" (" + "|".join(sorted(map(re.escape, words))) + ") "), F.lit(False))
 
 
 def asks_steps(question: Column) -> Column:

@@ -11,6 +11,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veritab.plans.guard import Refused, guard, items, name_of, parse
 
@@ -116,11 +117,26 @@ def to_json(result: Result, rows: int = 40) -> str:
     return json.dumps({"columns": result.columns[:COLUMNS], "rows": shown}, ensure_ascii=False)
 
 
+def csv_lines(df: DataFrame, sep: str = ",") -> DataFrame:
+    """(value): the rows as RFC 4180 lines without their ends. A cell with a quote, a separator or a line break is quoted, and its
+    quotes are doubled; nothing else in it changes. Null is nothing between separators and the empty text two quotes, which readers may take as one."""
+
+    def cell(name: str):
+        text = F.col(f"`{name}`").cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.isNull(), "").when((text == "") | text.rlike(f'["\r\n{sep}]') | text.rlike(r"^\s|\s$"), quoted).otherwise(text)
+
+    return df.select(F.concat_ws(sep, *map(cell, df.columns)).alias("value"))
+
+
 def save_csv(df: DataFrame, folder: str, name: str, rows: int = SAVED_ROWS) -> str:
     """Writes at most `rows` rows as one CSV file with CRLF line ends and gives its path; a name that is taken gets a number."""
     spark = df.sparkSession
     part = f"{folder.rstrip('/')}/_saving-{uuid.uuid4().hex}"
-    df.limit(rows).coalesce(1).write.option("header", True).option("lineSep", "\r\n").csv(part)
+    head = spark.createDataFrame([(0, _csv([df.columns], ""))], "at long, value string")
+    body = csv_lines(df.limit(rows)).select((F.monotonically_increasing_id() + 1).alias("at"), "value")
+    one = head.union(body).repartition(1).sortWithinPartitions("at").select("value")
+    one.write.option("lineSep", "\r\n").text(part)
     path = spark._jvm.org.apache.hadoop.fs.Path
     store = path(part).getFileSystem(spark._jsc.hadoopConfiguration())
     written = next(f.getPath() for f in store.listStatus(path(part)) if f.getPath().getName().startswith("part-"))

@@ -16,7 +16,7 @@ ALLOWED = frozenset(
     "OneRowRelation UnresolvedWith CTERelationDef UnresolvedHaving WithWindowDefinition Window LateralJoin Generate Pivot UnresolvedPivot Unpivot UnpivotTransformer LocalRelation "
     "ResolvedInlineTable UnresolvedOrdinal Tail Deduplicate LogicalQueryStage".split()
 )
-REFUSED_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name read_files".split())
+REFUSED_FUNCTIONS = frozenset("reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length read_files current_user session_user user".split())
 
 
 class Refused(ValueError):

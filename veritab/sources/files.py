@@ -8,12 +8,14 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veritab.functions.text import sanitize
 from veritab.operators.recipes import kinds
 
-FORMATS = {".csv": ("csv", {"header": "true", "inferSchema": "true"}), ".tsv": ("csv", {"header": "true", "inferSchema": "true", "sep": "\t"}), ".parquet": ("parquet", {})}
+TEXT = {"header": "true", "inferSchema": "true", "quote": '"', "escape": '"'}
+FORMATS = {".csv": ("csv", TEXT), ".tsv": ("csv", TEXT | {"sep": "\t"}), ".parquet": ("parquet", {})}
 FILE_SLOTS, TABLES, FAMILY = 4, 6, 48
 #: Column names too general to suggest a join.
 GENERAL = ("id", "name", "date", "value", "amount", "total", "count", "n", "status", "type", "category", "notes", "note", "priority", "active", "description", "comment", "created_at", "updated_at", "month", "year", "quarter", "label", "key", "code")
@@ -28,15 +30,25 @@ class Registered:
     data: DataFrame | None = field(default=None, repr=False)
 
 
+def broken_lines(spark: SparkSession, *paths: str) -> bool:
+    """Whether a quoted cell of a text file spans lines: some line then has an odd number of quotes. It stops at the first."""
+    lines = spark.read.text(list(paths))
+    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def read_file(spark: SparkSession, *paths: str, like: StructType | None = None) -> DataFrame | None:
     """One frame of files of one format with sanitised, distinct column names; None for other formats and bad files.
 
-    like: the schema of a file of the same kind, so that text files are not read once more to tell their types."""
+    like: the schema of a file of the same kind, so that text files are not read once more to tell their types. Quotes are
+    doubled inside quoted cells, as RFC 4180 has it. A file with line breaks inside cells is read whole by one task, as no
+    place in it is known to begin a row; all others are split."""
     form = FORMATS.get(os.path.splitext(paths[0])[1].lower())
     if not form:
         return None
     reader = spark.read.format(form[0]).options(**form[1])
     try:
+        if form[0] == "csv" and broken_lines(spark, *paths):
+            reader = reader.option("multiLine", True)
         df = (reader.schema(like) if like is not None and form[0] == "csv" else reader).load(list(paths))
     except Exception:
         return None

@@ -18,12 +18,13 @@ def watch(spark: SparkSession, folder: str, schema: StructType, checkpoint: str,
     return rows.writeStream.foreachBatch(react).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def recheck(spark: SparkSession, pins: dict[str, tuple[str, str | None]]) -> dict[str, tuple[str, str]]:
-    """(state, digest) of each pin (sql, last digest): new, same, changed, or stale where the query fails."""
+def recheck(spark: SparkSession, pins: dict[str, tuple[str, str | None]], tables: list[str]) -> dict[str, tuple[str, str]]:
+    """(state, digest) of each pin (sql, last digest): new, same, changed, or stale where the query fails or reads anything
+    besides `tables`."""
     out = {}
     for name, (sql, last) in pins.items():
         try:
-            now = run_query(spark, sql).digest
+            now = run_query(spark, sql, tables).digest
         except Exception:
             out[name] = ("stale", last or "")
             continue
