@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritab.sources.store import new_folder, written
+
 FORECAST_MONTHS = 3
 MOVERS = 20
 ACCURACY = 100_000
@@ -38,7 +40,12 @@ def monthly(df: DataFrame, date: str, metric: str, *groups: str) -> DataFrame:
 
 
 def variance_vs_last_period(df: DataFrame, date: str, metric: str) -> DataFrame:
-    ranked = monthly(df, date, metric).withColumn("rn", F.row_number().over(Window.orderBy(F.desc("period"))))
+    return variance_of(monthly(df, date, metric))
+
+
+def variance_of(months: DataFrame) -> DataFrame:
+    """The recipe from monthly sums (period, total); so for the others below that end on `_of`."""
+    ranked = months.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("period"))))
     at = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
     out = ranked.where("rn <= 2").agg(at(1, "period").alias("current_period"), at(1, "total").alias("current_total"), at(2, "period").alias("previous_period"), at(2, "total").alias("previous_total"))
     change = F.col("current_total") - F.col("previous_total")
@@ -46,7 +53,10 @@ def variance_vs_last_period(df: DataFrame, date: str, metric: str) -> DataFrame:
 
 
 def cohort_breakdown(df: DataFrame, group: str, metric: str) -> DataFrame:
-    sums = df.groupBy(F.col(group).alias("cohort")).agg(F.sum(F.col(metric).cast("double")).alias("total"), F.count("*").alias("size"))
+    return cohorts_of(df.groupBy(F.col(group).alias("cohort")).agg(F.sum(F.col(metric).cast("double")).alias("total"), F.count("*").alias("size")))
+
+
+def cohorts_of(sums: DataFrame) -> DataFrame:
     share = F.try_divide(100 * F.col("total"), F.nullif(F.sum("total").over(Window.partitionBy()), F.lit(0.0)))
     return sums.select("cohort", F.round("total", 2).alias("total"), F.round(share, 1).alias("share_pct"), "size")
 
@@ -82,13 +92,21 @@ def iqr_outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def scored_months(df: DataFrame, date: str, metric: str) -> DataFrame:
     """(period, total, z): how many sample deviations each month is from the mean month."""
+    return scored_of(monthly(df, date, metric))
+
+
+def scored_of(months: DataFrame) -> DataFrame:
     every = Window.partitionBy()
-    months = monthly(df, date, metric).withColumns({"mean": F.avg("total").over(every), "sd": F.stddev_samp("total").over(every)})
+    months = months.withColumns({"mean": F.avg("total").over(every), "sd": F.stddev_samp("total").over(every)})
     return months.select("period", F.round("total", 2).alias("total"), F.round(F.try_divide(F.col("total") - F.col("mean"), F.nullif(F.col("sd"), F.lit(0.0))), 2).alias("z"))
 
 
 def anomaly_scan(df: DataFrame, date: str, metric: str, limit: float = 2.0) -> DataFrame:
-    return scored_months(df, date, metric).where(F.abs("z") > limit).orderBy(F.desc(F.abs("z")), "period")
+    return anomalies_of(monthly(df, date, metric), limit)
+
+
+def anomalies_of(months: DataFrame, limit: float = 2.0) -> DataFrame:
+    return scored_of(months).where(F.abs("z") > limit).orderBy(F.desc(F.abs("z")), "period")
 
 
 def top_movers(df: DataFrame, group: str, metric: str, date: str | None = None, n: int = MOVERS) -> DataFrame:
@@ -96,53 +114,79 @@ def top_movers(df: DataFrame, group: str, metric: str, date: str | None = None,
     if date is None:
         sums = df.groupBy(F.col(group).alias("cohort")).agg(F.round(F.sum(F.col(metric).cast("double")), 2).alias("total"))
         return sums.orderBy(F.desc(F.abs("total")), "cohort").limit(n)
-    sums = monthly(df, date, metric, group).withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("period"))))
-    two = sums.where("rn <= 2").groupBy(F.col(group).alias("cohort")).agg(*[F.max(F.when(F.col("rn") == k, F.col("total"))).alias(x) for k, x in ((1, "current_total"), (2, "previous_total"))])
+    return movers_of(monthly(df, date, metric, group).withColumnRenamed(group, "cohort"), n)
+
+
+def movers_of(sums: DataFrame, n: int = MOVERS) -> DataFrame:
+    """sums: (period, cohort, total)."""
+    sums = sums.withColumn("rn", F.row_number().over(Window.partitionBy("cohort").orderBy(F.desc("period"))))
+    two = sums.where("rn <= 2").groupBy("cohort").agg(*[F.max(F.when(F.col("rn") == k, F.col("total"))).alias(x) for k, x in ((1, "current_total"), (2, "previous_total"))])
     change = F.col("current_total") - F.col("previous_total")
     out = two.select("cohort", F.round("current_total", 2).alias("current_total"), F.round("previous_total", 2).alias("previous_total"), F.round(change, 2).alias("change"), F.round(F.try_divide(100 * change, F.nullif(F.col("previous_total"), F.lit(0.0))), 1).alias("pct_change"))
     return out.where("change IS NOT NULL").orderBy(F.desc(F.abs("change")), "cohort").limit(n)
 
 
-def indexed(df: DataFrame, date: str, metric: str) -> DataFrame:
-    """(period, total, i): months numbered from 0, the calendar's own count so that labels can go on."""
-    return monthly(df, date, metric).withColumn("i", (F.row_number().over(Window.orderBy("period")) - 1).cast("double"))
+def fitted(months: DataFrame) -> DataFrame:
+    """Monthly sums with their numbers i from 0, the calendar's own count so that labels can go on, and the least-squares line
+    over them: slope, intercept, sigma (n - 2 degrees of freedom), n. All are windows over one row a month."""
+    every = Window.partitionBy()
+    numbered = months.withColumn("i", (F.row_number().over(Window.orderBy("period")) - 1).cast("double"))
+    fit = {c: f("total", "i").over(every) for c, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept), ("syy", F.regr_syy), ("sxy", F.regr_sxy))}
+    known = numbered.withColumns(fit | {"n": F.count("*").over(every)})
+    rest = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
+    return known.withColumn("sigma", F.when(F.col("n") > 2, F.sqrt(rest / (F.col("n") - 2)))).drop("syy", "sxy")
 
 
 def forecast_fit(df: DataFrame, date: str, metric: str) -> DataFrame:
-    """slope, intercept, sigma (n - 2 degrees of freedom) and n of the least-squares line over the month's number."""
-    fit = indexed(df, date, metric).agg(F.regr_slope("total", "i").alias("slope"), F.regr_intercept("total", "i").alias("intercept"), F.regr_syy("total", "i").alias("syy"), F.regr_sxy("total", "i").alias("sxy"), F.count("*").alias("n"))
-    rest = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
-    return fit.select("slope", "intercept", F.when(F.col("n") > 2, F.sqrt(rest / (F.col("n") - 2))).alias("sigma"), "n")
+    """slope, intercept, sigma and n of the least-squares line over the month's number."""
+    fit = fitted(monthly(df, date, metric)).where(F.col("i") == 0).select("slope", "intercept", "sigma", "n")
+    return fit
 
 
 def forecast(df: DataFrame, date: str, metric: str, ahead: int = FORECAST_MONTHS) -> DataFrame:
     """History (kind actual) and, from three months on, `ahead` further months with a 95 % band."""
-    months = indexed(df, date, metric)
-    fit = forecast_fit(df, date, metric)
-    actual = months.select("period", F.round("total", 2).alias("value"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.lit("actual").alias("kind"))
-    last = months.agg(F.max("period").alias("period")).select(F.to_date(F.concat("period", F.lit("-01"))).alias("d"))
-    base = fit.where("n >= 3").select("*", last.select("d").scalar().alias("d")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
-    value = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + F.col("k"))
-    band = 1.96 * F.col("sigma")
-    coming = base.select(F.date_format(F.add_months("d", F.col("k")), "yyyy-MM").alias("period"), F.round(value, 2).alias("value"), F.round(value - band, 2).alias("lower"), F.round(value + band, 2).alias("upper"), F.lit("forecast").alias("kind"))
-    return actual.union(coming)
+    return forecast_of(monthly(df, date, metric), ahead)
+
+
+def forecast_of(months: DataFrame, ahead: int = FORECAST_MONTHS) -> DataFrame:
+    """Each month gives its own row, and the last one the rows to come as well, so the sums are read once."""
+    own = F.struct(F.col("period"), F.round("total", 2).alias("value"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.lit("actual").alias("kind"))
+
+    def coming(k: Column) -> Column:
+        value, band = F.col("intercept") + F.col("slope") * (F.col("n") - 1 + k), 1.96 * F.col("sigma")
+        period = F.date_format(F.add_months(F.to_date(F.concat("period", F.lit("-01"))), k), "yyyy-MM")
+        return F.struct(period.alias("period"), F.round(value, 2).alias("value"), F.round(value - band, 2).alias("lower"), F.round(value + band, 2).alias("upper"), F.lit("forecast").alias("kind"))
+
+    last = (F.col("i") == F.col("n") - 1) & (F.col("n") >= 3)
+    rows = F.when(last, F.concat(F.array(own), F.transform(F.sequence(F.lit(1), F.lit(ahead)), coming))).otherwise(F.array(own))
+    return fitted(months).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def changepoint_scan(df: DataFrame, date: str, metric: str) -> DataFrame:
     """The split of the months with the largest change of mean, by deviation; needs four months."""
+    return changepoint_of(monthly(df, date, metric))
+
+
+def changepoint_of(months: DataFrame) -> DataFrame:
     every = Window.partitionBy()
     so_far = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    months = monthly(df, date, metric).withColumns({"n": F.count("*").over(every), "sum": F.sum("total").over(every), "sd": F.stddev_samp("total").over(every), "k": F.count("*").over(so_far), "part": F.sum("total").over(so_far)})
+    months = months.withColumns({"n": F.count("*").over(every), "sum": F.sum("total").over(every), "sd": F.stddev_samp("total").over(every), "k": F.count("*").over(so_far), "part": F.sum("total").over(so_far)})
     before, after = F.col("part") / F.col("k"), (F.col("sum") - F.col("part")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))
     split = months.where("n >= 4 AND k < n").select("period", before.alias("b"), after.alias("a"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
     scored = split.select("period", F.round("b", 2).alias("mean_before"), F.round("a", 2).alias("mean_after"), F.round(F.col("a") - F.col("b"), 2).alias("delta"), F.round(F.abs(F.col("a") - F.col("b")) / (F.col("sd") + 1e-9), 2).alias("magnitude"))
     return scored.orderBy(F.desc("magnitude"), "period").limit(1)
 
 
-def data_quality(df: DataFrame, most: int = 4) -> DataFrame:
-    """The completeness of each column with the quartiles and outliers of the first `most` numeric ones, null for others."""
+#: Columns beyond which distinct values are told by sketches unless the caller says otherwise, and the sketches' error.
+EXACT_COLUMNS, SKETCH_ERROR = 16, 0.01
+
+
+def data_quality(df: DataFrame, most: int = 4, error: float | None = None) -> DataFrame:
+    """The completeness of each column with the quartiles and outliers of the first `most` numeric ones, null for others.
+
+    error: of the distinct counts; by default they are exact for tables of up to `EXACT_COLUMNS` columns."""
     numeric = [c for c, k in kinds(df).items() if k == "numeric"][:most]
-    whole = completeness(df)
+    whole = completeness(df, SKETCH_ERROR if error is None and len(df.columns) > EXACT_COLUMNS else error or None)
     if not numeric:
         return whole.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("q1", "double"), ("q3", "double"), ("iqr", "double"), ("outliers", "long"))])
     return whole.join(iqr_outliers(df, numeric), "column_name", "left")
@@ -171,20 +215,39 @@ def applicable(df: DataFrame) -> list[str]:
     return [r for r, (needs, _) in RECIPES.items() if all(first_of(df, k) for k in needs)]
 
 
-def insights(tables: dict[str, DataFrame], most: int = 8) -> DataFrame:
+#: Tables that are looked at for findings.
+TABLES = 12
+
+
+def insights(tables: dict[str, DataFrame], most: int = 8, looked_at: int = TABLES) -> DataFrame:
     """Anomalies, movers of 25 % and more, and changepoints of magnitude 1 and more over tables with a date and a number; no
-    rows where no table has both."""
+    rows where no table has both. Tables beyond the first `looked_at` are left out; `left_out` names them.
+
+    Each table is read once, for its sums by month and group, from which all three follow."""
     found = []
-    for name, df in list(tables.items())[:12]:
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+    for name, df in list(tables.items())[:looked_at]:
         date, metric, group = (first_of(df, k) for k in ("date", "numeric", "text"))
         if not date or not metric:
             continue
+        cohort = F.col(group).cast("string") if group else F.lit(None).cast("string")
+        sums = written(monthly(df.withColumn("_cohort", cohort), date, metric, "_cohort").withColumnRenamed("_cohort", "cohort"), new_folder(spark, "months"))
+        months = months_of(sums)
         row = lambda kind, label, size: [F.lit(name).alias("table_name"), F.lit(kind).alias("kind"), label.alias("label"), size.alias("magnitude")]  # noqa: B023, E731
-        found.append(anomaly_scan(df, date, metric).select(*row("anomaly", F.col("period"), F.abs("z"))))
-        found.append(changepoint_scan(df, date, metric).where("magnitude >= 1").select(*row("changepoint", F.col("period"), F.col("magnitude"))))
+        found.append(anomalies_of(months).select(*row("anomaly", F.col("period"), F.abs("z"))))
+        found.append(changepoint_of(months).where("magnitude >= 1").select(*row("changepoint", F.col("period"), F.col("magnitude"))))
         if group:
-            found.append(top_movers(df, group, metric, date).where("abs(pct_change) >= 25").select(*row("mover", F.col("cohort"), F.abs("pct_change") / 100)))
+            found.append(movers_of(sums).where("abs(pct_change) >= 25").select(*row("mover", F.col("cohort"), F.abs("pct_change") / 100)))
     if not found:
-        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
         return spark.createDataFrame([], "table_name string, kind string, label string, magnitude double")
     return reduce(DataFrame.unionByName, found).orderBy(F.desc("magnitude"), "table_name", "kind", "label").limit(most)
+
+
+def left_out(tables: dict[str, DataFrame], looked_at: int = TABLES) -> list[str]:
+    """The tables that `insights` does not look at."""
+    return list(tables)[looked_at:]
+
+
+def months_of(sums: DataFrame) -> DataFrame:
+    """(period, total) of sums by month and group."""
+    return sums.groupBy("period").agg(F.sum("total").alias("total"))

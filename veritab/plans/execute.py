@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.plans.guard import Refused, guard, items, name_of, parse
+from veritab.plans.qualify import rewritten
 
 ROWS, COLUMNS, SECONDS, CELL = 200, 24, 10.0, 80
 SAVED_ROWS = 100_000
@@ -82,7 +83,8 @@ def _csv(rows: list[list], end: str = "\r\n") -> str:
 
 
 def run_query(spark: SparkSession, sql: str, tables: list[str] | None = None, rows: int = ROWS, seconds: float = SECONDS) -> Result:
-    """At most `rows` rows; if there are more, one count tells how many. No rows is an error."""
+    """At most `rows` rows; if there are more, one count tells how many. No rows is an error. QUALIFY is rewritten first."""
+    sql = rewritten(sql)
     names = guard(spark, sql, tables)
     df, found = within(spark, seconds, lambda: ((df := spark.sql(sql)), [tuple(r) for r in df.limit(rows + 1).collect()]))
     if not found:

@@ -10,6 +10,7 @@ from veritab.operators import charts, recipes, retrieval, rules, stores
 from veritab.operators.semantic import closure, propose_synonyms
 from veritab.plans import cards
 from veritab.plans.guard import guard
+from veritab.plans.qualify import rewritten
 from veritab.queries import ORACLE, STOP, query
 from veritab.session import table
 
@@ -21,6 +22,7 @@ def guarded(spark: SparkSession, d: str, sql: str) -> DataFrame:
     for name in TABLES:
         if cards.mentions(sql, name):
             table(spark, d, name).createOrReplaceTempView(name)
+    sql = rewritten(sql)
     guard(spark, sql, TABLES)
     return spark.sql(sql)
 
@@ -42,6 +44,8 @@ STATEMENTS = {
     "sql_window_frames": "SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS dr, lead(o_orderkey) OVER w AS following, first_value(o_orderkey) OVER w AS first_key, nth_value(o_orderkey, 2) OVER w AS second_key, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND CURRENT ROW) AS near FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "sql_values": "SELECT v.k, r_name FROM (VALUES (0, 'x'), (2, 'y'), (9, 'z')) v(k, t) LEFT JOIN region ON r_regionkey = v.k",
     "sql_case_dates": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 50000 THEN 'middle' ELSE 'small' END AS size, EXTRACT(YEAR FROM o_orderdate) AS y, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 DAY AS DATE) AS following, lpad(CAST(o_custkey AS STRING), 8, '0') AS padded, replace(o_orderpriority, '-', ' ') AS said, concat(o_orderstatus, ':', o_orderpriority) AS both_ FROM orders",
+    "sql_qualify": "WITH t AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3) SELECT x.o_custkey, x.n, rank() OVER w AS place FROM (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM t GROUP BY o_custkey HAVING count(*) > 1 QUALIFY total > avg(sum(o_totalprice)) OVER ()) x WINDOW w AS (ORDER BY x.total DESC, x.o_custkey) QUALIFY place <= 50 AND 'QUALIFY' <> 'x' ORDER BY place",
+    "sql_qualify_distinct": "SELECT DISTINCT p_brand, p_size % 5 AS k FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, k) > 3 UNION ALL SELECT p_brand, max(p_size) FROM part GROUP BY p_brand QUALIFY dense_rank() OVER (ORDER BY max(p_retailprice) DESC) = 1",
     "sql_order_limit": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7 OFFSET 2",
 }
 for _name, _sql in STATEMENTS.items():
