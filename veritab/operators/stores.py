@@ -162,7 +162,7 @@ def verified(log: DataFrame, key: str, by: list[str] | None = None) -> DataFrame
 
 
 def refreshed(spark: SparkSession, pins: DataFrame, tables: list[str], now: Column, seconds: float = 60.0) -> DataFrame:
-    """(pin, created, digest, failed, at): a run of each of a board's pins (pin, created, statement), at most `PINS` for each
+    """(pin, created, digest, rows, failed, at): a run of each of a board's pins (pin, created, statement), at most `PINS` for each
     owner as `admit` keeps them.
 
     Each statement passes the guard. Its whole result is digested where its rows are; all digests come in one job a
@@ -171,12 +171,12 @@ def refreshed(spark: SparkSession, pins: DataFrame, tables: list[str], now: Colu
     for r in pins.select("pin", "created", "statement").collect():
         try:
             guard(spark, r["statement"], tables)
-            digest = within(spark, seconds, lambda s=r["statement"]: whole_digest(spark.sql(s)))[1]
-            runs.append((r["pin"], r["created"], digest, False))
+            rows, digest = within(spark, seconds, lambda s=r["statement"]: whole_digest(spark.sql(s)))
+            runs.append((r["pin"], r["created"], digest, rows, False))
         except Exception:
-            runs.append((r["pin"], r["created"], None, True))
+            runs.append((r["pin"], r["created"], None, None, True))
     kind = pins.schema["created"].dataType.simpleString()
-    return spark.createDataFrame(runs, f"pin string, created {kind}, digest string, failed boolean").withColumn("at", now)
+    return spark.createDataFrame(runs, f"pin string, created {kind}, digest string, rows long, failed boolean").withColumn("at", now)
 
 
 def advanced(pins: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions import text as fx
 from veritab.operators import charts, recipes, retrieval, rules, stores
-from veritab.operators.semantic import closure, propose_synonyms
+from veritab.operators.semantic import SHORT_FORMS, closure, propose_synonyms
 from veritab.plans import cards
 from veritab.plans.guard import guard
 from veritab.plans.qualify import rewritten
@@ -62,9 +64,10 @@ def sql_array_agg(spark, d):
     return guarded(spark, d, "SELECT o_orderstatus, array_join(array_sort(collect_set(o_orderpriority)), ',') AS priorities FROM orders GROUP BY o_orderstatus")
 
 
-@query("SELECT l_returnflag, abs(approx - exact) <= 0.05 * exact AS near FROM (SELECT l_returnflag, count(DISTINCT l_partkey) AS exact, count(DISTINCT l_partkey) AS approx FROM lineitem GROUP BY 1)")
+@query("SELECT l_returnflag, CAST(round(count(DISTINCT l_returnflag || l_linestatus || l_quantity % 7)) AS BIGINT) AS combinations FROM lineitem GROUP BY 1")
 def sql_approx_distinct(spark, d):
-    return guarded(spark, d, "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.01) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey) AS near FROM lineitem GROUP BY l_returnflag")
+    """Few enough values that a sketch of one per cent tells their exact number."""
+    return guarded(spark, d, "SELECT l_returnflag, approx_count_distinct(concat(l_returnflag, l_linestatus, CAST(l_quantity % 7 AS STRING)), 0.01) AS combinations FROM lineitem GROUP BY l_returnflag")
 
 
 @query("UNPIVOT (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) ON size, price INTO NAME measure VALUE amount")
@@ -97,9 +100,9 @@ def chart_bars(spark, d):
     return _chart_rows(charts.auto_chart(guarded(spark, d, "SELECT n_name, sum(c_acctbal) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")))
 
 
-@query("SELECT 'scatter' AS kind, CAST(p_retailprice AS VARCHAR) AS label, CAST(p_size AS DOUBLE) AS size FROM part WHERE p_partkey <= 3")
+@query("SELECT 'scatter' AS kind, CAST(p_retailprice AS VARCHAR) AS label, CAST(p_size AS DOUBLE) AS size FROM part")
 def chart_scatter(spark, d):
-    return _chart_rows(charts.auto_chart(table(spark, d, "part").where("p_partkey <= 3").select("p_retailprice", F.col("p_size").alias("size"))))
+    return _chart_rows(charts.auto_chart(table(spark, d, "part").select("p_retailprice", F.col("p_size").alias("size"))))
 
 
 @query("SELECT 'bar' AS kind, o_orderpriority AS label, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 2")
@@ -184,10 +187,15 @@ def local_only_closure(spark, d):
     return closure(edges, regions.where("r_regionkey = 1").select(F.col("r_name").alias("name")))
 
 
-@query("SELECT 'quantity' AS term, 'qty' AS column_name UNION ALL SELECT 'rgn', 'region'")
+@query(f"""WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || r_name || ' region ' || n_name || ' desc ' || lower(p_type)), '[a-z]+')) AS w FROM part, region, nation),
+forms AS (SELECT unnest({[a for p in SHORT_FORMS for a in p]!r}) AS w, unnest({[b for x, y in SHORT_FORMS for b in (y, x)]!r}) AS term)
+SELECT term, w AS column_name FROM words JOIN forms USING (w) WHERE term NOT IN (SELECT w FROM words) AND term NOT IN (SELECT lower(c_mktsegment) FROM customer)""")
 def synonym_proposals(spark, d):
-    columns = spark.createDataFrame([("Region",), ("amt",), ("Amount",), ("qty",), ("dept",)], "column_name string")
-    return propose_synonyms(columns, spark.createDataFrame([("department",)], "term string"))
+    """Columns are the words of the names of parts, regions and nations; known terms are the market segments."""
+    words = lambda *c: F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", *c)), F.lit("[a-z]+"), F.lit(0)))
+    named = [table(spark, d, "part").select(words("p_name", "p_type")), table(spark, d, "region").select(words(F.lit("region"), "r_name")), table(spark, d, "nation").select(words(F.lit("desc"), "n_name"))]
+    columns = reduce(DataFrame.unionAll, named).toDF("column_name")
+    return propose_synonyms(columns, table(spark, d, "customer").select(F.col("c_mktsegment").alias("term")))
 
 
 @query("SELECT event_type AS host, CAST(user_id % 3 AS VARCHAR) AS purpose, count(*) AS calls, max(ts) AS last FROM events GROUP BY 1, 2")
@@ -217,26 +225,38 @@ def briefings_due(spark, d):
     return stores.due(made, F.lit("1997-06-01 00:00:00").cast("timestamp")).select("name")
 
 
-@query("SELECT count(*) AS records, CAST(NULL AS BIGINT) AS broken FROM nation")
+@query("""WITH s AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, count(*) OVER (PARTITION BY conv_id) AS n, first(role) OVER (PARTITION BY conv_id ORDER BY turn) AS opens FROM conversations),
+x AS (SELECT conv_id, max(n) AS n, max(opens) AS opens FROM s GROUP BY conv_id)
+SELECT conv_id, CAST(CASE WHEN opens = 'system' THEN n WHEN n = 8 THEN n + 1 WHEN n = 5 THEN n - 1 ELSE n END AS BIGINT) AS records, CAST(CASE WHEN opens = 'system' THEN CASE WHEN n >= 2 THEN 2 END WHEN n = 8 THEN 3 WHEN n = 5 THEN 5 END AS BIGINT) AS broken FROM x""")
 def audit_chain(spark, d):
-    log = spark.createDataFrame([], "seq long, payload string, before string, link string")
-    records = [{"nation": r["n_name"]} for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]
-    return stores.verified(stores.appended(log, records, "key"), "key")
+    """A log for each conversation. Where a system message opens it, the second record was changed; one of eight has its third
+    record twice; one of five lacks its fourth."""
+    talk = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("at"), F.to_json(F.struct("role", "text")).alias("payload"), "role")
+    log = stores.chained(talk, ["conv_id"], "key")
+    kinds = talk.groupBy("conv_id").agg(F.count("*").alias("n"), (F.min_by("role", "at") == "system").alias("system"))
+    known = log.join(kinds, "conv_id")
+    known = known.withColumn("payload", F.when(F.col("system") & (F.col("seq") == 2), F.concat("payload", F.lit(" "))).otherwise(F.col("payload")))
+    times = F.when(~F.col("system") & (F.col("n") == 8) & (F.col("seq") == 3), 2).when(~F.col("system") & (F.col("n") == 5) & (F.col("seq") == 4), 0).otherwise(1)
+    return stores.verified(known.withColumn("_k", F.explode(F.array_repeat(F.lit(1), times))), "key", ["conv_id"])
 
 
 @query(f"""WITH q AS (SELECT ['large', 'box', 'steel'] AS q), s AS (SELECT p_partkey, list_distinct(list_transform(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]{{2,}}'), lambda x: x NOT IN ({STOP})), lambda x: CASE WHEN length(x) > 3 AND x LIKE '%s' THEN x[1:-2] ELSE x END)) AS t FROM part),
-h AS (SELECT p_partkey, len(list_intersect(t, q)) AS n, len(list_filter(list_intersect(t, q), lambda x: length(x) >= 4)) > 0 AS long_one FROM s, q)
-SELECT p_partkey, round(0.5 + 0.4 * n / 3, 6) AS score FROM h WHERE long_one""")
+h AS (SELECT p_partkey, len(list_intersect(t, q)) AS n, len(list_filter(list_intersect(t, q), lambda x: length(x) >= 4)) > 0 AS long_one FROM s, q),
+hits AS (SELECT l_partkey AS p_partkey, count(*) / 100.0 AS score FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+SELECT p_partkey, round(CASE WHEN score IS NULL THEN 0.5 + 0.4 * (CASE WHEN long_one THEN n ELSE 0 END) / 3 ELSE score + 0.2 * (CASE WHEN long_one THEN n ELSE 0 END) / 3 END, 6) AS score FROM h LEFT JOIN hits USING (p_partkey) WHERE score IS NOT NULL OR long_one""")
 def name_boost(spark, d):
+    """Hits are the parts of large orders; names are the parts'."""
     names = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"))
-    return retrieval.boosted(spark.createDataFrame([], "p_partkey long, score double"), names, "p_partkey", ["large", "box", "steel"])
+    hits = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_partkey").alias("p_partkey")).agg((F.count("*") / F.lit(100.0)).alias("score"))
+    return retrieval.boosted(hits, names, "p_partkey", ["large", "box", "steel"])
 
 
-@query("SELECT doc_id, CAST(len(l) - 1 AS INTEGER) AS rows, CAST(CASE WHEN len(l) - 1 <= 30 THEN 1 ELSE ceil((len(l) - 1 - 30) / 25.0) + 1 END AS INTEGER) AS chunks FROM (SELECT doc_id, list_filter(string_split(regexp_replace(replace(text, chr(13), ''), '\\n[ \\t]*(\\n[ \\t]*)+', chr(10), 'g'), chr(10)), lambda x: trim(x) != '') AS l FROM documents) WHERE len(l) > 1")
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(replace(text, chr(13), ''), '\\n[ \\t]*(\\n[ \\t]*)+', chr(10), 'g'), chr(10)), lambda x: trim(x) != '') AS l FROM documents),
+s AS (SELECT doc_id, l, unnest(range(0, greatest(len(l) - 1 - 6, 0) + 1, 25)) AS a FROM t WHERE len(l) > 1)
+SELECT doc_id, CAST(a // 25 AS INTEGER) AS ordinal, CAST(least(30, len(l) - 1 - a) AS INTEGER) AS rows, sha256(array_to_string(list_concat(l[1:1], l[a + 2 : a + 31]), chr(10))) AS chunk_sha256 FROM s""")
 def tabular_chunks(spark, d):
     whole = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.regexp_replace("text", "\r", ""), r"\n[ \t]*(\n[ \t]*)+", "\n").alias("text"))
-    cut = retrieval.tabular_chunks(whole, "doc_id")
-    return cut.groupBy("doc_id").agg((F.sum("rows") - 5 * (F.count("*") - 1)).cast("int").alias("rows"), F.count("*").cast("int").alias("chunks"))
+    return retrieval.tabular_chunks(whole, "doc_id").select("doc_id", "ordinal", "rows", F.sha2("chunk", 256).alias("chunk_sha256"))
 
 
 @query("SELECT o_custkey AS file, round(s / max(s) OVER (), 6) AS score FROM (SELECT o_custkey, sum(CAST(o_orderkey AS DOUBLE)) AS s FROM orders GROUP BY 1) ORDER BY score DESC, file LIMIT 10")

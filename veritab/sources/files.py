@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,6 +28,10 @@ class Registered:
     columns: dict[str, str]
     family: bool = False
     data: DataFrame | None = field(default=None, repr=False)
+    #: (rows read, rows in all) where the table has only the first rows of a file.
+    capped: tuple[int, int] | None = None
+    #: Older files of a family that were left out whole, as their rows would pass the limit.
+    omitted: list[str] = field(default_factory=list)
 
 
 def broken_lines(spark: SparkSession, *paths: str) -> bool:
@@ -82,16 +86,45 @@ def families(files: list[tuple[str, dict[str, str], int]]) -> tuple[list[list[st
     return out, [p for _, p in sorted(singles, key=lambda m: (-m[0], m[1]))]
 
 
+def saved_at(path: str) -> float | None:
+    """When a local file was saved, in seconds since the epoch; None if that is not known."""
+    return os.path.getmtime(path) if os.path.exists(path) else None
+
+
+def admitted(members: DataFrame, limit: int, order: list, by: list[str]) -> DataFrame:
+    """The members (rows, and the columns of by and order) with `within`: whether a whole member is in the union of those that
+    share `by`. Members come in order while the sum of their rows stays within the limit; the first that would pass it and
+    all after it stay out, so that no member is in by half."""
+    running = F.sum("rows").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return members.withColumn("within", running <= limit)
+
+
 def register(spark: SparkSession, paths: list[str], slots: int = FILE_SLOTS, most: int = TABLES, local_only: frozenset[str] | set[str] = frozenset(), cloud: bool = False) -> list[Registered]:
     """Views over families first, then over single files, newest first; files that can't be read are left out, and those that
-    must stay local where the answer leaves the machine. Every text file is read once to tell its types."""
-    frames = {p: df for p in paths if not (cloud and p in local_only) and (df := read_file(spark, p)) is not None}
+    must stay local where the answer leaves the machine. Every text file is read once to tell its types. A workbook is
+    represented by its first sheet; its further sheets follow as tables of their own while there is room."""
+    from veritab.sources.workbooks import EXTENSIONS, Books
+
+    open_to = [p for p in paths if not (cloud and p in local_only)]
+    of_books = [p for p in open_to if os.path.splitext(p)[1].lower() in EXTENSIONS]
+    books = Books(spark, of_books) if of_books else None
+    frames = {p: df for p in open_to if p not in of_books and (df := read_file(spark, p)) is not None}
+    frames |= {p: books.sheets[p][0].data for p in of_books if books.sheets.get(p)}
     seen = [(p, kinds(df), int(os.path.getmtime(p) * 1000) if os.path.exists(p) else 0) for p, df in frames.items()]
     grouped, singles = families(seen)
     used: set[str] = set()
     out: list[Registered] = []
     for members, family in [*((g, True) for g in grouped), *(([s], False) for s in singles)][:slots]:
-        df = read_file(spark, *members, like=frames[members[0]].schema) if family else frames[members[0]]
+        capped, omitted = None, []
+        if members[0] in of_books:
+            if family:
+                df, members, omitted = books.union(members)
+                if len(members) < 2:
+                    family = False
+            if not family:
+                df, capped = books.sheets[members[0]][0].data, books.sheets[members[0]][0].capped
+        else:
+            df = read_file(spark, *members, like=frames[members[0]].schema) if family else frames[members[0]]
         if df is None or len(out) >= most:
             continue
         base = sanitize(stem(members[0]) + "_all" if family else os.path.splitext(os.path.basename(members[0]))[0])
@@ -100,7 +133,14 @@ def register(spark: SparkSession, paths: list[str], slots: int = FILE_SLOTS, mos
             name, k = f"{base}_{k}", k + 1
         used.add(name)
         df.createOrReplaceTempView(name)
-        out.append(Registered(name, members, kinds(df), family, df))
+        out.append(Registered(name, members, kinds(df), family, df, capped, omitted))
+        for sheet in books.sheets[members[0]][1:] if members[0] in of_books and not family else ():
+            if len(out) < most:
+                more = sanitize(f"{base}_{sheet.name}")
+                if more not in used:
+                    used.add(more)
+                    sheet.data.createOrReplaceTempView(more)
+                    out.append(Registered(more, members, kinds(sheet.data), False, sheet.data, sheet.capped))
     return out
 
 

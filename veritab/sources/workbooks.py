@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.text import number, sanitize
-from veritab.sources.files import header_row
+from veritab.sources.files import admitted, header_row
+from veritab.sources.store import new_folder, written
 
 #: What is read of a workbook, and how a column's kind is decided.
 SHEETS, COLUMNS, ROWS = 4, 64, 100_000
 NUMERIC_SHARE = 0.8
 SERIALS = (20_000, 60_000)
-CELLS = "path string, sheet string, row int, cells array<string>"
+CELLS = "path string, sheet string, row int, cells array<string>, place int"
 DATED_NAMES = ("date", "day", "month", "time", "created", "updated", "modified", "dob", "birth", "expiry", "expire", "due", "_at", "timestamp", "datetime")
 DATE_FORMATS = frozenset([14, 15, 16, 17, 22, 27, 30, 36, 50, 57])
 _ROW, _CELL = re.compile(r"\d+$"), re.compile(r"^[A-Z]+")
@@ -108,7 +110,7 @@ def _text_of(cell, shared: list[str], dated: list[bool], since_1904: bool) -> st
 
 
 def workbook_cells(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, sheet, row, cells) of workbooks; a file that can't be read gives no rows."""
+    """(path, sheet, row, cells, place of the sheet) of workbooks; a file that can't be read gives no rows."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -117,7 +119,8 @@ def workbook_cells(spark: SparkSession, *paths: str) -> DataFrame:
                     found = list(sheets_of(bytes(content)))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, StopIteration):
                     continue
-                yield pd.DataFrame([(path, *r) for r in found], columns=["path", "sheet", "row", "cells"])
+                places = {s: k for k, s in enumerate(dict.fromkeys(r[0] for r in found))}
+                yield pd.DataFrame([(path, *r, places[r[0]]) for r in found], columns=["path", "sheet", "row", "cells", "place"])
 
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, CELLS)
 
@@ -149,9 +152,64 @@ def typed(matrix: DataFrame, headers: list[str]) -> DataFrame:
     return raw.select("row", *[column(k, n) for k, n in enumerate(names)])
 
 
+EXTENSIONS = (".xlsx", ".xlsm")
+
+
+@dataclass
+class Sheet:
+    name: str
+    data: DataFrame
+    capped: tuple[int, int] | None
+    header: list[str]
+    rows: int
+
+
+class Books:
+    """Workbooks whose cells are read once, written to the shared folder, and then taken from there sheet by sheet."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        self.spark = spark
+        self.cells = written(workbook_cells(spark, *paths), new_folder(spark, "cells"))
+        own = F.element_at(F.split("path", "/"), -1)
+        heads = self.cells.where("row < 8").orderBy("path", "sheet", "row").collect()
+        sizes = {(r["path"], r["sheet"]): (r["n"], r["first"]) for r in self.cells.groupBy("path", "sheet").agg(F.max("row").alias("n"), F.min("place").alias("first")).collect()}
+        self.sheets: dict[str, list[Sheet]] = {}
+        self.at: dict[tuple[str, str], int] = {}
+        told = {r["path"]: r["name"] for r in self.cells.select("path", own.alias("name")).distinct().collect()}
+        by_path = {t: p for t in told for p in paths if t == p or t.removeprefix("file:").lstrip("/") == p.removeprefix("file:").lstrip("/")}
+        for (path, sheet), (last, _) in sorted(sizes.items(), key=lambda x: (x[0][0], x[1][1])):
+            first = [list(r["cells"]) for r in heads if (r["path"], r["sheet"]) == (path, sheet)]
+            at = header_row(first)
+            width = max(map(len, first), default=0)
+            if width < 2 or last - at < 2 or path not in by_path:
+                continue
+            header = first[at] + [""] * (width - len(first[at]))
+            rows = self.cells.where((F.col("path") == path) & (F.col("sheet") == sheet) & (F.col("row") > at) & (F.col("row") <= at + ROWS))
+            self.at[path, sheet] = at
+            one = Sheet(sheet, typed(rows, header).drop("row"), (ROWS, last - at) if last - at > ROWS else None, header, last - at)
+            self.sheets.setdefault(by_path[path], []).append(one)
+        self.path_of = {v: k for k, v in by_path.items()}
+
+    def union(self, members: list[str], limit: int = ROWS) -> tuple[DataFrame | None, list[str], list[str]]:
+        """(table, members in it, members left out) of the first sheets of a family, newest first: whole members while their rows
+        stay within the limit. Members with another header than the newest are left out too. Fewer than two: no union."""
+        found = [(k, p, self.sheets[p][0].rows, [h.strip().lower() for h in self.sheets[p][0].header]) for k, p in enumerate(members) if self.sheets.get(p)]
+        alike = [m for m in found if m[3] == found[0][3]]
+        frame = self.spark.createDataFrame([(k, p, n, "family") for k, p, n, _ in alike], "place int, member string, rows long, family string")
+        within = {r["member"] for r in admitted(frame, limit, ["place"], ["family"]).where("within").collect()}
+        kept = [p for p in members if p in within]
+        if len(kept) < 2:
+            return None, members[:1], members[1:]
+        chosen = [(self.path_of[p], self.sheets[p][0].name, self.at[self.path_of[p], self.sheets[p][0].name], k) for k, p in enumerate(kept)]
+        told = self.spark.createDataFrame(chosen, "path string, sheet string, at int, member int")
+        rows = self.cells.drop("place").join(F.broadcast(told), ["path", "sheet"]).where("row > at")
+        together = typed(rows.select((F.col("member") * (2 * ROWS) + F.col("row")).alias("row"), "cells"), self.sheets[kept[0]][0].header)
+        return together.drop("row"), kept, [p for p in members if p not in kept]
+
+
 def workbook_tables(spark: SparkSession, *paths: str) -> dict[tuple[str, str], tuple[DataFrame, int | None]]:
     """{(path, sheet): (table, rows in all if more than are kept)} of the sheets with two columns and two rows and more."""
-    cells = workbook_cells(spark, *paths)
+    cells = written(workbook_cells(spark, *paths), new_folder(spark, "cells"))
     heads = cells.where("row < 8").orderBy("path", "sheet", "row").collect()
     sizes = {(r["path"], r["sheet"]): r["n"] for r in cells.groupBy("path", "sheet").agg(F.max("row").alias("n")).collect()}
     out = {}
