@@ -68,5 +68,5 @@ def test_pins_and_stream(spark, tmp_path):
         watch(spark, data, schema, str(tmp_path / "ck"), lambda rows, batch: seen.append(rows.count())).awaitTermination(60)
     assert seen == [1]
     spark.read.parquet(data).createOrReplaceTempView("t_pin")
-    state, first = recheck(spark, {"a": ("SELECT * FROM t_pin", None)})["a"]
-    assert state == "new" and recheck(spark, {"a": ("SELECT * FROM t_pin", first), "b": ("SELECT * FROM gone", "x")}) == {"a": ("same", first), "b": ("stale", "x")}
+    state, first = recheck(spark, {"a": ("SELECT * FROM t_pin", None)}, ["t_pin"])["a"]
+    assert state == "new" and recheck(spark, {"a": ("SELECT * FROM t_pin", first), "b": ("SELECT * FROM gone", "x")}, ["t_pin"]) == {"a": ("same", first), "b": ("stale", "x")}

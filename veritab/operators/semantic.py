@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veritab.functions.text import sanitize
 from veritab.plans.guard import Refused, guard, items, name_of, parse, parser, reads
-from veritab.plans.trees import canonical, with_column
+from veritab.plans.trees import canonical, text_of, with_column
 from veritab.plans.wholes import whole_digest
 from veritab.sources.store import new_folder, written
 
@@ -227,7 +227,7 @@ def projected(spark: SparkSession, sql: str) -> list:
 
 
 def projections(spark: SparkSession, sql: str) -> list[str]:
-    return [e.sql() for e in projected(spark, sql)]
+    return [text_of(e) for e in projected(spark, sql)]
 
 
 def filter_and_groups(spark: SparkSession, sql: str) -> tuple[str | None, list[str]]:

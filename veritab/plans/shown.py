@@ -87,7 +87,7 @@ def table_rows(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, header, row, cells): the rows of the first piped table of each text, cut or filled to its header's width.
 
     A table is a line with a pipe, a line of dashes under it, and the piped lines that follow at once."""
-    lines = F.transform(F.split(F.col(text), "\r?\n"), F.trim)
+    lines = F.transform(F.split(F.col(text), "\r?\n"), lambda x: F.trim(x))
     dashes = r"^\|?(?:\s*:?-+:?\s*\|)*\s*:?-+:?\s*\|?$"
     placed = texts.select(key, lines.alias("l")).withColumn("at", F.array_position(F.transform("l", lambda x, i: x.rlike(dashes) & (i > 0) & F.coalesce(F.get("l", i - 1).contains("|"), F.lit(False))), True))
     some = placed.where("at > 1").select(key, F.get("l", (F.col("at") - 2).cast("int")).alias("head"), F.slice("l", (F.col("at") + 1).cast("int"), F.greatest(F.size("l") - F.col("at").cast("int"), F.lit(0))).alias("rest"))

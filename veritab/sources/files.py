@@ -34,10 +34,13 @@ class Registered:
     omitted: list[str] = field(default_factory=list)
 
 
-def broken_lines(spark: SparkSession, *paths: str) -> bool:
-    """Whether a quoted cell of a text file spans lines: some line then has an odd number of quotes. It stops at the first."""
-    lines = spark.read.text(list(paths))
-    return not lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+def line_options(spark: SparkSession, *paths: str) -> dict[str, str]:
+    """How text files must be read whose quoted cells span lines, as whole files with the line end that their rows have; nothing
+    for other files. Some line then has an odd number of quotes; the search stops at the first."""
+    lines = spark.read.option("lineSep", "\n").text(list(paths))
+    if lines.where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty():
+        return {}
+    return {"multiLine": "true", "lineSep": "\r\n" if lines.first()["value"].endswith("\r") else "\n"}
 
 
 def read_file(spark: SparkSession, *paths: str, like: StructType | None = None) -> DataFrame | None:
@@ -51,8 +54,8 @@ def read_file(spark: SparkSession, *paths: str, like: StructType | None = None)
         return None
     reader = spark.read.format(form[0]).options(**form[1])
     try:
-        if form[0] == "csv" and broken_lines(spark, *paths):
-            reader = reader.option("multiLine", True)
+        if form[0] == "csv":
+            reader = reader.options(**line_options(spark, *paths))
         df = (reader.schema(like) if like is not None and form[0] == "csv" else reader).load(list(paths))
     except Exception:
         return None
