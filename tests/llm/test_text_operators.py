@@ -265,6 +265,29 @@ def test_html_doubtful_blocks_are_judged_by_their_host(spark):
     assert [found[k] for k in (6, 7, 8)] == [f"{body(k)}\n{notice}" for k in (6, 7, 8)]
 
 
+PLAIN = ["notice", "alert", "comment", "replies", "menu", "banner", "login", "signup", "paywall", "toolbar"]
+
+
+@pytest.mark.parametrize("hosts", [1, 2, 5])
+def test_html_boxes_inside_an_article_go_by_name_and_links(spark, hosts):
+    """On a host of any size: notices, menus, forms and comments by their names, lists of links by their links; a part that wraps
+    the article stays, and so does a part of its own text under a doubtful name."""
+    body = lambda k: [" ".join(f"w{k}x{b}y{j}" for j in range(20)) for b in range(3)]
+    rows, want, k = [], {}, 0
+    for name in [*PLAIN, "share", "related", "widget", "media"]:
+        for _ in range(hosts):
+            a, b, c = body(k)
+            box = f'<div class="{name}"><p>box {k} of words</p></div>' if name in PLAIN else f'<ul class="{name}"><li><a href="#">one {k}</a></li><li><a href="#">two {k}</a></li></ul>'
+            for page, text in ((f"<article><p>{a}</p>{box}<p>{b}</p><p>{c}</p>{box}</article>", [a, b, c]), (f'<article><div class="{name}"><p>{a}</p><p>{b}</p></div></article>', [a, b]), (f'<article><p>{a}</p><div class="media share">{b}</div></article>', [a, b])):
+                rows.append((len(rows), f"http://{name}.example/{k}", page))
+                want[len(rows) - 1] = "\n".join(text)
+            k += 1
+    found = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == want
+    talk = "".join(f'<div class="comment"><b>ann, today</b><p>{" ".join(body(k))}</p></div>' for k in range(40))
+    assert kept(f'<article><p>{body(0)[0]}</p><div class="replies">{talk}</div></article>') == (True, [body(0)[0]])
+
+
 def test_html_of_odd_tables(spark):
     """Null and repeated ids, repeated rows, null urls, a very long page, clashing column names, an empty table."""
     long = "<p>" + "word " * 200_000 + "</p>"

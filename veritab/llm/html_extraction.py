@@ -8,9 +8,10 @@ The streams of all pages of a host form its suffix array: every suffix is keyed
 doubling (a stretch that is shorter, by all of it), equal keys meet in one place by a shuffle, and keys on `MIN_PAGES`
 different pages of the host are repeated; longer repeats are runs of such keys. Every page sends the suffixes of what stands
 outside its article, and an open page also those of its open blocks. Covered boilerplate is removed and unique runs are
-kept: an open page loses the covered runs of its open blocks; an article loses a block (of `MIN_RUN` tokens at least) only if
-the host repeats all of it outside of articles, since a passage that many articles share is their own text. A page that would lose everything keeps its
-text. Pages of a host whose streams share 0.8 of their word pairs are copies and count once, so copies keep their body and
+kept: an open page loses the covered runs of its open blocks. Inside an article, what is named a notice, a menu, a form or
+comments goes whatever the host does, unless the article is what it wraps, and so do parts that are mostly links under a name
+for such; of other doubtful blocks it loses one (of `MIN_RUN` tokens at least) if the host repeats all of it outside of
+articles, since a passage that many articles share is their own text. A page that would lose everything keeps its text. Pages of a host whose streams share 0.8 of their word pairs are copies and count once, so copies keep their body and
 lose the menus that other pages have too; only pages with something to lose are compared.
 
 Keys are 8 bytes and are counted by partial sums, so a hot host is spread over all tasks, and texts never travel.
@@ -59,8 +60,13 @@ NOT_TEXT = re.compile(
     r"(?:[-_]+(?:container|wrapper|wrap|box|bar|area|block|list|section|inner|content|body|unit|slot|label|links?|icons?|buttons?|btn|form|items?|banner|notice|consent|message|popup|modal|menu|nav|navigation|sidebar|widgets?|media|posts?|articles?|stories|thread|\d+))*",
     re.I,
 )
-#: Of those, single words that inside an article are as likely to name a part of its own text: there the host's pages decide.
-AMBIGUOUS = frozenset("share sharing search login signup notice notices alert alerts banner media related menu menus replies comment widget widgets toolbar".split())
+#: Of those, single words that inside an article may also name a part of its own text. Notices, menus, forms and comments go
+#: unless they hold `WRAPS` of the article, which is then what they wrap (comments: unless `BESIDES` characters stand outside of them); lists of links go if
+#: links are `LINKED` of them; of the rest the host's pages decide.
+PLAINLY_BESIDE = frozenset("notice notices alert alerts banner menu menus replies comment login signup search toolbar paywall".split())
+AMBIGUOUS = PLAINLY_BESIDE | frozenset("share sharing media related widget widgets".split())
+COMMENTS = frozenset(("comment", "replies"))
+WRAPS, BESIDES, LINKED = 0.5, 80, 0.5
 HEADER = re.compile(r"(?:(?:site|global|top|main|mobile|sticky|fixed)[-_]+)*header(?:[-_]+(?:container|wrapper|wrap|inner|bar|area))*", re.I)
 #: Parts that hold articles of their own, which are not the page's.
 OTHERS = re.compile(r"(?:\w+[-_]+)?(?:comments?|repl(?:y|ies)|disqus|related)(?:[-_]+\w+)*", re.I)
@@ -70,8 +76,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
 
 
-def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool, bool]:
-    """(dropped, article, doubtful) of an element; dropped is 2 where articles inside are not the page's either."""
+def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool, int]:
+    """(dropped, article, doubtful) of an element; dropped is 2 where articles inside are not the page's either, doubtful is 3
+    for comments by name, 2 for what else is plainly beside the text by its name, 1 for what may be."""
     dropped, article = int(name in DROPPED or name == "header" and not in_article), name in ("article", "main")
     named: list[str] = []
     if attributes:
@@ -89,12 +96,12 @@ def judged(name: str, attributes: str, in_article: bool) -> tuple[int, bool, boo
     if name == "aside":
         dropped = 2
     if article:
-        return (2 if dropped == 2 or any(map(NO_ARTICLE.fullmatch, named)) else 0), True, False
-    doubtful = False
+        return (2 if dropped == 2 or any(map(NO_ARTICLE.fullmatch, named)) else 0), True, 0
+    doubtful = 0
     if named and name not in ("html", "body"):
         for x in named:
             if in_article and x in AMBIGUOUS:
-                doubtful = True
+                doubtful = max(doubtful, 3 if x in COMMENTS else 2 if x in PLAINLY_BESIDE else 1)
                 continue
             if NOT_TEXT.fullmatch(x):
                 dropped = max(dropped, 2 if OTHERS.fullmatch(x) else 1)
@@ -107,14 +114,14 @@ class Open:
     """The open elements; each knows what is dropped or article around it. All look-ups take constant time."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int, int, int, bool]] = []  # name, dropped, article depth, rank, doubtful: of the element and all around it
+        self.stack: list[tuple[str, int, int, int, int]] = []  # name, dropped, article depth, rank, doubtful: of the element and all around it
         self.places: dict[str, list[int]] = {}  # of each name that is open
         self.block_places: list[int] = []
 
-    def state(self) -> tuple[int, int, int, bool]:
-        return self.stack[-1][1:] if self.stack else (0, 0, 0, False)
+    def state(self) -> tuple[int, int, int, int]:
+        return self.stack[-1][1:] if self.stack else (0, 0, 0, 0)
 
-    def push(self, name: str, dropped: int, depth: int, rank: int, doubtful: bool) -> None:
+    def push(self, name: str, dropped: int, depth: int, rank: int, doubtful: int) -> None:
         self.places.setdefault(name, []).append(len(self.stack))
         if name in BLOCKS:
             self.block_places.append(len(self.stack))
@@ -133,11 +140,14 @@ class Open:
         return found[-1] if (found := self.places.get(name)) else None
 
 
-def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, int, bool, str]]:
-    """(dropped, rank, depth of article elements around it, doubtful, text) of each block; main counts as half an article.
+def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, int, int, int, str]]:
+    """(dropped, rank, depth of article elements around it, doubtful, characters in links, text) of each block; main counts as
+    half an article.
 
-    The rank is 0, or of an article inside something dropped how that is dropped, 1 or 2."""
-    out: list[tuple[int, int, int, bool, str]] = []
+    The rank is 0, or of an article inside something dropped how that is dropped, 1 or 2. Doubtful is 0, or of the outermost
+    doubtful element around it four times its number and how it is doubtful."""
+    out: list[tuple[int, int, int, int, int, str]] = []
+    linked = doubts = 0
     open_now = Open()
     parts: list[str] = []
     last_end: dict[str, int] = {}
@@ -145,15 +155,19 @@ def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, int, boo
     at = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             dropped, depth, rank, doubtful = open_now.state()
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((dropped, rank, depth, doubtful, text))
+                out.append((dropped, rank, depth, doubtful, linked, text))
             parts.clear()
+        linked = 0
 
     for m in MARKUP.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
+            if open_now.places.get("a"):
+                linked += len(parts[-1].strip())
         at = m.end()
         name = m[3]
         if name is None:
@@ -194,13 +208,29 @@ def blocks(page: str, keep_forms: bool = False) -> list[tuple[int, int, int, boo
             rank, depth, around = max(rank, around), 0, 0
         elif dropped and not around or doubtful and not doubted:
             flush()
-        open_now.push(name, max(around, dropped), depth + (1 if name == "main" else 2) * article, rank, doubted or doubtful)
+        if doubtful and not doubted:
+            doubts += 1
+            doubted = 4 * doubts + doubtful
+        open_now.push(name, max(around, dropped), depth + (1 if name == "main" else 2) * article, rank, doubted)
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
+def beside(found: list[tuple[int, int, int, int, int, str]], kept: list[bool]) -> set[int]:
+    """The doubtful elements of an article that are beside its text by name or links, and do not wrap it."""
+    size: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for own, (_, _, _, doubt, linked, text) in zip(kept, found, strict=True):
+        if own:
+            size[doubt] = size.get(doubt, 0) + len(text)
+            links[doubt] = links.get(doubt, 0) + linked
+    whole = sum(size.values())
+    wraps = lambda d, n: whole - n < BESIDES if d % 4 == 3 else n >= WRAPS * whole
+    return {d for d, n in size.items() if d and not wraps(d, n) and (d % 4 >= 2 or links[d] >= LINKED * n)}
+
+
 def main_text(page: str) -> tuple[bool, list[str], list[bool], list[str]]:
     """(whether they are an article's, the page's blocks, which of them are doubtful, the stretches of text outside of them).
 
@@ -209,24 +239,27 @@ def main_text(page: str) -> tuple[bool, list[str], list[bool], list[str]]:
     found = blocks(page)
     kept = None
     for rank in range(3):
-        deepest = max((d for x, r, d, _, _ in found if not x and r == rank), default=0)
-        if deepest and (rank < 2 or not any(r < 2 for x, r, _, _, _ in found if not x)):
+        deepest = max((d for x, r, d, *_ in found if not x and r == rank), default=0)
+        if deepest and (rank < 2 or not any(r < 2 for x, r, *_ in found if not x)):
             inside = 2 if deepest >= 2 else 1
-            kept = [not x and r == rank and d >= inside for x, r, d, _, _ in found]
+            kept = [not x and r == rank and d >= inside for x, r, d, *_ in found]
             break
     fixed = kept is not None
     if kept is None:
-        kept = [not x and not d for x, _, d, _, _ in found]
+        kept = [not x and not d for x, _, d, *_ in found]
         if not any(kept):
             found = blocks(page, keep_forms=True)
-            kept = [not x and not d for x, _, d, _, _ in found]
+            kept = [not x and not d for x, _, d, *_ in found]
+    elif any(own and x[3] for own, x in zip(kept, found, strict=True)):
+        gone = beside(found, kept)
+        kept = [own and x[3] not in gone for own, x in zip(kept, found, strict=True)]
     outside: list[list[str]] = [[]]
     for own, (*_, text) in zip(kept, found, strict=True):
         if not own:
             outside[-1].append(text)
         elif outside[-1]:
             outside.append([])
-    own_blocks = [(t, fixed and q) for own, (*_, q, t) in zip(kept, found, strict=True) if own]
+    own_blocks = [(t, fixed and q > 0) for own, (_, _, _, q, _, t) in zip(kept, found, strict=True) if own]
     return fixed, [t for t, _ in own_blocks], [q for _, q in own_blocks], [" ".join(x) for x in outside if x]
 
 
