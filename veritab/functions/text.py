@@ -74,6 +74,12 @@ def compact_number(value: Column) -> Column:
     return out.when(size >= 1e3, F.concat(trimmed(value / 1e3, 1), F.lit("k"))).otherwise(trimmed(value, 2))
 
 
+def grouped_number(value: Column) -> Column:
+    """A number with thousands apart and two digits at most, without closing zeros."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_number(F.round(value, 2), 2), r"0+$", ""), r"\.$", "")
+    return F.when(value.isNotNull(), F.when(plain == "-0", "0").otherwise(plain))
+
+
 def token_estimate(text: Column) -> Column:
     """Half of the digits and a quarter of the other characters, each rounded up."""
     digits = F.length(F.regexp_replace(text, "[^0-9]", ""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.text import name_tokens, singular, tokens
-from veritab.sources.store import written
+from veritab.sources.store import removed, written
 
 CHUNK_WORDS, OVERLAP = 120, 25
 RRF_K, RRF_DEPTH = 60, 400
@@ -86,7 +86,7 @@ def best_chunk(scored: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """Postings by term, document frequencies and norms of the rows of a table, written once and read by every query."""
+    """Postings by term with their rows' norms, document frequencies and norms of a table, written once and read by every query."""
 
     keys: list[str]
     postings: DataFrame
@@ -97,28 +97,30 @@ class Index:
     def search(self, query: list[str]) -> DataFrame:
         """(keys, score): cosine under TF-IDF weights of each row that has a query term.
 
-        The scan reads the query's own postings, as the files are sorted by term, and the norms of the rows met."""
+        Two jobs: the terms' frequencies, and the query's own postings, which are all that is read as the files are sorted by
+        term and each posting has its row's norm."""
         times = {q: float(query.count(q)) for q in dict.fromkeys(query)}
         found = self.terms.where(F.col("term").isin(*times)).collect()
         weight = {r["term"]: math.log((self.rows + 1) / (r["df"] + 1)) + 1 for r in found}
         missing = math.log(self.rows + 1) + 1
         norm = math.sqrt(sum((k * weight.get(q, missing)) ** 2 for q, k in times.items()))
         factor = F.element_at(F.create_map(*[F.lit(x) for q, w in weight.items() for x in (q, times[q] * w * w)]), F.col("term")) if weight else F.lit(0.0)
-        dots = self.postings.where(F.col("term").isin(*times)).groupBy(*self.keys).agg(F.sum(F.col("tf") * factor).alias("dot"))
-        return dots.join(self.norms, self.keys).select(*self.keys, (F.col("dot") / (F.col("norm") * norm)).alias("score"))
+        dots = self.postings.where(F.col("term").isin(*times)).groupBy(*self.keys).agg(F.sum(F.col("tf") * factor).alias("dot"), F.first("norm").alias("norm"))
+        return dots.select(*self.keys, (F.col("dot") / (F.col("norm") * norm)).alias("score"))
 
 
 def build_index(rows: DataFrame, keys: list[str], text: str, folder: str, files: int | None = None) -> Index:
-    """Tokenises the rows once, and writes their postings by ranges of terms, the terms' document frequencies and the rows'
-    norms under folder."""
+    """Tokenises the rows once, and writes the terms' document frequencies, the rows' norms, and the postings by ranges of terms
+    under folder. The counts by row are kept until then, so frequencies and norms are sums that Spark makes where they lie."""
     spark = rows.sparkSession
-    counts = term_counts(rows, keys, text)
-    ranged = counts.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "term", *keys).sortWithinPartitions("term", *keys)
-    postings = written(ranged, f"{folder}/postings")
+    counts = written(term_counts(rows, keys, text), f"{folder}/counts")
     n = rows.count()
-    terms = written(postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).coalesce(1).sortWithinPartitions("term") if n < 1_000_000 else postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")), f"{folder}/terms")
-    weighed = postings.join(terms.select("term", "df"), "term").select(*keys, (F.col("tf") * idf(F.lit(n), F.col("df"))).alias("w"))
+    terms = written(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).sort("term"), f"{folder}/terms")
+    weighed = counts.join(terms.select("term", "df"), "term").select(*keys, (F.col("tf") * idf(F.lit(n), F.col("df"))).alias("w"))
     norms = written(weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), f"{folder}/norms")
+    ranged = counts.join(norms, keys).select("term", *keys, "tf", "norm").repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "term", *keys).sortWithinPartitions("term", *keys)
+    postings = written(ranged, f"{folder}/postings")
+    removed(spark, f"{folder}/counts")
     return Index(keys, postings, terms, norms, n)
 
 

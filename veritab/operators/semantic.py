@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.text import sanitize
+from veritab.plans.execute import Result, run_query
 from veritab.plans.guard import Refused, guard, items, name_of, parse, parser, reads
 from veritab.plans.trees import canonical, text_of, with_column
 from veritab.plans.wholes import whole_digest
@@ -118,6 +119,28 @@ class Catalog:
                 out.append(name)
         return out
 
+    def posture(self, cloud: bool) -> list[str]:
+        """The views that may be read: all of them, or where the answer leaves the machine those that rest on nothing private."""
+        return [v for v in self.views if not (cloud and self.private(v))]
+
+    def run(self, sql: str, tables: list[str], cloud: bool = False, most: int = 6, **limits) -> Result:
+        """Runs a statement over tables and the views that hold over them and may be read, tables first and views in the order they
+        were made, `most` names in all. Each view is made anew from its statement in this pass; one that cannot be made is
+        left out, and so is what stands on it."""
+        allowed = [t for t in tables if not (cloud and t.lower() in self.local_only)][:most]
+        open_to = set(self.posture(cloud))
+        known = {t.lower() for t in allowed}
+        for name, view in self.views.items():
+            if len(known) >= most or name in known or name not in open_to or not set(view.reads) <= known:
+                continue
+            try:
+                guard(self.spark, view.sql, sorted(known))
+                self.spark.sql(view.sql).createOrReplaceTempView(name)
+            except Exception:
+                continue
+            known.add(name)
+        return run_query(self.spark, sql, sorted(known), **limits)
+
     def private(self, name: str) -> bool:
         """Whether a table, a view or a metric rests on a table that never leaves the machine."""
         if name in self.metrics:

@@ -18,6 +18,9 @@ VOTERS, SHARE = 50, 0.8
 #: Words and phrases that ask for figures, and those that ask for several steps.
 FIGURE_WORDS = ("sum", "total", "totals", "average", "avg", "mean", "median", "count", "top", "largest", "smallest", "highest", "lowest", "max", "maximum", "min", "minimum", "trend", "trends", "breakdown", "distribution", "percent", "percentage", "share", "ratio", "rank", "ranking", "monthly", "yearly", "quarterly", "analyze", "analyse", "analysis")
 FIGURE_PHRASES = ("how many", "how much", "group by", "per")
+#: Words and phrases that ask for more than one document, and those that ask for what was asked before.
+ACROSS_WORDS = ("across", "compare", "compared", "comparing", "comparison", "versus", "vs", "synthesize", "synthesise", "combine", "combined", "overall", "differ", "differs", "difference", "differences", "trend", "trends", "all my files", "all my documents", "all my docs", "all the files", "all the documents", "all of my", "all of the", "each file", "each document", "each doc", "each of", "every file", "every document", "both files", "both documents", "both reports", "these files", "these documents", "my files", "my documents", "between the")
+RECALL_PHRASES = ("what did i ask", "what did i conclude", "what did we conclude", "what did i say", "what did i decide", "did i ask", "have i asked", "what did i find", "what have i asked")
 STEP_WORDS = ("compare", "compared", "comparing", "versus", "vs", "difference", "differences", "why", "driver", "drivers", "explain", "explains", "explained", "what caused", "change between", "breakdown of the change", "changed between")
 
 
@@ -47,6 +50,28 @@ def schema_card(name: str, df: DataFrame) -> str:
     return text if len(text) <= CARD_CHARS else text[: CARD_CHARS - 1] + "…"
 
 
+def matched_columns(catalog: DataFrame, question: str, synonyms: DataFrame | None = None) -> DataFrame:
+    """The catalog's columns with `matched`: a word of the question, three letters and more, has the column's name in it or is in
+    it; or a synonym (term, column_name) of the column stands in the question."""
+    words = sorted(set(re.findall(r"[^\W_]{3,}", question.lower())))
+    name = F.lower("column_name")
+    own = F.exists(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: name.contains(w) | w.contains(name))
+    if synonyms is None:
+        return catalog.withColumn("matched", own)
+    meant = synonyms.where(F.lit(question.lower()).contains(F.lower("term"))).select(F.lower("column_name").alias("_meant")).distinct()
+    both = catalog.join(meant, name == F.col("_meant"), "left")
+    return both.withColumn("matched", own | F.col("_meant").isNotNull()).drop("_meant")
+
+
+def planned_tables(catalog: DataFrame, question: str, synonyms: DataFrame | None = None, n: int = RANKED) -> DataFrame:
+    """(table_name, score): three times a table's matched columns and twice the question's words in its name; the n best, ties by
+    name, and n tables even where no word speaks for any."""
+    words = sorted(set(re.findall(r"[^\W_]{3,}", question.lower())))
+    hits = matched_columns(catalog, question, synonyms).groupBy("table_name").agg(F.count_if("matched").alias("c"))
+    named = F.size(F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.lower("table_name").contains(w)))
+    return hits.select("table_name", (3 * F.col("c") + 2 * named).alias("score")).orderBy(F.desc("score"), "table_name").limit(n)
+
+
 def ranked_tables(catalog: DataFrame, question: Column, n: int = RANKED) -> DataFrame:
     """(table_name, score): three times the question's words among a table's columns and twice those in its name; the n best, ties
     in the catalog's order of names."""
@@ -162,6 +187,16 @@ def asks_steps(question: Column) -> Column:
     return has_cue(question) & has_cue(question, STEP_WORDS)
 
 
+def asks_across(question: Column) -> Column:
+    """Whether a question is about several documents at once."""
+    return has_cue(question, ACROSS_WORDS)
+
+
+def asks_recall(question: Column) -> Column:
+    """Whether a question is about what was asked, said or found before."""
+    return has_cue(question, RECALL_PHRASES)
+
+
 def answerable(question: str, columns: list[str]) -> bool:
     """Whether a question shares a content word with the columns' names."""
     words = lambda x: {w.rstrip("s") for w in re.findall(r"[a-z0-9]{3,}", x.lower())}

@@ -9,7 +9,7 @@ from veritab.operators import listing, report, retrieval, stores
 from veritab.operators.index_store import IndexStore
 from veritab.operators.semantic import Catalog, mine_metrics
 from veritab.operators.vectors import VectorSidecar
-from veritab.plans import shown
+from veritab.plans import cards, shown
 from veritab.plans.direct import direct_rows
 from veritab.plans.execute import csv_lines
 from veritab.queries import ORACLE, QUERY_TERMS, STOP, query
@@ -235,6 +235,22 @@ def board_refresh(spark, d):
     return stores.board_refresh(cards, pins, runs).join(runs.select("pin", "rows"), "pin", "left").select("board", "position", "pin", "state", "rows")
 
 
+@query(r"""WITH t AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower('What did I ask of ' || role || '? ' || text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS q FROM conversations)
+SELECT conv_id, turn, regexp_matches(q, ' (across|compare|compared|comparing|comparison|versus|vs|synthesize|synthesise|combine|combined|overall|differ|differs|difference|differences|trend|trends|all my files|all my documents|all my docs|all the files|all the documents|all of my|all of the|each file|each document|each doc|each of|every file|every document|both files|both documents|both reports|these files|these documents|my files|my documents|between the) ') AS across_files, regexp_matches(q, ' (what did i ask|what did i conclude|what did we conclude|what did i say|what did i decide|did i ask|have i asked|what did i find|what have i asked) ') AS recall FROM t""")
+def question_cues(spark, d):
+    asked = F.concat(F.lit("What did I ask of "), "role", F.lit("? "), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", cards.asks_across(asked).alias("across_files"), cards.asks_recall(asked).alias("recall"))
+
+
+@query("""WITH c AS (SELECT table_name, column_name, lower(column_name) IN ('o_totalprice', 'c_acctbal') OR len(list_filter(['what', 'was', 'the', 'revenue', 'each', 'nation', 'custkey'], lambda w: contains(lower(column_name), w) OR contains(w, lower(column_name)))) > 0 AS m FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'nation', 'events', 'supplier'))
+SELECT table_name, 3 * count(*) FILTER (WHERE m) + 2 * max(len(list_filter(['what', 'was', 'the', 'revenue', 'each', 'nation', 'custkey'], lambda w: contains(lower(table_name), w)))) AS score FROM c GROUP BY 1 ORDER BY score DESC, table_name LIMIT 3""")
+def planned_tables(spark, d):
+    """Tables for a question that names a synonym of one column and parts of others."""
+    catalog = cards.column_catalog({n: table(spark, d, n) for n in ("customer", "orders", "nation", "events", "supplier")})
+    synonyms = spark.createDataFrame([("revenue", "O_TOTALPRICE"), ("revenue", "c_acctbal"), ("margin", "n_name")], "term string, column_name string")
+    return cards.planned_tables(catalog, "What was the revenue of each nation (custkey)?", synonyms)
+
+
 @query("""WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings),
 s AS (SELECT query, vec_id, round(list_cosine_similarity(b, a), 6) AS score FROM q, v)
 SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 10""")

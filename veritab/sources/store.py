@@ -24,6 +24,12 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{workspace(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it again."""
     df.write.parquet(path)
