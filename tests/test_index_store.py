@@ -54,7 +54,7 @@ def test_segments_merge_and_old_ones_go(spark, store, tmp_path, monkeypatch):
         rows[f"new{k}.md"] = (f"new{k}.md", "1", f"budget number {k} zebras")
         rows["a.md"] = ("a.md", str(k + 5), f"alpha zebras version {k}")
         store.refresh(spark.createDataFrame(list(rows.values()), SCHEMA))
-    assert len(store._segments(store.files(store.latest()))) <= 2
+    assert len(store._told(store.latest())[0]) <= 2
     for k, words in enumerate((["zebras", "budget"], ["version", "alpha"])):
         assert scores(store.snapshot(), words) == plain(spark, list(rows.values()), words, f"{tmp_path}/merged-{k}")
     before = scores(store.snapshot(), ["zebras"])

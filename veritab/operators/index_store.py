@@ -76,6 +76,8 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: (segments, live files, dead files, chunks) of the commits that this object has looked at; commits never change.
+        self._known: dict[int, tuple[list[str], int, int, int]] = {}
 
     # Files and folders, in whatever store they are.
 
@@ -101,32 +103,36 @@ class IndexStore:
         return (self.commits() or [None])[-1]
 
     def files(self, commit: int) -> DataFrame:
-        """(file, version, segment): what is live in a commit."""
+        """(file, version, chunks, segment): what is live in a commit."""
         return self._read("commits", str(commit), "files")
 
     def snapshot(self, commit: int | None = None) -> Snapshot:
         commit = self.latest() if commit is None else commit
         if commit is None:
             raise ValueError("the index has no commit yet")
-        files = self.files(commit)
-        rows = self._read("commits", str(commit), "rows").first()["rows"]
         at = lambda kind: self._read("commits", str(commit), kind)
-        return Snapshot(KEYS, at("weights"), at("terms"), self._live("chunks", files), files, rows)
+        return Snapshot(KEYS, at("weights"), at("terms"), self._live("chunks", commit), self.files(commit), self._told(commit)[3])
 
     # Segments.
 
-    def _segments(self, files: DataFrame) -> list[str]:
-        return sorted(r[0] for r in files.select("segment").distinct().collect())
-
-    def _live(self, kind: str, files: DataFrame) -> DataFrame:
-        """The segments' rows of a kind without those of dead files."""
-        names = self._segments(files)
-        every = self._together(kind, names, files)
-        return every.join(self._dead(files, names), ["segment", "file"], "left_anti").drop("segment")
+    def _told(self, commit: int) -> tuple[list[str], int, int, int]:
+        """Segments, live files, dead files and live chunks of a commit, in two small jobs."""
+        if commit not in self._known:
+            told = self.files(commit).groupBy("segment").agg(F.count("*").alias("n"), F.sum("chunks").alias("chunks")).collect()
+            names, live = sorted(r["segment"] for r in told), sum(r["n"] for r in told)
+            every = self._together("files", names, self.files(commit)).count() if names else 0
+            self._known[commit] = names, live, every - live, sum(r["chunks"] for r in told)
+        return self._known[commit]
+
+    def _live(self, kind: str, commit: int) -> DataFrame:
+        """The rows of a kind of a commit's segments without those of dead files."""
+        names, _, dead, _ = self._told(commit)
+        every = self._together(kind, names, self.files(commit))
+        return (every.join(self._dead(self.files(commit), names), ["segment", "file"], "left_anti") if dead else every).drop("segment")
 
     def _together(self, kind: str, names: list[str], like: DataFrame) -> DataFrame:
         if not names:
-            empty = {"chunks": "file {0}, ordinal int, words int, chunk string", "postings": "term string, file {0}, ordinal int, tf long", "terms": "term string, df long", "files": "file {0}, version string"}[kind]
+            empty = {"chunks": "file {0}, ordinal int, words int, chunk string", "postings": "term string, file {0}, ordinal int, tf long", "terms": "term string, df long", "files": "file {0}, version string, chunks long"}[kind]
             return self.spark.createDataFrame([], empty.format(like.schema["file"].dataType.simpleString()) + ", segment string")
         return reduce(DataFrame.unionByName, [self._read("segments", n, kind).withColumn("segment", F.lit(n)) for n in names])
 
@@ -139,9 +145,11 @@ class IndexStore:
         name = uuid.uuid4().hex
         at = f"{self.folder}/segments/{name}"
         cut = written(chunks(texts, "file"), f"{at}/chunks")
-        return self._finish(name, cut, term_counts(cut, KEYS, "chunk"), texts.select("file", "version"))
+        sizes = cut.groupBy("file").agg(F.count("*").alias("chunks"))
+        files = texts.select("file", "version").join(sizes, "file", "left").select("file", "version", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+        return self._finish(name, term_counts(cut, KEYS, "chunk"), files)
 
-    def _finish(self, name: str, cut: DataFrame | None, counts: DataFrame, files: DataFrame) -> str:
+    def _finish(self, name: str, counts: DataFrame, files: DataFrame) -> str:
         at = f"{self.folder}/segments/{name}"
         ranged = counts.select("term", *KEYS, "tf").repartitionByRange("term", *KEYS).sortWithinPartitions("term", *KEYS)
         postings = written(ranged, f"{at}/postings")
@@ -158,20 +166,24 @@ class IndexStore:
         docs = docs.select("file", F.coalesce(F.col("version").cast("string"), F.lit("")).alias("version"), "text")
         before = self.latest()
         key = docs.schema["file"].dataType.simpleString()
-        old = self.files(before) if before is not None else self.spark.createDataFrame([], f"file {key}, version string, segment string")
         same = ["file", "version"]
+        if before is None:
+            old = self.spark.createDataFrame([], f"file {key}, version string, chunks long, segment string")
+            n_old, n_kept, n_fresh = 0, 0, docs.count()
+        else:
+            old = self.files(before)
+            both = old.select(*same, F.lit(1).alias("had")).join(docs.select(*same, F.lit(1).alias("has")), same, "full")
+            n_old, n_kept, n_fresh = both.agg(F.count("had"), F.count_if(F.col("had") == F.col("has")), F.count_if(F.col("had").isNull())).first()
+            if n_kept == n_old and not n_fresh:
+                return Refresh(0, 0, n_kept, before)
         kept = old.join(docs.select(*same), same, "left_semi")
         fresh = docs.join(old.select(*same), same, "left_anti")
-        n_old, n_kept, n_fresh = old.count(), kept.count(), fresh.count()
-        if before is not None and n_kept == n_old and not n_fresh:
-            return Refresh(0, 0, n_kept, before)
         if n_fresh:
             name = self._add_segment(fresh)
             kept = kept.unionByName(self._read("segments", name, "files").withColumn("segment", F.lit(name)))
         commit = self._commit((before or 0) + 1, kept)
-        names = self._segments(self.files(commit))
-        dead = self._dead(self.files(commit), names).count()
-        if len(names) > SEGMENTS or dead > DEAD_SHARE * max(1, n_kept + n_fresh):
+        names, live, dead, _ = self._told(commit)
+        if len(names) > SEGMENTS or dead > DEAD_SHARE * max(1, live):
             commit = self.compact()
         return Refresh(n_fresh, n_old - n_kept, n_kept, commit)
 
@@ -180,14 +192,14 @@ class IndexStore:
         last = self.latest()
         files = self.files(last)
         name = uuid.uuid4().hex
-        written(self._live("chunks", files), f"{self.folder}/segments/{name}/chunks")
-        self._finish(name, None, self._live("postings", files), files.select("file", "version"))
+        written(self._live("chunks", last), f"{self.folder}/segments/{name}/chunks")
+        self._finish(name, self._live("postings", last), files.select("file", "version", "chunks"))
         return self._commit(last + 1, files.withColumn("segment", F.lit(name)))
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Deletes all but the newest commits, and the segments that none of those names; what was deleted."""
         held = self.commits()[-keep:]
-        used = {s for c in held for s in self._segments(self.files(c))}
+        used = {s for c in held for s in self._told(c)[0]}
         gone = [f"commits/{n}" for n in self._names("commits") if not n.isdigit() or int(n) not in held]
         gone += [f"segments/{n}" for n in self._names("segments") if n not in used]
         for path in gone:
@@ -197,18 +209,19 @@ class IndexStore:
     def _commit(self, number: int, files: DataFrame) -> int:
         at = f"{self.folder}/commits/{number}"
         self._store().delete(self._path("commits", str(number)), True)  # of a refresh that died
-        files = written(files.select("file", "version", "segment"), f"{at}/files")
-        names = self._segments(files)
+        self._known.pop(number, None)
+        files = written(files.select("file", "version", "chunks", "segment"), f"{at}/files")
+        names, _, n_dead, rows = self._told(number)
         dead = self._dead(files, names)
-        rows = self._live("chunks", files).count()
-        written(self.spark.createDataFrame([(rows,)], "rows long"), f"{at}/rows")
         every = self._together("postings", names, files)
-        came = self._together("terms", names, files).select("term", "df")
-        went = every.join(dead, ["segment", "file"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
+        terms = self._together("terms", names, files).select("term", "df")
+        if n_dead:
+            terms = terms.unionByName(every.join(dead, ["segment", "file"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df")))
+            every = every.join(dead, ["segment", "file"], "left_anti")
         weight: Column = idf(F.lit(rows), F.col("df"))
-        terms = came.unionByName(went).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         terms = written(terms.withColumn("idf", weight).sort("term"), f"{at}/terms")
-        live = every.join(dead, ["segment", "file"], "left_anti").join(terms.select("term", "idf"), "term").select("term", *KEYS, (F.col("tf") * F.col("idf")).alias("w"), "idf")
+        live = every.join(terms.select("term", "idf"), "term").select("term", *KEYS, (F.col("tf") * F.col("idf")).alias("w"), "idf")
         norms = live.groupBy(*KEYS).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         weighed = live.join(norms, KEYS).select("term", *KEYS, (F.col("w") * F.col("idf") / F.col("norm")).alias("weight"))
         written(weighed.repartitionByRange("term", *KEYS).sortWithinPartitions("term", *KEYS), f"{at}/weights")

@@ -76,9 +76,7 @@ def inspections(files: DataFrame, snapshot: Snapshot | None = None) -> DataFrame
     shown = files.select("file", "name", "version", F.when(own.isin(*TABULAR), "tabular").otherwise("prose").alias("mode"), F.substring("text", 1, PREVIEW).alias("preview"))
     if snapshot is None:
         return shown.select("file", "name", "mode", "preview", F.lit(None).cast("long").alias("chunks"), F.lit(None).cast("string").alias("indexed"), F.lit(None).cast("boolean").alias("fresh"))
-    counts = snapshot.chunks.groupBy("file").agg(F.count("*").alias("_n"))
-    seen = snapshot.files.select("file", F.col("version").alias("indexed")).join(counts, "file", "left").select("file", "indexed", F.coalesce("_n", F.lit(0)).alias("chunks"))
-    both = shown.join(seen, "file", "left")
+    both = shown.join(snapshot.files.select("file", F.col("version").alias("indexed"), "chunks"), "file", "left")
     fresh = F.when(F.col("indexed").isNotNull(), F.col("indexed") == F.coalesce(F.col("version").cast("string"), F.lit("")))
     return both.select("file", "name", "mode", "preview", "chunks", "indexed", fresh.alias("fresh"))
 
