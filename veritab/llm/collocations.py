@@ -238,7 +238,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER_PERCENT
     its count holds it."""
     written = materialise(segments(docs.select("lang", "text")))
     words, lists = written.where("local >= 0"), written.where("local = -1").select("segment", "lists")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("n")))
     one = materialise(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()))
     here = materialise(words.join(one, ["lang", "word"]).select("segment", F.lit(1).alias("kind"), F.col("local").cast("long").alias("x"), F.col("id").alias("y")))
     pairs = in_segments(lists, here, pair_counts, ("a", "b"))
@@ -247,7 +247,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER_PERCENT
     two = materialise(common.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.max("f").alias("f")))
     triples = in_segments(lists, here.unionAll(common.drop("f")), triple_counts, ("a", "b", "c"))
     three = materialise(triples.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    discard(here, common)
+    discard(written, here, common)
 
     def word(name: str) -> DataFrame:
         """(name, name_word, name_f), and the language by that of a."""
@@ -276,7 +276,8 @@ def op13_positional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows from DuckDB: all phrases of one to three words by plain grouping.
 OP13_SQL = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM t),
 g AS (SELECT lang, 1 AS size, unnest(ws) AS phrase FROM w
   UNION ALL SELECT lang, 2, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) FROM w
