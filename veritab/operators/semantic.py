@@ -323,13 +323,14 @@ def closure(edges: DataFrame, flagged: DataFrame) -> DataFrame:
 
 
 def statement_shape(statement: Column) -> Column:
-    """A statement without differences of white space, without case outside of quotes, and with one mark for each literal
-    behind its WHERE: statements of one shape aggregate alike."""
+    """A statement without differences of white space, without case outside of quotes, and with one mark for the names that it
+    gives its columns and for the first literal behind its WHERE: statements of one shape aggregate alike."""
     quoted = F.regexp_extract_all(statement, F.lit(r"'(?:[^']|'')*'"), F.lit(0))
     bare = F.split(F.regexp_replace(statement, r"'(?:[^']|'')*'", "\u0001"), "\u0001")
     lower = F.transform(bare, lambda x: F.regexp_replace(F.lower(x), r"\s+", " "))
     whole = F.trim(F.array_join(F.transform(F.arrays_zip(lower.alias("a"), quoted.alias("b")), lambda x: F.concat(x["a"], F.coalesce(x["b"], F.lit("")))), ""))
-    # Only a filter's own comparisons, so that a literal inside an aggregate stays.
+    # A cast's `as` has a bracket behind its type. Of literals only a filter's own, so that one inside an aggregate stays.
+    whole = F.regexp_replace(whole, r"\bas (?:[a-z_][a-z0-9_]*|`[^`]*`) ?(?=,|from )", "as ? ")
     return F.regexp_replace(whole, r"(\bwhere [a-z_][a-z0-9_.]* ?(?:=|<>|!=|<=|>=|<|>) ?)(?:'(?:[^']|'')*'|\d+(?:\.\d+)?)", "$1?")
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veritab.sources.store import new_folder, written
+
 #: Fixed values, in units of the page's median font size: what parts cells, words and rows, and the least gutter.
 CELL_GAP, SPACE_GAP, ROW_STEP, GUTTER_WIDTH = 1.1, 0.28, 0.6, 0.3
 #: Shares of rows that a gutter must span and that must fit, and the least and most rows, columns and glyphs.
@@ -89,7 +91,8 @@ def grids(glyphs: DataFrame, page: str = "page", shown: int | None = SHOWN_ROWS)
     table."""
     plain = glyphs.select(page, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "fs")], "text").where("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND trim(text) <> ''")
     sizes = median_sizes(plain, page).join(plain.groupBy(page).agg(F.count("*").alias("_n")).where(F.col("_n") <= MOST_GLYPHS), page).drop("_n")
-    cells = row_cells(plain.join(sizes, page), page)
+    # Bounds, rows and the table's own test all rest on the cells, which are put together once.
+    cells = written(row_cells(plain.join(sizes, page), page), new_folder(glyphs.sparkSession, "cells"))
     middle = (F.col("x0") + F.col("x1")) / 2
     bounds = column_bounds(cells, page).where(F.size("bounds").between(LEAST_COLUMNS - 1, MOST_COLUMNS - 1))
     placed = cells.join(bounds, page).withColumn("column", F.size(F.filter("bounds", lambda b: middle >= b)))
