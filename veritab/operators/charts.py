@@ -5,7 +5,9 @@ A decision is one aggregate over the result, so that it holds for results of any
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
@@ -86,6 +88,78 @@ def directed_chart(df: DataFrame, kind: str, label: str, series: list[str], sort
     return None if len(rows.head(MOST_ROWS + 1)) > MOST_ROWS else Chart(kind, label, series, rows)
 
 
+#: Characters of a chart's title.
+TITLE = 80
+DIRECTIVE = re.compile(r"```chart-request[^\S\n]*\n(.*?)```", re.S)
+
+
+@dataclass
+class Directive:
+    """What an answer asks to be charted. Nothing but names, a sort and a title is read of it, so it brings no figures along."""
+
+    kind: str
+    label: str = ""
+    series: tuple[str, ...] = ()
+    lower: str | None = None
+    upper: str | None = None
+    title: str | None = None
+    sort: str | None = None
+
+
+def parse_directive(text: str) -> Directive | None:
+    """The first fenced chart request of an answer; None where there is none or anything in it is not as it must be."""
+    if not (found := DIRECTIVE.search(text)):
+        return None
+    try:
+        body = json.loads(found[1])
+    except ValueError:
+        return None
+    if not isinstance(body, dict) or body.get("kind") not in KINDS:
+        return None
+    if body["kind"] == "none":
+        return Directive("none")
+    series = body.get("series_columns")
+    texts = [body.get("label_column"), *(series if isinstance(series, list) else [None]), *[body[k] for k in ("lower_column", "upper_column", "title", "sort") if k in body]]
+    if not all(isinstance(t, str) for t in texts) or body.get("sort", "asc") not in ("asc", "desc"):
+        return None
+    title = "".join(c for c in body.get("title", "") if c.isprintable()).strip()[:TITLE]
+    return Directive(body["kind"], body["label_column"], tuple(series), body.get("lower_column"), body.get("upper_column"), title or None, body.get("sort"))
+
+
+def fault_of(d: Directive, df: DataFrame) -> str | None:
+    """Why a directive doesn't fit a result; None if it does."""
+    if d.kind == "none":
+        return None
+    if d.label not in df.columns:
+        return f"unknown label column {d.label}"
+    if not 1 <= len(d.series) <= MOST_COLUMNS - 1:
+        return f"1 to {MOST_COLUMNS - 1} series columns are needed"
+    if d.kind == "band" and (len(d.series) != 1 or not d.lower or not d.upper):
+        return "a band has one series column and two bounds"
+    for c in [*d.series, *([d.lower, d.upper] if d.kind == "band" else [])]:
+        if c not in df.columns:
+            return f"unknown column {c}"
+        if not _numeric(df, c):
+            return f"{c} is not numeric"
+    return None
+
+
+def decided_chart(answer: str, df: DataFrame) -> Chart | None:
+    """The chart that an answer asks for if that fits, none if it asks for none, else what fits the result by itself."""
+    d = parse_directive(answer)
+    if d is None or fault_of(d, df):
+        return auto_chart(df)
+    if d.kind == "none":
+        return None
+    series = [*d.series, *([d.lower, d.upper] if d.kind == "band" else [])]
+    return directed_chart(df, d.kind, d.label, series, d.sort)
+
+
+def without_directive(answer: str) -> str:
+    """An answer as it is shown, without its chart requests."""
+    return re.sub(r"\n{3,}", "\n\n", DIRECTIVE.sub("", answer)).strip()
+
+
 def recipe_chart(recipe: str, result: DataFrame) -> Chart | None:
     """A recipe's own chart: the band of a forecast, and of other recipes what fits their result."""
     if recipe == "forecast":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.operators import listing, report, retrieval, stores
+from veritab.operators import investigations, listing, report, retrieval, stores
 from veritab.operators.index_store import IndexStore
 from veritab.operators.semantic import Catalog, mine_metrics
 from veritab.operators.vectors import VectorSidecar
@@ -251,6 +251,20 @@ def planned_tables(spark, d):
     return cards.planned_tables(catalog, "What was the revenue of each nation (custkey)?", synonyms)
 
 
+@query("""WITH s AS (SELECT n_regionkey AS id, list_sort(list(DISTINCT n_name)) AS scope FROM nation WHERE n_regionkey <> 4 GROUP BY 1), a AS (SELECT c_custkey, n_regionkey, n_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS ask, CASE WHEN c_acctbal < 0 THEN n_name WHEN c_acctbal > 9000 THEN '' ELSE coalesce(array_to_string(scope, ','), '') END AS files, c_acctbal <= 9000 AND n_regionkey % 2 = 1 AS local_only FROM a LEFT JOIN s ON s.id = n_regionkey""")
+def investigation_scopes(spark, d):
+    """Customers' questions inside their region's investigation, whose scope are its nations. In debt they name their own nation;
+    the richest ask in an investigation that is not there; one region's has no scope; every other one is local only."""
+    nations = table(spark, d, "nation")
+    key = F.concat(F.lit("inv-"), F.col("n_regionkey").cast("string")).alias("id")
+    store = nations.select(key, (F.col("n_regionkey") % 2 == 1).alias("local_only")).distinct()
+    scopes = nations.where("n_regionkey <> 4").select(key, F.col("n_name").alias("file"))
+    at = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    asks = at.select(F.col("c_custkey").alias("ask"), F.when(F.col("c_acctbal") > 9000, "inv-none").otherwise(key).alias("investigation"), F.when(F.col("c_acctbal") < 0, F.array("n_name")).alias("files"))
+    return investigations.resolved(asks, store, scopes).select("ask", F.array_join("files", ",").alias("files"), "local_only")
+
+
 @query("""WITH q AS (SELECT vec_id AS query, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings),
 s AS (SELECT query, vec_id, round(list_cosine_similarity(b, a), 6) AS score FROM q, v)
 SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, score FROM s QUALIFY rank <= 10""")
