@@ -30,3 +30,51 @@ def group_sums(df: DataFrame, group: str, metrics: list[str], least: int = 2, mo
     sums = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("label")).agg(*[F.round(F.sum(F.col(m).cast("double")), 2).alias(m) for m in metrics])
     values = df.agg(F.count_distinct(group).alias("n"))
     return sums.where(values.select("n").scalar().between(least, most))
+
+
+#: Numeric columns that are summed by year and group, years and groups that are shown, characters of a profile.
+SUMMED, YEARS, GROUPS, CHARS = 2, (2, 6), (2, 8), 1200
+
+
+def plain_number(value: float | None) -> str:
+    """Two digits at most, without closing zeros."""
+    text = f"{round(value or 0.0, 2):.2f}".rstrip("0").rstrip(".")
+    return "0" if text in ("-0", "") else text
+
+
+def profile_text(name: str, df: DataFrame, chars: int = CHARS) -> str:
+    """A table's profile as text: its rows, what each column holds, sums by year of each date column and by each text column of
+    few values. Two readings of the table: one for the columns, one by grouping sets for all sums. A longer text is cut, and
+    says so by its last character."""
+    columns = profile_columns(df).collect()
+    rows = df.count() if not columns else None
+    numeric = [c["column_name"] for c in columns if c["kind"] == "numeric"][:SUMMED]
+    dates = [c["column_name"] for c in columns if c["kind"] == "date"]
+    texts = [c["column_name"] for c in columns if c["kind"] == "text" and GROUPS[0] <= c["distinct_values"] <= GROUPS[1]]
+    keys = [*[F.year(F.col(f"`{c}`")).cast("string") for c in dates], *[F.col(f"`{c}`").cast("string") for c in texts]]
+    plain = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(numeric)])
+    sets = [[], *[[F.col(f"k{i}")] for i in range(len(keys))]]
+    sums = [x for i in range(len(numeric)) for x in (F.sum(f"v{i}").alias(f"s{i}"), F.count(f"v{i}").alias(f"n{i}"))]
+    which = F.coalesce(*[F.when(F.grouping(f"k{i}") == 0, F.lit(i)) for i in range(len(keys))], F.lit(-1)).alias("which") if keys else F.lit(-1).alias("which")
+    key = F.coalesce(*[F.col(f"k{i}") for i in range(len(keys))], F.lit(None).cast("string")).alias("key")
+    grouped = plain.groupingSets(sets, *[F.col(f"k{i}") for i in range(len(keys))]) if keys else plain.groupBy()
+    found = grouped.agg(which, key, F.count("*").alias("rows"), *sums).collect()
+    rows = next((r["rows"] for r in found if r["which"] == -1), 0) if rows is None else rows
+
+    def told(c) -> str:
+        if c["kind"] == "numeric":
+            return f"{c['column_name']} (number: sum {plain_number(c['sum'])}, mean {plain_number(c['mean'])}, min {plain_number(c['least'])}, max {plain_number(c['most'])})"
+        if c["kind"] == "date":
+            return f"{c['column_name']} (date: years {int(c['least'] or 0)}–{int(c['most'] or 0)})"
+        return f"{c['column_name']} (text: {c['distinct_values']} distinct)"
+
+    lines = [f"Profile of {name}, computed from all of it", f"rows: {rows}", f"columns: {'; '.join(map(told, columns))}"]
+    for i, k in enumerate([*dates, *texts]):
+        least, most = YEARS if i < len(dates) else GROUPS
+        for j, v in enumerate(numeric):
+            by = sorted((r["key"], r[f"s{j}"]) for r in found if r["which"] == i and r["key"] not in (None, "") and r[f"n{j}"])
+            if least <= len(by) <= most:
+                of = f"year({k})" if i < len(dates) else k
+                lines.append(f"sum of {v} by {of}: {' · '.join(f'{x}: {plain_number(s)}' for x, s in by)}")
+    text = "\n".join(lines)
+    return text if len(text) <= chars else text[: chars - 1] + "…"

@@ -215,6 +215,19 @@ def applicable(df: DataFrame) -> list[str]:
     return [r for r, (needs, _) in RECIPES.items() if all(first_of(df, k) for k in needs)]
 
 
+#: Pairs of recipe and table that a map of what can be asked has at most.
+CARDS = 24
+
+
+def capabilities(tables: dict[str, DataFrame], most: int = CARDS) -> tuple[list[tuple[str, str]], list[str], int]:
+    """(recipe and table of what can be run, tables that a report can be made of, how many pairs were left out).
+
+    Tables come in their given order and recipes in theirs; a report needs a date and a number."""
+    pairs = [(r, name) for name, df in tables.items() for r in applicable(df)]
+    reports = [name for name, df in tables.items() if first_of(df, "date") and first_of(df, "numeric")]
+    return pairs[:most], reports, max(0, len(pairs) - most)
+
+
 #: Tables that are looked at for findings.
 TABLES = 12
 
