@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.operators import investigations, listing, report, retrieval, stores
+from veritab.functions import text as fx
+from veritab.operators import charts, investigations, listing, recipes, report, retrieval, rules, stores
 from veritab.operators.index_store import IndexStore
 from veritab.operators.semantic import Catalog, mine_metrics
 from veritab.operators.vectors import VectorSidecar
 from veritab.plans import cards, shown
 from veritab.plans.direct import direct_rows
-from veritab.plans.execute import csv_lines
+from veritab.plans.execute import csv_lines, run_query, to_csv, to_markdown
 from veritab.queries import ORACLE, QUERY_TERMS, STOP, query
 from veritab.session import table
-from veritab.sources.files import admitted
+from veritab.sources.files import GENERAL, Registered, admitted, join_hints, register, uncovered
 from veritab.sources.grids import grids
 from veritab.sources.store import new_folder
 
@@ -276,3 +277,120 @@ def vector_sidecar(spark, d):
     return sidecar.nearest(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding"))
 
 
+
+
+_NAME = "p_name || '  ' || p_brand || CASE WHEN p_size % 2 = 0 THEN '!' ELSE '' END"
+_MONEY = "CASE WHEN p_size % 5 = 0 THEN '(' || CAST(p_size AS VARCHAR) || ',' || '250)' WHEN p_size % 5 = 1 THEN ' $' || CAST(p_size AS VARCHAR) || '.5 ' WHEN p_size % 5 = 2 THEN CAST(p_size AS VARCHAR) || ' %' WHEN p_size % 5 = 3 THEN p_brand ELSE '' END"
+_DAY = "CASE WHEN p_size % 4 = 0 THEN '2021-03-' || p_size WHEN p_size % 4 = 1 THEN '1/2/20' || lpad(CAST(p_size AS VARCHAR), 2, '0') WHEN p_size % 4 = 2 THEN '1.2.1999' ELSE '1999' END"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {_NAME} AS name, {_MONEY} AS money, {_DAY} AS day, p_size, p_retailprice FROM part),
+y AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') AS bare, regexp_replace(trim(money), '[$€£¥,%\\s]', '', 'g') AS figure FROM x)
+SELECT p_partkey, CASE WHEN bare = '' THEN 'table' WHEN regexp_matches(bare, '^[0-9]') THEN 't_' || bare ELSE bare END AS identifier,
+CASE WHEN figure LIKE '(%)' THEN -try_cast(figure[2:-2] AS DOUBLE) ELSE try_cast(figure AS DOUBLE) END AS number,
+CAST(coalesce(nullif(regexp_extract(day, '^(\\d{{4}})-\\d{{2}}', 1), ''), nullif(regexp_extract(day, '^\\d{{1,2}}[/.]\\d{{1,2}}[/.](\\d{{4}})$', 1), '')) AS INTEGER) AS year,
+regexp_replace(regexp_replace(trim(lower('  ' || name || '? ')), '\\s+', ' ', 'g'), '[?!. ]+$', '') AS question,
+'pin-' || sha1('pin' || chr(0) || name)[1:12] AS own_id FROM y""")
+def scalar_functions(spark, d):
+    """Identifiers, lenient numbers, years, question keys and ids of many spellings."""
+    text = lambda sql: F.expr(sql.replace("AS VARCHAR", "AS STRING"))
+    own = table(spark, d, "part").select("p_partkey", text(_NAME).alias("name"), text(_MONEY).alias("money"), text(_DAY).alias("day"))
+    made = F.concat(F.lit("pin-"), F.substring(F.sha1(F.concat(F.lit("pin"), F.lit("\u0000"), "name")), 1, 12))
+    return own.select("p_partkey", fx.sanitized(F.col("name")).alias("identifier"), fx.number(F.col("money")).alias("number"), fx.year(F.col("day")).alias("year"), fx.question_key(F.concat(F.lit("  "), "name", F.lit("? "))).alias("question"), made.alias("own_id"))
+
+
+@query("SELECT CASE WHEN d <= 0 THEN 'Today' WHEN d = 1 THEN 'Yesterday' WHEN d < 7 THEN 'This week' ELSE 'Earlier' END AS bucket, count(*) AS n FROM (SELECT date_diff('day', CAST(o_orderdate AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) AS d FROM orders) GROUP BY 1")
+def recency_buckets(spark, d):
+    orders = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("day"))
+    newest = orders.agg(F.max("day").alias("m")).select("m").scalar()
+    return orders.groupBy(rules.recency(F.date_diff(newest, "day")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier, (SELECT count(*) AS n FROM supplier) WHERE s_suppkey IN (SELECT i * (n - 1) // 8 FROM range(9) t(i))")
+def evenly_spaced_sample(spark, d):
+    """Nine suppliers at even steps of their keys, which count from zero, the first and the last among them."""
+    return rules.evenly_spaced(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey", 9)
+
+
+@query(r"""WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), """ + CHUNKS + """, c AS (SELECT doc_id, ordinal, CAST(length(chunk) AS BIGINT) AS size FROM chunk),
+r AS (SELECT doc_id, 0 AS ordinal, 0 AS segment, size AS used FROM c WHERE ordinal = 0
+  UNION ALL SELECT c.doc_id, c.ordinal, CASE WHEN r.used + c.size <= 3000 THEN r.segment ELSE r.segment + 1 END, CASE WHEN r.used + c.size <= 3000 THEN r.used + c.size ELSE c.size END FROM r JOIN c ON c.doc_id = r.doc_id AND c.ordinal = r.ordinal + 1)
+SELECT doc_id, ordinal, segment FROM r""")
+def chunk_segments(spark, d):
+    """Consecutive chunks put together while they fit 3,000 characters."""
+    cut = retrieval.chunks(table(spark, d, "documents").select("doc_id", "text"), "doc_id").withColumn("size", F.length("chunk"))
+    return retrieval.segments(cut, "doc_id", "size", 3000)
+
+
+@query("SELECT year(o_orderdate) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS total, true AS family, count(DISTINCT year(o_orderdate)) OVER () AS files, 1 AS uncovered FROM orders GROUP BY 1")
+def family_union(spark, d):
+    """Orders as one Parquet file a year and a file that can't be read: one table of the whole family, which covers all but that."""
+    folder = new_folder(spark, "family")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.year("o_orderdate").alias("y"))
+    years = sorted(r["y"] for r in orders.select("y").distinct().collect())
+    paths = [f"{folder}/orders-{y}.parquet" for y in years]
+    for y, path in zip(years, paths, strict=True):
+        orders.where(F.col("y") == y).write.parquet(path)
+    paths.append(f"{folder}/orders-none.parquet")
+    (whole,) = register(spark, paths)
+    rows = whole.data.groupBy("y").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return rows.select("y", "n", "total", F.lit(whole.family).alias("family"), F.lit(len(whole.files)).cast("long").alias("files"), F.lit(uncovered(paths, [whole])).alias("uncovered"))
+
+
+@query("""WITH r AS (SELECT n_name AS name, count(c_custkey) AS customers, CASE WHEN max(c_acctbal) > 9000 THEN 'a|b\\' END AS note FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY name LIMIT 20)
+SELECT 'markdown' AS form, '| name | customers | note |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || name || ' | ' || customers || ' | ' || coalesce('a\\|b\\\\' || CASE WHEN note IS NULL THEN NULL ELSE '' END, '') || ' |', chr(10) ORDER BY name) AS text FROM r
+UNION ALL SELECT 'csv', 'name,customers,note' || chr(13) || chr(10) || string_agg(name || ',' || customers || ',' || coalesce(note, '') || chr(13) || chr(10), '' ORDER BY name) FROM r
+UNION ALL SELECT 'digest', sha1(string_agg(name || ',' || customers || ',' || coalesce(note, '') || chr(13) || chr(10), '' ORDER BY name)) FROM r""")
+def shown_forms(spark, d):
+    """A result as Markdown and CSV, and its digest."""
+    for name in ("nation", "customer"):
+        table(spark, d, name).createOrReplaceTempView(f"work_{name}")
+    sql = "SELECT n_name AS name, count(c_custkey) AS customers, CASE WHEN max(c_acctbal) > 9000 THEN 'a|b\\\\' END AS note FROM work_nation LEFT JOIN work_customer ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY name LIMIT 20"
+    found = run_query(spark, sql, ["work_nation", "work_customer"], seconds=120)
+    return spark.createDataFrame([("markdown", to_markdown(found)), ("csv", to_csv(found)), ("digest", found.digest)], "form string, text string")
+
+
+@query("SELECT key, used FROM (SELECT sha256(regexp_replace(regexp_replace(trim(lower(p)), '\\s+', ' ', 'g'), '[?!. ]+$', '') || chr(0) || event_type || chr(0) || '') AS key, max(ts) AS used FROM (SELECT '  User ' || user_id || '  asks?! ' AS p, event_type, ts FROM events) GROUP BY 1) ORDER BY used DESC, key LIMIT 64")
+def answer_cache(spark, d):
+    """The answers that were used last, by keys of the question and of what it rests on."""
+    asked = F.concat(F.lit("  User "), "user_id", F.lit("  asks?! "))
+    used = table(spark, d, "events").select(stores.answer_key(asked, F.col("event_type"), F.lit(None).cast("string")).alias("key"), F.col("ts").alias("used"))
+    return stores.cached(used.groupBy("key").agg(F.max("used").alias("used")))
+
+
+@query(f"""WITH {LATER}, {SCORES % (CHANGE_TERMS,)}, best AS (SELECT doc_id, arg_min(ordinal, (-round(score, 9), ordinal)) AS ordinal, max(round(score, 9)) AS score FROM hit GROUP BY 1)
+SELECT doc_id, ordinal, chunk[1:240] AS snippet, round(best.score / (SELECT max(score) FROM best), 6) AS score FROM best JOIN chunk USING (doc_id, ordinal)""")
+def answer_references(spark, d):
+    """The best chunk of each document that a question meets, beside the best of all."""
+    snap = changed_index(spark, d).snapshot()
+    scored = snap.search(CHANGE_TERMS).withColumn("score", F.round("score", 9)).join(snap.chunks, ["file", "ordinal"])
+    return retrieval.references(scored, "file", "chunk").withColumnRenamed("file", "doc_id")
+
+
+@query(f"""WITH {LATER}, {SCORES % (CHANGE_TERMS,)}, best AS (SELECT doc_id, max(score) AS score FROM hit GROUP BY 1),
+named AS (SELECT doc_id, lang = 'de' AS note, source IN ('src3', 'src4') AS preferred, CASE WHEN source = 'src17' THEN 1 ELSE 0 END / 2.0 AS share FROM documents)
+SELECT doc_id, round(CASE WHEN score IS NULL THEN 0.5 + 0.4 * share ELSE score + 0.2 * share END * CASE WHEN note THEN 1.5 ELSE 1 END * CASE WHEN preferred THEN 1.3 ELSE 1 END, 6) AS score FROM named LEFT JOIN best USING (doc_id) WHERE score IS NOT NULL OR share > 0""")
+def recall_boost(spark, d):
+    """Scores with what names, conversation notes and preferred files add to them."""
+    hits = changed_index(spark, d).snapshot().search(CHANGE_TERMS).groupBy("file").agg(F.max("score").alias("score"))
+    names = table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("source").alias("name"), (F.col("lang") == "de").alias("note"), F.col("source").isin("src3", "src4").alias("preferred"))
+    found = retrieval.boosted(hits, names, "file", ["src17", "nowhere"], "note", "preferred")
+    return found.select(F.col("file").alias("doc_id"), "score")
+
+
+@query("SELECT 'bar' AS kind, c_mktsegment AS label, CAST(count(*) AS DOUBLE) AS files FROM customer GROUP BY 2")
+def inventory_bars(spark, d):
+    chart = charts.inventory_chart(table(spark, d, "customer"), "c_mktsegment")
+    return chart.rows.select(F.lit(chart.kind).alias("kind"), "label", "files")
+
+
+JOINED = ("documents", "labels", "pages", "embeddings", "conversations", "benchmark")
+
+
+@query(f"""WITH c AS (SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN {JOINED!r} AND column_name NOT IN {GENERAL!r})
+SELECT a.table_name || '.' || a.column_name AS left_key, b.table_name || '.' || b.column_name AS right_key FROM c a JOIN c b ON a.column_name = b.column_name AND list_position({list(JOINED)!r}, a.table_name) < list_position({list(JOINED)!r}, b.table_name)""")
+def join_keys(spark, d):
+    """Keys that tables of one folder share, as they are told to a planner."""
+    tables = [Registered(n, [f"{d}/{n}.parquet"], recipes.kinds(table(spark, d, n))) for n in JOINED]
+    pairs = [hint.split(" = ") for hint in join_hints(tables)]
+    return spark.createDataFrame([tuple(p) for p in pairs], "left_key string, right_key string")
