@@ -246,5 +246,7 @@ def retrieve(index: Index, chunks_: DataFrame, names: DataFrame, key: str, quest
     pinned = named_file(names, key, question).withColumn("_pin", F.lit(1))
     top = ranked.join(F.broadcast(pinned), key, "full").select(key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("_pin", F.lit(0)).alias("pin")).orderBy(F.desc("pin"), F.desc("score"), key).limit(k)
     placed = top.join(best.select(key, "ordinal"), key, "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(0)))
-    shown = placed.join(chunks_.select(key, "ordinal", F.substring("chunk", 1, 240).alias("snippet")), [key, "ordinal"], "left")
+    # The k rows go to the chunks, not the chunks through a shuffle; a file without chunks has no snippet.
+    few = chunks_.join(F.broadcast(placed.select(key, "ordinal")), [key, "ordinal"]).select(key, "ordinal", F.substring("chunk", 1, 240).alias("snippet"))
+    shown = placed.join(F.broadcast(few), [key, "ordinal"], "left")
     return shown.select(key, "ordinal", "snippet", "score", "pin").orderBy(F.desc("pin"), F.desc("score"), key)
