@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +21,10 @@ from veritab.plans.direct import direct_rows
 from veritab.plans.execute import csv_lines, run_query, to_csv, to_markdown
 from veritab.queries import ORACLE, QUERY_TERMS, STOP, query
 from veritab.session import table
-from veritab.sources.files import GENERAL, Registered, admitted, join_hints, register, uncovered
+from veritab.sources import workbooks
+from veritab.sources.files import GENERAL, Registered, admitted, header_row, join_hints, register, uncovered
 from veritab.sources.grids import grids
-from veritab.sources.store import new_folder
+from veritab.sources.store import new_folder, written
 
 #: Words that edited documents have at their end.
 ADDED = " zebra quasar"
@@ -394,3 +401,59 @@ def join_keys(spark, d):
     tables = [Registered(n, [f"{d}/{n}.parquet"], recipes.kinds(table(spark, d, n))) for n in JOINED]
     pairs = [hint.split(" = ") for hint in join_hints(tables)]
     return spark.createDataFrame([tuple(p) for p in pairs], "left_key string, right_key string")
+
+
+@query(f"""WITH {LATER}, {SCORES % (CHANGE_TERMS,)}, lexical AS (SELECT doc_id AS file, round(max(score), 9) AS score FROM hit WHERE doc_id IN (SELECT vec_id FROM embeddings) GROUP BY 1),
+asked AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), semantic AS (SELECT vec_id AS file, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, asked),
+ranks AS (SELECT file, row_number() OVER (ORDER BY score DESC, file) AS r FROM lexical UNION ALL SELECT file, row_number() OVER (ORDER BY score DESC, file) FROM semantic)
+SELECT file, round(sum(30.5 / (60 + r)), 6) AS score FROM ranks WHERE r <= 400 GROUP BY 1""")
+def hybrid_search(spark, d):
+    """Documents with a vector by words and by nearness to one vector, fused by reciprocal ranks."""
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("file"), "embedding")
+    found = changed_index(spark, d).snapshot().search(CHANGE_TERMS).groupBy("file").agg(F.round(F.max("score"), 9).alias("score"))
+    with_vector = vectors.select("file")
+    asked = vectors.where("file = 0").select("embedding").first()[0]
+    return retrieval.hybrid(found.join(with_vector, "file", "left_semi"), vectors, F.array(*[F.lit(float(x)) for x in asked]), with_vector, "file")
+
+
+@query("SELECT conv_id, turn, role || chr(9) || 'x' AS role, text, length(text) / 4.0 AS quarter FROM conversations")
+def tsv_table(spark, d):
+    """Conversations as files of tab-separated values with tabs and line breaks inside cells, registered as a table with its types."""
+    talk = table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit("\tx")).alias("role"), "text", (F.length("text") / F.lit(4.0)).alias("quarter"))
+    path = f"{new_folder(spark, 'texts')}/talk.tsv"
+    talk.write.options(header=True, sep="\t", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    (found,) = register(spark, [path])
+    return found.data.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "quarter")
+
+
+BOOK_ROWS = 200
+
+
+def _book(rows: pd.DataFrame) -> pd.DataFrame:
+    """A workbook of a title line, a header line and the rows, as one (path, content)."""
+
+    def cell(v: object) -> str:
+        if isinstance(v, str):
+            return f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+        return f'<c t="b"><v>{int(v)}</v></c>' if isinstance(v, (bool, np.bool_)) else f"<c><v>{v}</v></c>"
+
+    lines = [("Customers of one nation",), ("Name", "Signup Date", "Balance", "In Debt"), *rows.sort_values("c_custkey")[["c_name", "serial", "c_acctbal", "debt"]].itertuples(index=False)]
+    data = "".join(f"<row>{''.join(map(cell, line))}</row>" for line in lines)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", f"<worksheet><sheetData>{data}</sheetData></worksheet>")
+    return pd.DataFrame({"path": [f"{rows.c_nationkey.iloc[0]}-{rows.part.iloc[0]}.xlsx"], "content": [out.getvalue()]})
+
+
+@query("SELECT c_name AS name, strftime(DATE '1899-12-30' + CAST(40000 + c_custkey % 5000 AS INTEGER), '%Y-%m-%d') AS signup_date, c_acctbal AS balance, CASE WHEN c_acctbal < 0 THEN 'TRUE' ELSE 'FALSE' END AS in_debt FROM customer")
+def workbook_scan(spark, d):
+    """Customers as workbooks of two hundred rows at most, read cell by cell, their header found, their columns typed by all rows."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", (40_000 + F.col("c_custkey") % 5_000).alias("serial"), (F.col("c_acctbal") < 0).alias("debt"), F.expr(f"c_custkey div {BOOK_ROWS}").alias("part"))
+    books = rows.groupBy("c_nationkey", "part").applyInPandas(_book, "path string, content binary")
+    cells = written(workbooks.cells_of(books), new_folder(spark, "cells"))
+    first = cells.select("path").first()["path"]
+    head = [list(r["cells"]) for r in cells.where((F.col("path") == first) & (F.col("row") < 8)).orderBy("row").collect()]
+    at = header_row(head)
+    return workbooks.typed(cells.where(F.col("row") > at), head[at]).drop("row")

@@ -110,7 +110,12 @@ def _text_of(cell, shared: list[str], dated: list[bool], since_1904: bool) -> st
 
 
 def workbook_cells(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, sheet, row, cells, place of the sheet) of workbooks; a file that can't be read gives no rows."""
+    """(path, sheet, row, cells, place of the sheet) of workbook files; a file that can't be read gives no rows."""
+    return cells_of(spark.read.format("binaryFile").load(list(paths)))
+
+
+def cells_of(books: DataFrame) -> DataFrame:
+    """The same of workbooks (path, content) wherever they come from."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +127,7 @@ def workbook_cells(spark: SparkSession, *paths: str) -> DataFrame:
                 places = {s: k for k, s in enumerate(dict.fromkeys(r[0] for r in found))}
                 yield pd.DataFrame([(path, *r, places[r[0]]) for r in found], columns=["path", "sheet", "row", "cells", "place"])
 
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, CELLS)
+    return books.select("path", "content").mapInPandas(read, CELLS)
 
 
 def typed(matrix: DataFrame, headers: list[str]) -> DataFrame:
