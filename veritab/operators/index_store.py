@@ -1,7 +1,7 @@
 """A retrieval index that follows its files.
 
 Files (file, version, text) are cut into chunks and tokenised once for each version, into an immutable segment: its chunks,
-its postings by ranges of terms, its terms with their document frequencies, and its files. A commit names the live versions
+its postings, its terms with their document frequencies, and its files. A commit names the live versions
 and their segments; what a segment holds of other versions is dead, and is left out by an anti-join. Document frequencies
 are the segments' sums less those of the dead postings, so a refresh tokenises only new and changed files and counts only
 what came and went.
@@ -78,6 +78,7 @@ class IndexStore:
         self.spark, self.folder = spark, folder.rstrip("/")
         #: (segments, live files, dead files, chunks) of the commits that this object has looked at; commits never change.
         self._known: dict[int, tuple[list[str], int, int, int]] = {}
+        self._snapshots: dict[int, Snapshot] = {}
 
     # Files and folders, in whatever store they are.
 
@@ -110,8 +111,10 @@ class IndexStore:
         commit = self.latest() if commit is None else commit
         if commit is None:
             raise ValueError("the index has no commit yet")
-        at = lambda kind: self._read("commits", str(commit), kind)
-        return Snapshot(KEYS, at("weights"), at("terms"), self._live("chunks", commit), self.files(commit), self._told(commit)[3])
+        if commit not in self._snapshots:
+            at = lambda kind: self._read("commits", str(commit), kind)
+            self._snapshots[commit] = Snapshot(KEYS, at("weights"), at("terms"), self._live("chunks", commit), self.files(commit), self._told(commit)[3])
+        return self._snapshots[commit]
 
     # Segments.
 
@@ -151,8 +154,8 @@ class IndexStore:
 
     def _finish(self, name: str, counts: DataFrame, files: DataFrame) -> str:
         at = f"{self.folder}/segments/{name}"
-        ranged = counts.select("term", *KEYS, "tf").repartitionByRange("term", *KEYS).sortWithinPartitions("term", *KEYS)
-        postings = written(ranged, f"{at}/postings")
+        # Segments are read whole, by commits alone; only the weighed postings are sorted.
+        postings = written(counts.select("term", *KEYS, "tf"), f"{at}/postings")
         written(postings.groupBy("term").agg(F.count("*").alias("df")), f"{at}/terms")
         written(files, f"{at}/files")
         return name
@@ -210,6 +213,7 @@ class IndexStore:
         at = f"{self.folder}/commits/{number}"
         self._store().delete(self._path("commits", str(number)), True)  # of a refresh that died
         self._known.pop(number, None)
+        self._snapshots.pop(number, None)
         files = written(files.select("file", "version", "chunks", "segment"), f"{at}/files")
         names, _, n_dead, rows = self._told(number)
         dead = self._dead(files, names)

@@ -152,9 +152,9 @@ def named_file(names: DataFrame, key: str, query: list[str]) -> DataFrame:
     hit = F.array_intersect(own, wanted)
     fits = (2 * F.size(hit) >= F.size(own)) & ((F.size(hit) >= 2) | F.exists(hit, lambda w: F.length(w) >= 5))
     scored = names.where(F.size(own) > 0).where(fits).select(key, (F.size(hit) / F.size(own)).alias("coverage"), F.size(hit).alias("hits"))
-    best = scored.agg(F.max(F.struct("coverage", "hits")).alias("best"))
-    top = scored.join(best, F.struct("coverage", "hits") == F.col("best"))
-    return top.groupBy().agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n = 1").select(key)
+    two = scored.orderBy(F.desc("coverage"), F.desc("hits")).limit(2).withColumn("_s", F.struct("coverage", "hits"))
+    told = two.agg(F.count("*").alias("n"), F.max("_s").alias("best"), F.min("_s").alias("next"), F.max_by(key, "_s").alias(key))
+    return told.where("n = 1 OR best > next").select(key)
 
 
 def references(scored: DataFrame, key: str, chunk: str, snippet: int = 240) -> DataFrame:
@@ -246,7 +246,9 @@ def retrieve(index: Index, chunks_: DataFrame, names: DataFrame, key: str, quest
     pinned = named_file(names, key, question).withColumn("_pin", F.lit(1))
     top = ranked.join(F.broadcast(pinned), key, "full").select(key, F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("_pin", F.lit(0)).alias("pin")).orderBy(F.desc("pin"), F.desc("score"), key).limit(k)
     placed = top.join(best.select(key, "ordinal"), key, "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(0)))
-    # The k rows go to the chunks, not the chunks through a shuffle; a file without chunks has no snippet.
-    few = chunks_.join(F.broadcast(placed.select(key, "ordinal")), [key, "ordinal"]).select(key, "ordinal", F.substring("chunk", 1, 240).alias("snippet"))
-    shown = placed.join(F.broadcast(few), [key, "ordinal"], "left")
+    # The k rows are taken here, so the scan of the chunks gets their files as a filter; a file without chunks has no snippet.
+    rows = placed.collect()
+    placed = chunks_.sparkSession.createDataFrame(rows, placed.schema)
+    near = chunks_.where(F.col(key).isin([r[key] for r in rows])).select(key, "ordinal", F.substring("chunk", 1, 240).alias("snippet"))
+    shown = placed.join(near, [key, "ordinal"], "left")
     return shown.select(key, "ordinal", "snippet", "score", "pin").orderBy(F.desc("pin"), F.desc("score"), key)
