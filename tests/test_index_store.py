@@ -1,5 +1,7 @@
 """The index that follows its files against one that is built at once."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +92,33 @@ def test_all_files_may_go_and_retrieval_reads_a_snapshot(spark, store):
     store.refresh(spark.createDataFrame([], SCHEMA))
     assert store.snapshot().search(["zebras"]).count() == 0 and store.snapshot().rows == 0
     assert store.files(store.latest()).where(F.col("file").isNotNull()).count() == 0
+
+
+def test_postings_travel_as_lists_and_texts_do_not(spark, store, tmp_path):
+    store.refresh(spark.createDataFrame([(str(k), "1", "zebras and sourdough") for k in range(40)], SCHEMA).coalesce(1))
+    snap = store.snapshot()
+    lists = snap.postings.select("term", F.size("file").alias("n")).collect()
+    assert sum(r.n for r in lists) == 80 and len(lists) <= 2 * retrieval.SALT
+    assert len(scores(snap, ["zebras"])) == 40
+    own = retrieval.bags(snap.chunks, ["file", "ordinal"], "chunk")
+    plan = retrieval.posting_lists(own, ["file", "ordinal"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("common", [0, 1, 200_000])
+def test_norms_with_and_without_rare_terms(spark, common):
+    rows = spark.createDataFrame([(k, "zebras zebras " + ("budget" if k % 3 else "") + f" own{k}") for k in range(9)], "k int, text string")
+    own = retrieval.bags(rows, ["k"], "text")
+    terms = retrieval.document_frequency(rows, "text")
+    norms = {r.k: r.norm for r in retrieval.row_norms(own, ["k"], terms, 9, common).collect()}
+    weight = lambda df: math.log(10 / (df + 1)) + 1
+    for k in range(9):
+        assert math.isclose(norms[k] ** 2, (2 * weight(9)) ** 2 + weight(1) ** 2 + (weight(6) ** 2 if k % 3 else 0))
+
+
+def test_rows_without_key_and_repeated_keys_are_found(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "zebras budget"), (1, "zebras"), (1, "zebras sourdough"), (2, "budget")], "k int, text string")
+    once = spark.createDataFrame([(None, "zebras budget"), (1, "zebras zebras sourdough"), (2, "budget")], "k int, text string")
+    found = [retrieval.build_index(x, ["k"], "text", f"{tmp_path}/{i}") for i, x in enumerate((rows, once))]
+    assert sorted(map(tuple, found[0].terms.select("term", "df", "tf").collect())) == sorted(map(tuple, found[1].terms.select("term", "df", "tf").collect()))
+    assert {r.k for r in found[0].search(["zebras"]).collect()} == {None, 1}

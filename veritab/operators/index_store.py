@@ -1,15 +1,16 @@
 """A retrieval index that follows its files.
 
 Files (file, version, text) are cut into chunks and tokenised once for each version, into an immutable segment: its chunks,
-its postings, its terms with their document frequencies, and its files. A commit names the live versions
-and their segments; what a segment holds of other versions is dead, and is left out by an anti-join. Document frequencies
-are the segments' sums less those of the dead postings, so a refresh tokenises only new and changed files and counts only
-what came and went.
-
-As every weight rests on the number of chunks and on document frequencies, each commit weighs all live postings anew, which
-reads postings, never texts; the weighed postings lie sorted by term, so that a query reads its own terms' rows and nothing
-else. Commits are whole folders, marked when they are complete: a reader keeps its own commit while the next is made, and a
-refresh that dies leaves no trace that a reader sees.
+the bag of each chunk's terms, its posting lists by term, its terms with their document frequencies, and its files. A commit
+names the live versions and their segments; what a segment holds of other versions is dead. Document frequencies are the
+segments' sums less those of the dead bags, so a refresh tokenises only new and changed files and counts only what came and
+went.
+
+As every weight rests on the number of chunks and on document frequencies, each commit finds the norms of all live chunks anew,
+which reads bags, never texts, and shuffles one row for each chunk; postings stay as their segment wrote them. A query reads its
+own terms' lists of each segment, and the norms, which only live chunks have, weigh them and leave the dead ones out. Commits
+are whole folders, marked when they are complete: a reader keeps its own commit while the next is made, and a refresh that
+dies leaves no trace that a reader sees.
 """
 
 from __future__ import annotations
@@ -18,22 +19,26 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.operators.retrieval import chunks, idf, term_counts
+from veritab.operators.retrieval import bags, by_term, chunks, flat, idf, posting_lists, row_norms
 from veritab.sources.store import written
 
 KEYS = ["file", "ordinal"]
 #: Segments that a commit has at most before they are merged, and dead files for each live one.
 SEGMENTS, DEAD_SHARE = 12, 0.5
+#: A list of dead files with at most so many rows is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass
 class Snapshot:
-    """One commit: what `retrieval.retrieve` takes as its index, with the chunks and files that it covers."""
+    """One commit: what `retrieval.retrieve` takes as its index, with the chunks and files that it covers. postings are those of
+    its segments, weights the norms (segment, file, ordinal, norm) of the live chunks."""
 
     keys: list[str]
+    postings: DataFrame
     weights: DataFrame
     terms: DataFrame
     chunks: DataFrame
@@ -46,11 +51,15 @@ class Snapshot:
         if not times:
             return self.weights.select(*self.keys, F.lit(0.0).alias("score")).limit(0)
         asked = F.element_at(F.create_map(*[F.lit(x) for pair in times.items() for x in pair]), F.col("term"))
-        known = self.terms.where(F.col("term").isin(*times)).select((F.pow(asked * F.col("idf"), 2) - F.pow(asked * F.lit(float(unseen(self.rows))), 2)).alias("more"))
+        known = self.terms.where(F.col("term").isin(*times))
+        more = known.select((F.pow(asked * F.col("idf"), 2) - F.pow(asked * F.lit(float(unseen(self.rows))), 2)).alias("more"))
         all_unseen = sum((k * unseen(self.rows)) ** 2 for k in times.values())
-        norm = known.agg(F.sqrt(F.greatest(F.lit(1e-300), F.lit(all_unseen) + F.coalesce(F.sum("more"), F.lit(0.0))))).scalar()
-        found = self.weights.where(F.col("term").isin(*times)).groupBy(*self.keys).agg(F.sum(F.col("weight") * asked).alias("dot"))
-        return found.select(*self.keys, (F.col("dot") / norm).alias("score"))
+        norm = more.agg(F.sqrt(F.greatest(F.lit(1e-300), F.lit(all_unseen) + F.coalesce(F.sum("more"), F.lit(0.0))))).scalar()
+        own = self.postings.where(F.col("term").isin(*times)).select("segment", "term", F.inline(F.arrays_zip(*self.keys, "tf")))
+        at = ["segment", *self.keys]
+        weighed = own.join(F.broadcast(known.select("term", (F.col("idf") * F.col("idf") * asked).alias("factor"))), "term")
+        dots = weighed.groupBy(*at).agg(F.sum(F.col("tf") * F.col("factor")).alias("dot"))
+        return dots.join(self.weights, at).select(*self.keys, (F.col("dot") / (F.col("norm") * norm)).alias("score"))
 
 
 def unseen(rows: int) -> float:
@@ -113,7 +122,8 @@ class IndexStore:
             raise ValueError("the index has no commit yet")
         if commit not in self._snapshots:
             at = lambda kind: self._read("commits", str(commit), kind)
-            self._snapshots[commit] = Snapshot(KEYS, at("weights"), at("terms"), self._live("chunks", commit), self.files(commit), self._told(commit)[3])
+            postings = self._together("postings", self._told(commit)[0], self.files(commit))
+            self._snapshots[commit] = Snapshot(KEYS, postings, at("weights"), at("terms"), self._live("chunks", commit), self.files(commit), self._told(commit)[3])
         return self._snapshots[commit]
 
     # Segments.
@@ -131,17 +141,18 @@ class IndexStore:
         """The rows of a kind of a commit's segments without those of dead files."""
         names, _, dead, _ = self._told(commit)
         every = self._together(kind, names, self.files(commit))
-        return (every.join(self._dead(self.files(commit), names), ["segment", "file"], "left_anti") if dead else every).drop("segment")
+        return (every.join(self._dead(self.files(commit), names, dead), ["segment", "file"], "left_anti") if dead else every).drop("segment")
 
     def _together(self, kind: str, names: list[str], like: DataFrame) -> DataFrame:
         if not names:
-            empty = {"chunks": "file {0}, ordinal int, words int, chunk string", "postings": "term string, file {0}, ordinal int, tf long", "terms": "term string, df long", "files": "file {0}, version string, chunks long"}[kind]
+            empty = {"chunks": "file {0}, ordinal int, words int, chunk string", "bags": "file {0}, ordinal int, terms array<string>, tfs array<int>", "postings": "term string, file array<{0}>, ordinal array<int>, tf array<int>", "terms": "term string, df long", "files": "file {0}, version string, chunks long"}[kind]
             return self.spark.createDataFrame([], empty.format(like.schema["file"].dataType.simpleString()) + ", segment string")
         return reduce(DataFrame.unionByName, [self._read("segments", n, kind).withColumn("segment", F.lit(n)) for n in names])
 
-    def _dead(self, files: DataFrame, names: list[str]) -> DataFrame:
-        """(segment, file): what segments hold that is not live."""
-        return self._together("files", names, files).join(files.select("segment", "file"), ["segment", "file"], "left_anti").select("segment", "file")
+    def _dead(self, files: DataFrame, names: list[str], n: int) -> DataFrame:
+        """(segment, file): the n files that segments hold and that are not live."""
+        dead = self._together("files", names, files).join(files.select("segment", "file"), ["segment", "file"], "left_anti").select("segment", "file")
+        return F.broadcast(dead) if n <= BROADCAST_ROWS else dead
 
     def _add_segment(self, texts: DataFrame) -> str:
         """Cuts and tokenises (file, version, text) into a new segment."""
@@ -150,13 +161,13 @@ class IndexStore:
         cut = written(chunks(texts, "file"), f"{at}/chunks")
         sizes = cut.groupBy("file").agg(F.count("*").alias("chunks"))
         files = texts.select("file", "version").join(sizes, "file", "left").select("file", "version", F.coalesce("chunks", F.lit(0)).alias("chunks"))
-        return self._finish(name, term_counts(cut, KEYS, "chunk"), files)
+        return self._finish(name, bags(cut, KEYS, "chunk"), files)
 
-    def _finish(self, name: str, counts: DataFrame, files: DataFrame) -> str:
+    def _finish(self, name: str, own: DataFrame, files: DataFrame) -> str:
         at = f"{self.folder}/segments/{name}"
-        # Segments are read whole, by commits alone; only the weighed postings are sorted.
-        postings = written(counts.select("term", *KEYS, "tf"), f"{at}/postings")
-        written(postings.groupBy("term").agg(F.count("*").alias("df")), f"{at}/terms")
+        own = written(own, f"{at}/bags")
+        written(by_term(posting_lists(own, KEYS), KEYS[0]), f"{at}/postings")
+        written(flat(own, []).groupBy("term").agg(F.count("*").alias("df")), f"{at}/terms")
         written(files, f"{at}/files")
         return name
 
@@ -180,7 +191,9 @@ class IndexStore:
             if n_kept == n_old and not n_fresh:
                 return Refresh(0, 0, n_kept, before)
         kept = old.join(docs.select(*same), same, "left_semi")
-        fresh = docs.join(old.select(*same), same, "left_anti")
+        # Only keys are compared; a text is not shuffled unless very many files changed.
+        changed = docs.select(*same).join(old.select(*same), same, "left_anti")
+        fresh = docs if before is None else docs.join(F.broadcast(changed) if n_fresh <= BROADCAST_ROWS else changed, same, "left_semi")
         if n_fresh:
             name = self._add_segment(fresh)
             kept = kept.unionByName(self._read("segments", name, "files").withColumn("segment", F.lit(name)))
@@ -196,7 +209,7 @@ class IndexStore:
         files = self.files(last)
         name = uuid.uuid4().hex
         written(self._live("chunks", last), f"{self.folder}/segments/{name}/chunks")
-        self._finish(name, self._live("postings", last), files.select("file", "version", "chunks"))
+        self._finish(name, self._live("bags", last), files.select("file", "version", "chunks"))
         return self._commit(last + 1, files.withColumn("segment", F.lit(name)))
 
     def vacuum(self, keep: int = 1) -> list[str]:
@@ -216,18 +229,14 @@ class IndexStore:
         self._snapshots.pop(number, None)
         files = written(files.select("file", "version", "chunks", "segment"), f"{at}/files")
         names, _, n_dead, rows = self._told(number)
-        dead = self._dead(files, names)
-        every = self._together("postings", names, files)
+        every = self._together("bags", names, files)
         terms = self._together("terms", names, files).select("term", "df")
         if n_dead:
-            terms = terms.unionByName(every.join(dead, ["segment", "file"], "left_semi").groupBy("term").agg((-F.count("*")).alias("df")))
-            every = every.join(dead, ["segment", "file"], "left_anti")
-        weight: Column = idf(F.lit(rows), F.col("df"))
+            gone = every.join(self._dead(files, names, n_dead), ["segment", "file"], "left_semi")
+            terms = terms.unionByName(flat(gone, []).groupBy("term").agg((-F.count("*")).alias("df")))
+            every = every.join(self._dead(files, names, n_dead), ["segment", "file"], "left_anti")
         terms = terms.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        terms = written(terms.withColumn("idf", weight).sort("term"), f"{at}/terms")
-        live = every.join(terms.select("term", "idf"), "term").select("term", *KEYS, (F.col("tf") * F.col("idf")).alias("w"), "idf")
-        norms = live.groupBy(*KEYS).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        weighed = live.join(norms, KEYS).select("term", *KEYS, (F.col("w") * F.col("idf") / F.col("norm")).alias("weight"))
-        written(weighed.repartitionByRange("term", *KEYS).sortWithinPartitions("term", *KEYS), f"{at}/weights")
+        terms = written(terms.withColumn("idf", idf(F.lit(rows), F.col("df"))).sort("term"), f"{at}/terms")
+        written(row_norms(every, ["segment", *KEYS], terms, rows), f"{at}/weights")
         self._store().create(self._path("commits", str(number), "_DONE"), True).close()
         return number
