@@ -231,6 +231,23 @@ def test_packed_vectors_find_the_exact_neighbours(spark, tmp_path):
     assert side.refresh(changed) == 5 and side.live.count() == 500
 
 
+def test_no_neighbour_is_lost_among_very_close_vectors(spark, tmp_path):
+    """Three hundred vectors that packed bytes cannot tell apart, many copies, and a zero vector."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    data = np.concatenate([base + rng.normal(size=(300, 16)) * 2e-3, np.tile(rng.normal(size=16), (80, 1)), np.zeros((1, 16)), rng.normal(size=(60, 16))])
+    df = spark.createDataFrame([(i, [float(x) for x in v], "1") for i, v in enumerate(data)], "vec_id int, embedding array<double>, version string")
+    side = VectorSidecar(spark, str(tmp_path / "v"))
+    side.refresh(df)
+    queries = df.where("vec_id % 37 = 0 AND vec_id <> 380").select(F.col("vec_id").alias("query"), "embedding")
+    got = {}
+    for x in side.nearest(df, queries).orderBy("query", "rank").collect():
+        got.setdefault(x.query, []).append(x.vec_id)
+    for q, ids in got.items():
+        score = [float(v @ data[q]) / (np.linalg.norm(v) * np.linalg.norm(data[q])) if v.any() else -9.0 for v in data]
+        assert ids == sorted(range(len(data)), key=lambda i: (-round(score[i], 6), i))[:10]
+
+
 def test_direct_runs_cover_their_files_and_say_so(spark, tmp_path):
     (tmp_path / "sales.csv").write_text("region,amount\nnorth,10\nsouth,20\nsouth,7\n")
     spark.createDataFrame([("north", 1)], "region string, k int").write.parquet(str(tmp_path / "zones.parquet"))

@@ -1,8 +1,9 @@
 """Vectors kept in bytes beside their table: one signed byte a component and a scale, keyed by id and version.
 
-A search scores all packed vectors by dot products of bytes, keeps a few times as many as are asked for of each file's part,
-and scores those anew by exact cosine. Queries travel to every task, so there is a stated bound of them in a run; more are
-taken in blocks."""
+A search scores all packed vectors by dot products of bytes. Each packed vector tells how far it lies from its vector, so its
+score has bounds that hold for sure: all whose upper bound reaches the k-th best lower bound are scored anew by exact cosine,
+and none of the k nearest is lost. Of equal vectors the k with the least keys are enough. Queries travel to every task, so there
+is a stated bound of them in a run; more are taken in blocks."""
 
 from __future__ import annotations
 
@@ -10,28 +11,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.operators.retrieval import cosine
 from veritab.sources.store import new_folder, written
 
-PACKED = "scale float, codes binary"
-#: Candidates for each neighbour that is asked for, and queries of one pass.
-WIDER, BLOCK = 4, 512
+PACKED = "scale float, codes binary, error float, same long"
+#: Queries of one pass, and what rounding to six digits and single precision add to a bound.
+BLOCK, SLACK = 512, 2e-5
 
 
-def pack(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(scales, codes) of rows: unit vectors in signed bytes, scaled by their largest component; a zero vector is zeros."""
+def pack(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scales, codes, errors) of rows: unit vectors in signed bytes, scaled by their largest component, and the distance of each
+    from what its bytes say; a zero vector is zeros."""
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-    scale = np.abs(unit).max(axis=1) / 127 if vectors.shape[1] else np.zeros(len(vectors))
-    codes = np.rint(np.divide(unit, scale[:, None], out=np.zeros_like(unit), where=scale[:, None] > 0))
-    return scale.astype(np.float32), codes.astype(np.int8)
+    scale = (np.abs(unit).max(axis=1) / 127 if vectors.shape[1] else np.zeros(len(vectors))).astype(np.float32)
+    wide = scale[:, None].astype(np.float64)
+    codes = np.rint(np.divide(unit, wide, out=np.zeros_like(unit), where=wide > 0)).astype(np.int8)
+    return scale, codes, np.linalg.norm(unit - codes * wide, axis=1).astype(np.float32)
 
 
 def packed(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, version, scale, codes) of (key, version, vector). Null vectors are left out; all others have one length."""
+    """(key, version, scale, codes, error, same) of (key, version, vector); equal vectors have equal `same`. Null vectors are left
+    out; all others have one length."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,11 +45,12 @@ def packed(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
             if not n:
                 continue
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scale, codes = pack(flat.reshape(n, -1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scale), pa.array([c.tobytes() for c in codes], pa.binary())], names=[key, "version", "scale", "codes"])
+            scale, codes, error = pack(flat.reshape(n, -1))
+            columns = [batch.column(0), batch.column(1), pa.array(scale), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "version", "scale", "codes", "error", "same"])
 
     kind = vectors.schema[key].dataType.simpleString()
-    return vectors.where(F.col(vector).isNotNull()).select(key, F.col("version").cast("string").alias("version"), vector).mapInArrow(build, f"{key} {kind}, version string, {PACKED}")
+    return vectors.where(F.col(vector).isNotNull()).select(key, F.col("version").cast("string").alias("version"), vector, F.xxhash64(vector).alias("same")).mapInArrow(build, f"{key} {kind}, version string, {PACKED}")
 
 
 class VectorSidecar:
@@ -67,40 +73,53 @@ class VectorSidecar:
         return n
 
     def candidates(self, queries: list[tuple[object, list[float]]], k: int) -> DataFrame:
-        """(query, key, score): for each query the k best packed vectors of each batch that a task reads; the k best of all are
-        among them."""
-        names = np.array([q for q, _ in queries], dtype=object)
-        scale, codes = pack(np.array([v for _, v in queries], np.float64))
+        """(number, key): for each query, by its place, all vectors that can be among its k nearest."""
+        scale, codes, error = pack(np.array([v for _, v in queries], np.float64))
         wanted = codes.astype(np.float32) * scale[:, None]
-        numbers = list(range(len(names)))
+        length, self_key = np.linalg.norm(wanted, axis=1), self.key
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if batch.num_rows:
+                    batch = firsts(batch)
                 if not batch.num_rows:
                     continue
+                own, off = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 3))
                 rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(batch.num_rows, -1)
-                dots = (rows.astype(np.float32) @ wanted.T) * batch.column(1).to_numpy(zero_copy_only=False)[:, None]
-                top = min(k, len(dots))
-                best = np.argpartition(-dots, top - 1, axis=0)[:top] if top else np.zeros((0, len(numbers)), int)
-                # Rows that tie with the last one kept stay too, so that the choice doesn't depend on their order.
-                least = np.take_along_axis(dots, best, axis=0).min(axis=0)
-                at, query = np.nonzero(dots >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), batch.column(0).take(pa.array(at)), pa.array(dots[at, query].astype(np.float64))], names=["number", self_key, "score"])
-
-        self_key, kind = self.key, self.live.schema[self.key].dataType.simpleString()
-        scored = self.live.select(self.key, "scale", "codes").mapInArrow(score, f"number int, {self.key} {kind}, score double")
-        order = Window.partitionBy("number").orderBy(F.desc("score"), self.key)
-        return scored.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
-
-    def nearest(self, vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", wider: int = WIDER) -> DataFrame:
-        """(query, key, rank, score): the k nearest of each query (query, vector) by exact cosine among wider * k candidates.
+                dots = (rows.astype(np.float32) @ wanted.T) * own[:, None]
+                # |q.v - q'.v'| <= |q - q'| + |q'| |v - v'| for unit vectors; a vector without direction may score anything.
+                apart = error[None, :] + off[:, None] * length[None, :] + np.float32(SLACK)
+                none = (own == 0)[:, None] | (scale == 0)[None, :]
+                low, high = np.where(none, np.float32(-2), dots - apart), np.where(none, np.float32(2), dots + apart)
+                least = np.partition(low, len(low) - k, axis=0)[len(low) - k] if len(low) > k else np.full(len(scale), -3, np.float32)
+                at, query = np.nonzero(high >= least)
+                told = [pa.array(query.astype(np.int32)), batch.column(0).take(pa.array(at)), batch.column(4).take(pa.array(at)), pa.array(low[at, query]), pa.array(high[at, query])]
+                yield pa.RecordBatch.from_arrays(told, names=["number", self_key, "same", "low", "high"])
+
+        def firsts(batch: pa.RecordBatch) -> pa.RecordBatch:
+            """Of equal vectors the k with the least keys."""
+            ordered = batch.take(pc.sort_indices(batch, sort_keys=[("same", "ascending"), (self_key, "ascending")]))
+            same = ordered.column(4).to_numpy()
+            start = np.maximum.accumulate(np.where(np.r_[True, same[1:] != same[:-1]], np.arange(len(same)), 0))
+            return ordered.filter(pa.array(np.arange(len(same)) - start < k))
+
+        kind = self.live.schema[self.key].dataType.simpleString()
+        scored = self.live.select(self.key, "scale", "codes", "error", "same").mapInArrow(score, f"number int, {self.key} {kind}, same long, low float, high float")
+        copies = Window.partitionBy("number", "same").orderBy(self.key)
+        few = scored.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k)
+        placed = few.withColumn("_n", F.row_number().over(Window.partitionBy("number").orderBy(F.desc("low"))))
+        bound = F.max(F.when(F.col("_n") == k, F.col("low"))).over(Window.partitionBy("number"))
+        return placed.withColumn("_least", bound).where(F.col("_least").isNull() | (F.col("high") >= F.col("_least"))).select("number", self.key)
+
+    def nearest(self, vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding") -> DataFrame:
+        """(query, key, rank, score): the k nearest of each query (query, vector) by exact cosine, ties by key.
 
         Queries are read in blocks of `BLOCK` in the order of their ids, each block one pass over the packed vectors."""
         ordered = queries.select("query", vector).orderBy("query").toLocalIterator(prefetchPartitions=True)
         parts, block = [], []
 
         def run() -> None:
-            found = self.candidates([(q, v) for q, v in block], wider * k)
+            found = self.candidates(block, k)
             told = self.spark.createDataFrame(list(enumerate(q for q, _ in block)), f"number int, query {queries.schema['query'].dataType.simpleString()}")
             parts.append(written(found.join(F.broadcast(told), "number").select("query", self.key), new_folder(self.spark, "nearest")))
 
