@@ -1,9 +1,12 @@
 """Grids, sorted and parsed tables, reports, listings, inspections, vectors, direct runs and workbook unions."""
 
 import functools
+import io
 import random
+import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from veritab.plans import shown
 from veritab.operators.charts import auto_chart
 from veritab.plans.direct import run_direct, save_direct
 from veritab.plans.guard import Refused
+from veritab.sources import workbooks
 from veritab.sources.files import admitted, register, uncovered
 from veritab.sources.grids import grids
 from veritab.sources.workbooks import Books
@@ -281,3 +285,16 @@ def test_whole_workbooks_are_admitted_newest_first(spark, tmp_path):
     assert uncovered(newest, found) == 0
     frame = spark.createDataFrame([("a", 3, 5), ("a", 2, 4), ("a", 1, 1), ("b", 1, 99)], "g string, day int, rows long")
     assert {(x.g, x.day): x.within for x in admitted(frame, 9, [F.desc("day")], ["g"]).collect()} == {("a", 3): True, ("a", 2): True, ("a", 1): False, ("b", 1): False}
+
+
+def test_small_workbooks_leave_a_task_together():
+    """Hundreds of workbooks of a few rows are one frame of cells, and one that can't be read takes none with it."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="r"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/worksheets/s.xml", "<worksheet><sheetData><row><c><v>1</v></c></row><row><c><v>2</v></c></row></sheetData></worksheet>")
+    books = [(f"{k}.xlsx", b"no zip" if k == 7 else out.getvalue()) for k in range(300)]
+    (found,) = workbooks.cells_in(iter([pd.DataFrame(books, columns=["path", "content"])]))
+    assert len(found) == 598 and set(found.path) == {p for p, _ in books} - {"7.xlsx"}
+    assert [list(c) for c in found[found.path == "9.xlsx"].cells] == [["1"], ["2"]]

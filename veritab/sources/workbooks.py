@@ -25,6 +25,8 @@ from veritab.sources.store import new_folder, written
 SHEETS, COLUMNS, ROWS = 4, 64, 100_000
 NUMERIC_SHARE = 0.8
 SERIALS = (20_000, 60_000)
+#: Rows of small books that leave a task together.
+TOGETHER = 10_000
 CELLS = "path string, sheet string, row int, cells array<string>, place int"
 DATED_NAMES = ("date", "day", "month", "time", "created", "updated", "modified", "dob", "birth", "expiry", "expire", "due", "_at", "timestamp", "datetime")
 DATE_FORMATS = frozenset([14, 15, 16, 17, 22, 27, 30, 36, 50, 57])
@@ -114,20 +116,29 @@ def workbook_cells(spark: SparkSession, *paths: str) -> DataFrame:
     return cells_of(spark.read.format("binaryFile").load(list(paths)))
 
 
+def cells_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells of batches of workbooks (path, content), those of small ones together."""
+    told = lambda rows: pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "place"])
+    for batch in batches:
+        # Small books leave together; a frame for each would cost more than reading it.
+        out: list[tuple] = []
+        for path, content in zip(batch.path, batch.content, strict=True):
+            try:
+                found = list(sheets_of(bytes(content)))
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, StopIteration):
+                continue
+            places = {s: k for k, s in enumerate(dict.fromkeys(r[0] for r in found))}
+            out += [(path, *r, places[r[0]]) for r in found]
+            if len(out) >= TOGETHER:
+                yield told(out)
+                out = []
+        if out:
+            yield told(out)
+
+
 def cells_of(books: DataFrame) -> DataFrame:
     """The same of workbooks (path, content) wherever they come from."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch.path, batch.content, strict=True):
-                try:
-                    found = list(sheets_of(bytes(content)))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, StopIteration):
-                    continue
-                places = {s: k for k, s in enumerate(dict.fromkeys(r[0] for r in found))}
-                yield pd.DataFrame([(path, *r, places[r[0]]) for r in found], columns=["path", "sheet", "row", "cells", "place"])
-
-    return books.select("path", "content").mapInPandas(read, CELLS)
+    return books.select("path", "content").mapInPandas(cells_in, CELLS)
 
 
 def typed(matrix: DataFrame, headers: list[str]) -> DataFrame:
