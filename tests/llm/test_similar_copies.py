@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from veritab.llm import similar_copies as m
 
@@ -59,6 +60,39 @@ def test_table_against_brute_force(spark):
     assert found.component_id.tolist() == groups(docs.doc_id.tolist(), docs.text.tolist())
 
 
+def test_pivot_cells_bring_pairs_without_a_common_band(spark, monkeypatch):
+    """Texts with one word changed in five hundred, and no bucket of bands with two classes: only pivot cells link."""
+    real = m.sketch
+
+    def lonely(text, n):
+        s = real(text, n)
+        return F.struct(s["fp"].alias("fp"), F.array(*[F.xxhash64(text, F.lit(k)) for k in range(m.BANDS)]).alias("keys"), s["bits"].alias("bits"))
+
+    monkeypatch.setattr(m, "sketch", lonely)
+    draw = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = [f"w{draw.randrange(5000)}" for _ in range(500)]
+        texts += [" ".join(base), *[" ".join(edited(draw, base, 1)) for _ in range(12)]]
+    prints = [m.majority(m.shingle_set(x.encode(), m.WORDS)) for x in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    label = list(range(len(texts)))
+    for _ in label:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    assert any(i != x for i, x in enumerate(label))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in m.similar_documents(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == label
+
+
+def test_what_pivot_cells_bring_is_verified(spark, monkeypatch):
+    """Every SimHash the same: all texts meet there, and only alike ones stay linked."""
+    real = m.sketch
+    monkeypatch.setattr(m, "sketch", lambda text, n: F.struct(F.lit(7).cast("long").alias("fp"), real(text, n)["keys"].alias("keys"), real(text, n)["bits"].alias("bits")))
+    test_table_against_brute_force(spark)
+
+
 def test_band_keys_do_not_depend_on_chunks(monkeypatch):
     h = np.random.default_rng(3).integers(0, 2**63, 3000, dtype=np.uint64)
     whole = m.band_keys(h)

@@ -433,7 +433,7 @@ def main_texts(page: Column, host: Column, keys: Column | None = None) -> Column
 
 def pages_of(held: DataFrame) -> DataFrame:
     """(cls, page) of streams (cls, page_id, host, stream): near copies on a host, and rows with one page_id, are one page."""
-    texts, placed = similar_classes(held.select("cls", "stream").dropDuplicates(["cls"]), COPY_WORDS, COPY_SHARE, "stream", "cls")
+    texts, placed = similar_classes(held.select("cls", "stream").dropDuplicates(["cls"]), COPY_WORDS, COPY_SHARE, "stream", "cls", pivots=False)
     rooted = texts.toDF("cls", "text").join(placed.select(F.col("cls").alias("text"), "root"), "text").select("cls", "root")
     named = materialise(held.select("cls", "page_id", "host").join(rooted, "cls").select("cls", "page_id", "host", F.xxhash64("host", "root").alias("page")).distinct())
     ids = named.where("page_id IS NOT NULL").groupBy("host", "page_id").agg(F.min("page").alias("b"), F.max("page").alias("hi")).where("b != hi")

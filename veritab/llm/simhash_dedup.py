@@ -99,11 +99,14 @@ def near(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return (F.greatest(*apart) <= RADIUS) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS)
 
 
-def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
-    """(a, b), a > b: enough of the links between the different fingerprints of column fp to join all that are near."""
+def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS, made: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b), a > b: enough of the links between the different fingerprints of column fp to join all that are near. made takes
+    the frames that were written for it, for a caller that discards them."""
     cells = materialise(fps.select(F.explode(cell_keys(F.col("fp"))).alias("key"), "fp"))
     sizes = cells.groupBy("key").count().where("count > 1")
     shared = materialise(cells.join(sizes, "key"))
+    if made is not None:
+        made += cells, shared
     few = shared.where(F.col("count") <= cell_pairs).select("key", "fp", coordinates(F.col("fp")).alias("at"))
     met = few.toDF("key", "a", "at_a").join(few.toDF("key", "b", "at_b"), "key")
     pairs = met.where((F.col("a") > F.col("b")) & near(F.col("a"), F.col("b"), F.col("at_a"), F.col("at_b"))).select("a", "b")

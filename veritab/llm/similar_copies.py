@@ -1,9 +1,11 @@
-"""Near-duplicates by the likeness of shingle sets, with SimHash and pivot distances as the filter (operator 7's wide form).
-
-Texts that share 0.8 of their five-word shingles have SimHashes some ten bits apart, where cells of equal pivot coordinates
-no longer tell pairs apart. Here documents meet that share a band of minima: of `BANDS` bands with `BAND_ROWS` minima each,
-a pair of likeness 0.8 shares at least one with probability 0.99997. A met pair is discarded if a pivot coordinate (each
-class carries its table of distances) or the SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
+"""SimHash near-duplicates by pivot distance tables, widened to the likeness of shingle sets (operator 7's wide form).
+
+First operator 7's search finds the texts whose SimHashes are at most two bits apart: they meet in cells of equal pivot
+coordinates, their whole shingle sets are compared, and what is alike is linked. Texts that share just 0.8 of their five-word
+shingles have SimHashes some ten bits apart, where such cells no longer tell pairs apart. For these, documents then meet that
+share a band of minima: of `BANDS` bands with `BAND_ROWS` minima each, a pair of likeness 0.8 shares at least one with
+probability 0.99997. A pair met there is discarded if a pivot coordinate (each class carries its table of distances) or the
+SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
 `SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; the bounds lie four deviations and more beyond
 a pair at 0.8. The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
 
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm._common import bytes_of, discard, materialise, mix
-from veritab.llm.simhash_dedup import SPREAD_PIVOTS, components, coordinates, majority, shingle_hashes
+from veritab.llm.simhash_dedup import SPREAD_PIVOTS, components, coordinates, links, majority, shingle_hashes
 
 WORDS = 5
 LEAST = 0.8
@@ -183,10 +185,22 @@ def label_of(rows: DataFrame, vertex: str, rooted: DataFrame | None, name: str)
     return rows.join(rooted.toDF("_v", "_r"), F.col(vertex) == F.col("_v"), "left").withColumn(name, F.coalesce("_r", vertex)).drop("_v", "_r")
 
 
-def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+def met_by_pivots(classes: DataFrame) -> DataFrame:
+    """(a, b), a > b, of classes (cls, fp) whose SimHashes are equal or were linked by operator 7's pivot cells. Each class meets
+    the least one of its own SimHash, and these meet for the SimHashes, so copies of one SimHash are not paired with each other."""
+    own = classes.groupBy("fp").agg(F.min("cls").alias("rep"))
+    made: list[DataFrame] = []
+    left = links(own.select("fp"), made=made).join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("x", "y")
+    same = classes.join(own, "fp").where("cls > rep").select(F.col("cls").alias("x"), F.col("rep").alias("y"))
+    pairs = materialise(left.unionAll(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+    discard(*made)
+    return pairs
+
+
+def link_classes(shared: DataFrame, sets: DataFrame, least: float, known: DataFrame | None = None) -> DataFrame | None:
     """(vertex, root) of every linked class but the roots; shared has (key, cls, keys, fp, coords, b0 ...) of buckets with
-    several classes, keys being all of the class's. Nothing that is bounded by the number of pairs is shuffled before the
-    filter."""
+    several classes, keys being all of the class's; known has pairs (a, b, linked) that were verified before, which are
+    joined with the first round's. Nothing that is bounded by the number of pairs is shuffled before the filter."""
     rooted = done = None
     for turn in count():
         centres_of_bucket, of_lead, one_in = ROUNDS[turn] if turn < len(ROUNDS) else (ROUNDS[-1][0] * GROWTH ** (turn + 1 - len(ROUNDS)), False, 1)
@@ -211,7 +225,7 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
             discard(lead, centres)
             if of_lead or one_in > 1:
                 continue
-            return rooted
+            return rooted if known is None else merged(rooted, known)
         opened = placed.drop("size").join(lead.select("key"), "key", "left_semi")
         if done is not None:
             opened = opened.join(done, "cls", "left_anti")
@@ -230,7 +244,8 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
                 some = rest.select("a", "b")
             some = materialise(some)
             told = verified(some, sets, least)
-            rooted = merged(rooted, told)
+            rooted = merged(rooted, told if known is None else told.unionAll(known))
+            known = None
             if step < 2:
                 left = rest.select("a", "b", "apart").join(some, ["a", "b"], "left_anti")
                 left = materialise(label_of(label_of(left, "a", rooted, "la"), "b", rooted, "lb").where("la != lb"))
@@ -244,28 +259,34 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float) -> DataFrame
         discard(lead, opened)
 
 
-def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", pivots: bool = True) -> tuple[DataFrame, DataFrame]:
     """(doc_id, cls) of every row of docs, and (cls, first, root) of every class of equal texts; first is the class's least
-    doc_id, root tells its group of similar texts."""
+    doc_id, root tells its group of similar texts. pivots: whether pairs come from pivot cells before they come from bands."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), class_of(F.col(text)).alias("cls"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     drawn = materialise(rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.*"))
-    classes = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    cells = classes.select(F.explode("keys").alias("key"), "cls")
+    sketched = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    placed = materialise(drawn.select("doc_id", "cls"))
+    discard(drawn)
+    classes = materialise(sketched.select("cls", "first"))
+    near = met_by_pivots(sketched.select("cls", "fp")) if pivots else None
+    cells = sketched.select(F.explode("keys").alias("key"), "cls")
     often = cells.groupBy("key").count().where("count > 1").select("key")
     met = materialise(cells.join(often, "key"))
-    wanted = materialise(met.select("cls").distinct().join(classes, "cls"))
+    some = met.select("cls") if near is None else met.select("cls").unionAll(near.select("a")).unionAll(near.select("b"))
+    wanted = materialise(some.distinct().join(sketched, "cls"))
+    discard(sketched)
     traits = wanted.select(F.col("cls").alias("_c"), "keys", "fp", coordinates(F.col("fp")).alias("coords"), *[F.col("bits")[k].alias(b) for k, b in enumerate(PLACED)])
     shared = materialise(met.join(traits, met.cls == traits["_c"]).drop("_c"))
     named = wanted.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))
     held = among(rows, named, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("cls") == F.col("_cls")))
     sets = materialise(held.select("cls", "text").dropDuplicates(["cls"]).select("cls", packed_set(F.col("text"), n).alias("hashes")))
     discard(met)
-    rooted = link_classes(shared, sets, least)
-    discard(shared, sets, wanted)
+    told = None if near is None else verified(near, sets, least)
+    rooted = link_classes(shared, sets, least, told)
+    discard(shared, sets, wanted, near, told)
     if rooted is None:
-        return drawn.select("doc_id", "cls"), classes.select("cls", "first", F.col("cls").alias("root"))
-    placed = classes.join(rooted, classes.cls == rooted.vertex, "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    return drawn.select("doc_id", "cls"), placed
+        return placed, classes.select("cls", "first", F.col("cls").alias("root"))
+    return placed, classes.join(rooted, classes.cls == rooted.vertex, "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
 
 
 def similar_documents(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
