@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.llm import similar_copies as m
+from veritab.llm.simhash_dedup import components, settled
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +107,27 @@ def test_odd_texts(spark, odd, no_docs):
     by = {r.doc_id: r.component_id for r in found}
     assert by[1] == by[2] == by[3] == 1 and by[6] == by[7] == 6 and by[None] is None
     assert m.similar_documents(no_docs).isEmpty()
+
+
+def test_few_pairs_take_few_jobs(spark):
+    """What the driver holds grows with the number of jobs; the driver's memory failed the check with 71 of them here."""
+    from veritab.llm.stages import keep_one_of_each
+
+    run = spark._jsparkSession.sharedState().statusStore().executionsCount
+    before = run()
+    kept = keep_one_of_each(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).select("doc_id").collect()
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    assert {r.doc_id for r in kept} == set(groups(docs.doc_id.tolist(), docs.text.tolist())) and run() - before <= 45
+
+
+def test_rounds_and_pairs_beyond_those_verified_at_once(spark, monkeypatch):
+    monkeypatch.setattr(m, "BUCKET_PAIRS", 1)
+    monkeypatch.setattr(m, "AT_ONCE", 0)
+    test_table_against_brute_force(spark)
+
+
+def test_settled_edges(spark):
+    edges = lambda *some: spark.createDataFrame(list(some), "a long, b long")
+    assert settled(edges((2, 1), (3, 1), (9, 4))) and not settled(edges((3, 2), (2, 1))) and not settled(edges((3, 2), (3, 1)))
+    chain = {r.vertex: r.root for r in components(edges(*[(x + 1, x) for x in range(40)]), stored=True).collect()}
+    assert chain == dict.fromkeys(range(1, 41), 0)

@@ -117,27 +117,32 @@ def links(fps: DataFrame, cell_pairs: int = CELL_PAIRS, made: list[DataFrame] |
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, root) of every vertex of edges (a, b), a > b; root is its component's least vertex.
+def settled(edges: DataFrame) -> bool:
+    """Whether every edge (a, b), a > b, leads to the least vertex of its component: no vertex below another has two edges."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("below")).unionAll(edges.select("b", F.lit(0)))
+    return ends.groupBy("v").agg(F.max("below").alias("below"), F.count("*").alias("n")).where("below = 1 AND n > 1").count() == 0
+
+
+def components(edges: DataFrame, stored: bool = False) -> DataFrame:
+    """(vertex, root) of every vertex of edges (a, b), a > b; root is its component's least vertex. stored: the edges lie in
+    files, so that reading them twice is cheap.
 
     Alternating large-star and small-star rounds; each round is written to the shared folder, and the rounds end when
-    one leaves the edges as they were."""
-    edges = materialise(edges)
-    before = None
+    every edge leads to its root."""
+    if not stored:
+        edges = materialise(edges)
     while True:
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
+        both = edges.unionAll(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).distinct()
         last, edges = edges, materialise(small)
         discard(last)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == before:
+        if settled(edges):
             out = edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
             out._veritab_path = edges._veritab_path
             return out
-        before = now
 
 
 def near_duplicates(docs: DataFrame, n: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -9,10 +9,12 @@ SimHashes themselves are more than `WIDE_RADIUS` bits apart, or if the
 `SKETCH_BITS` one-bit minima differ in more than `MOST_APART` places; the bounds lie four deviations and more beyond
 a pair at 0.8. The survivors are verified by the exact likeness (intersection over union) of their whole shingle sets.
 
-Groups of any size are joined without emitting their pairs. In each round every open bucket names a few centres, which are
-compared with the members of other components in all their buckets, each pair in the first bucket that both share; the first round's are named by an eighth of the buckets. Of what
-passes the filter each class first verifies its nearest centre alone, or later each two components their nearest pair; links
-merge components, and only pairs that still lie in two of them are all verified after that. The second round's centres are members of each bucket's largest component, which
+Groups of any size are joined without emitting their pairs. Buckets of at most `BUCKET_PAIRS` classes are compared pair by
+pair, each pair in the first bucket that both share. Larger ones take rounds: in each every open bucket names a few centres, which are
+compared with the members of other components in all their buckets, each pair in the first bucket that both share; the first round's are named by an eighth of the buckets. What
+passes the filter is verified at once if it is at most `AT_ONCE` pairs, which spares jobs. Of more, each class first verifies its
+nearest centre alone, or later each two components their nearest pair; links merge components, and only pairs that still lie in
+two of them are all verified after that. The second round's centres are members of each bucket's largest component, which
 most of the others join there; later ones are those that have not. A class that has been a centre is never compared again, and
 a bucket is closed when all its members outside its largest component have been centres, so every link between components that
 share a bucket is found. The number of centres grows sixteenfold each round.
@@ -55,6 +57,10 @@ SKETCH_ORDERS = (mix(np.arange(1001, 1001 + SKETCH_BITS, dtype=np.uint64)) | np.
 CHUNK = 256
 #: A list of classes with at most so many rows (16 bytes each) is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Buckets of at most so many classes are compared pair by pair before the first round; larger ones take rounds.
+BUCKET_PAIRS = 24
+#: At most so many pairs of a round are verified at once; of more the nearest come first.
+AT_ONCE = 200_000
 #: Shingle sets of at most so many bytes are broadcast to be verified against; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 PLACED = [f"b{k}" for k in range(SKETCH_WORDS)]
@@ -169,11 +175,11 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def merged(rooted: DataFrame | None, told: DataFrame) -> DataFrame | None:
-    """(vertex, root) after the links of told."""
+    """(vertex, root) after the links of told, which lie in files."""
     found = told.where("linked").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     if found.isEmpty():
         return rooted
-    out = components(found if rooted is None else found.unionAll(rooted.toDF("a", "b")))
+    out = components(found if rooted is None else found.unionAll(rooted.toDF("a", "b")), stored=True)
     discard(rooted)
     return out
 
@@ -197,11 +203,45 @@ def met_by_pivots(classes: DataFrame) -> DataFrame:
     return pairs
 
 
+def link_pairs(rest: DataFrame, sets: DataFrame, least: float, rooted: DataFrame | None, known: DataFrame | None = None) -> DataFrame | None:
+    """(vertex, root) after the links of known and of the pairs (a, b, apart, la, lb) of rest that are alike, la and lb being
+    their components; discards rest."""
+    n = rest.count()
+    # Before anything is linked each class is a component, and only the nearest centre of each tells something.
+    for step in range(3 if not n and known is None else 2 if n <= AT_ONCE else 0 if rooted is None else 1, 3):
+        if step == 0:
+            some = rest.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
+        elif step == 1:
+            some = rest.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b")
+        some = materialise(some) if step < 2 else rest.select("a", "b")
+        told = verified(some, sets, least)
+        rooted = merged(rooted, told if known is None else told.unionAll(known))
+        known = None
+        if step < 2:
+            left = rest.select("a", "b", "apart").join(some, ["a", "b"], "left_anti")
+            left = materialise(label_of(label_of(left, "a", rooted, "la"), "b", rooted, "lb").where("la != lb"))
+            discard(rest)
+            rest = left
+        discard(some, told)
+        if step < 2 and rest.isEmpty():
+            break
+    discard(rest)
+    return rooted
+
+
 def link_classes(shared: DataFrame, sets: DataFrame, least: float, known: DataFrame | None = None) -> DataFrame | None:
-    """(vertex, root) of every linked class but the roots; shared has (key, cls, keys, fp, coords, b0 ...) of buckets with
-    several classes, keys being all of the class's; known has pairs (a, b, linked) that were verified before, which are
-    joined with the first round's. Nothing that is bounded by the number of pairs is shuffled before the filter."""
-    rooted = done = None
+    """(vertex, root) of every linked class but the roots; shared has (key, n, cls, keys, fp, coords, b0 ...) of buckets with
+    n > 1 classes, keys being all of the class's; known has pairs (a, b, linked) that were verified before, which are
+    joined with those of the small buckets. Nothing that is bounded by the number of pairs is shuffled before the filter."""
+    once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("m.key")
+    small = shared.where(F.col("n") <= BUCKET_PAIRS)
+    met = small.alias("m").join(small.alias("c"), F.col("m.key") == F.col("c.key")).where((F.col("m.cls") > F.col("c.cls")) & within("m", "c") & once)
+    a, b = F.col("m.cls"), F.col("c.cls")
+    rest = materialise(met.select(a.alias("a"), b.alias("b"), apart("m", "c").alias("apart"), a.alias("la"), b.alias("lb")))
+    rooted, known, done = link_pairs(rest, sets, least, None, known), None, None
+    shared = shared.where(F.col("n") > BUCKET_PAIRS).drop("n")
+    if shared.isEmpty():
+        return rooted
     for turn in count():
         centres_of_bucket, of_lead, one_in = ROUNDS[turn] if turn < len(ROUNDS) else (ROUNDS[-1][0] * GROWTH ** (turn + 1 - len(ROUNDS)), False, 1)
         placed = label_of(shared, "cls", rooted, "label")
@@ -213,6 +253,9 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float, known: DataFr
         narrow = placed.select("key", "cls", "label", "size")
         lead = narrow.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         lead = materialise(lead.select("key", F.col("lead.label").alias("lead")))
+        if lead.isEmpty():  # no bucket has two components
+            discard(lead)
+            return rooted
         waiting = narrow.join(lead, "key").where("label = lead" if of_lead else "label != lead")
         if done is not None:
             waiting = waiting.join(done, "cls", "left_anti")
@@ -225,56 +268,36 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float, known: DataFr
             discard(lead, centres)
             if of_lead or one_in > 1:
                 continue
-            return rooted if known is None else merged(rooted, known)
+            return rooted
         opened = placed.drop("size").join(lead.select("key"), "key", "left_semi")
         if done is not None:
             opened = opened.join(done, "cls", "left_anti")
         opened = materialise(opened.join(centres.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left").withColumn("central", F.col("_c").isNotNull()).drop("_c"))
-        once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("key")
         apiece = (F.col("m.label") != F.col("c.label")) & (~F.col("m.central") | (F.col("m.cls") > F.col("c.cls")))
-        met = opened.alias("m").join(opened.where("central").alias("c"), "key").where(apiece & within("m", "c") & once)
+        met = opened.alias("m").join(opened.where("central").alias("c"), F.col("m.key") == F.col("c.key")).where(apiece & within("m", "c") & once)
         rest = materialise(met.select(F.col("m.cls").alias("a"), F.col("c.cls").alias("b"), apart("m", "c").alias("apart"), F.col("m.label").alias("la"), F.col("c.label").alias("lb")))
-        # Before anything is linked each class is a component, and only the nearest centre of each tells something.
-        for step in range(0 if rooted is None else 1, 3):
-            if step == 0:
-                some = rest.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("n")).select("a", "n.b")
-            elif step == 1:
-                some = rest.groupBy(F.least("la", "lb").alias("lo"), F.greatest("la", "lb").alias("hi")).agg(F.min(F.struct("apart", "a", "b")).alias("n")).select("n.a", "n.b")
-            else:
-                some = rest.select("a", "b")
-            some = materialise(some)
-            told = verified(some, sets, least)
-            rooted = merged(rooted, told if known is None else told.unionAll(known))
-            known = None
-            if step < 2:
-                left = rest.select("a", "b", "apart").join(some, ["a", "b"], "left_anti")
-                left = materialise(label_of(label_of(left, "a", rooted, "la"), "b", rooted, "lb").where("la != lb"))
-                discard(rest)
-                rest = left
-            discard(some, told)
-            if rest.isEmpty():
-                break
-        discard(rest)
+        rooted = link_pairs(rest, sets, least, rooted)
         done = centres if done is None else done.unionAll(centres)
         discard(lead, opened)
 
 
-def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", pivots: bool = True) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", pivots: bool = True, ids: bool = True) -> tuple[DataFrame | None, DataFrame]:
     """(doc_id, cls) of every row of docs, and (cls, first, root) of every class of equal texts; first is the class's least
-    doc_id, root tells its group of similar texts. pivots: whether pairs come from pivot cells before they come from bands."""
+    doc_id, root tells its group of similar texts. pivots: whether pairs come from pivot cells before they come from bands; ids:
+    whether the first frame is wanted, else it is None, which spares its files."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), class_of(F.col(text)).alias("cls"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    drawn = materialise(rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.*"))
+    drawn = rows.select("doc_id", "cls", sketch(F.col("text"), n).alias("s")).select("doc_id", "cls", "s.*")
+    if ids:
+        drawn = materialise(drawn)
     sketched = materialise(drawn.groupBy("cls").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    placed = materialise(drawn.select("doc_id", "cls"))
+    placed, classes = materialise(drawn.select("doc_id", "cls")) if ids else None, sketched.select("cls", "first")
     discard(drawn)
-    classes = materialise(sketched.select("cls", "first"))
     near = met_by_pivots(sketched.select("cls", "fp")) if pivots else None
     cells = sketched.select(F.explode("keys").alias("key"), "cls")
-    often = cells.groupBy("key").count().where("count > 1").select("key")
+    often = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = materialise(cells.join(often, "key"))
     some = met.select("cls") if near is None else met.select("cls").unionAll(near.select("a")).unionAll(near.select("b"))
     wanted = materialise(some.distinct().join(sketched, "cls"))
-    discard(sketched)
     traits = wanted.select(F.col("cls").alias("_c"), "keys", "fp", coordinates(F.col("fp")).alias("coords"), *[F.col("bits")[k].alias(b) for k, b in enumerate(PLACED)])
     shared = materialise(met.join(traits, met.cls == traits["_c"]).drop("_c"))
     named = wanted.select(F.col("first").alias("_first"), F.col("cls").alias("_cls"))

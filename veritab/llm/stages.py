@@ -56,7 +56,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Each group keeps one row whatever its ids, so rows without doc_id and unrelated texts under one doc_id all stay. Null
     and empty texts and texts without words are one group."""
-    _, placed = similar_copies.similar_classes(docs.select("doc_id", "text"))
+    _, placed = similar_copies.similar_classes(docs.select("doc_id", "text"), ids=False)
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "cls")).alias("least")
     chosen = materialise(placed.groupBy("root").agg(least).select(F.col("least.first").alias("_id"), F.col("least.cls").alias("_chosen")))
     whole = F.xxhash64(*[F.col(f"doc.{quoted(c)}") for c in docs.columns])
@@ -66,7 +66,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one = materialise(rows.groupBy("_key", "_class").agg(F.min("_row").alias("_least"), F.count("*").alias("_n")).toDF("_id", "_chosen", "_least", "_n"))
     pick = same & (F.col("_row") == F.col("_least"))
     kept = similar_copies.among(keyed, one.where("_n = 1"), pick).select("doc.*")
-    several = materialise(one.where("_n > 1"))
+    several = one.where("_n > 1")
     if several.isEmpty():
         return kept
     return kept.unionAll(similar_copies.among(keyed, several, pick).dropDuplicates(["_class", "_row"]).select("doc.*"))
