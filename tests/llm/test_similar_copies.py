@@ -131,3 +131,31 @@ def test_settled_edges(spark):
     assert settled(edges((2, 1), (3, 1), (9, 4))) and not settled(edges((3, 2), (2, 1))) and not settled(edges((3, 2), (3, 1)))
     chain = {r.vertex: r.root for r in components(edges(*[(x + 1, x) for x in range(40)]), stored=True).collect()}
     assert chain == dict.fromkeys(range(1, 41), 0)
+
+
+def test_rounds_read_each_open_row_once(spark, monkeypatch):
+    """Over a large group of near copies, joins with the components made twenty times as many rows as classes stand in buckets."""
+    monkeypatch.setattr(m, "BUCKET_PAIRS", 1)
+    told = []
+    real = m.link_classes
+    monkeypatch.setattr(m, "link_classes", lambda shared, *rest: told.append(shared.count()) or real(shared, *rest))
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(500)}" for _ in range(160)]
+    texts = [" ".join(edited(draw, base, draw.randint(0, 8))) for _ in range(120)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in listed(store.executionsList())}
+    found = {r.doc_id: r.component_id for r in m.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == groups(list(range(len(texts))), texts)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = 0
+    for x in [x.executionId() for x in listed(store.executionsList()) if x.executionId() not in before]:
+        values = store.executionMetrics(x)
+        for node in listed(store.planGraph(x).allNodes()):
+            if "Join [cls" in node.desc() or "Join [label" in node.desc():
+                rows = [values.get(p.accumulatorId()) for p in listed(node.metrics()) if p.name() == "number of output rows" and "LeftOuter" in node.desc()]
+                made += sum(int(r.get().replace(",", "")) for r in rows if r.isDefined())
+    assert 0 < made <= 8 * told[0]
+
+
+def listed(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]

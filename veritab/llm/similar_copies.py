@@ -15,9 +15,9 @@ compared with the members of other components in all their buckets, each pair in
 passes the filter is verified at once if it is at most `AT_ONCE` pairs, which spares jobs. Of more, each class first verifies its
 nearest centre alone, or later each two components their nearest pair; links merge components, and only pairs that still lie in
 two of them are all verified after that. The second round's centres are members of each bucket's largest component, which
-most of the others join there; later ones are those that have not. A class that has been a centre is never compared again, and
-a bucket is closed when all its members outside its largest component have been centres, so every link between components that
-share a bucket is found. The number of centres grows sixteenfold each round.
+most of the others join there; later ones are those that have not. A class that has been a centre leaves all its buckets, and
+a bucket leaves when what is left in it is one component, so every link between components that share a bucket is found, and
+each round reads only what is still open. The number of centres grows sixteenfold each round.
 
 Defined results: null and empty texts, and texts without words, are one group; texts of fewer words than a shingle are their
 whole sequence; equal texts are one class throughout; a null doc_id names a component only if nothing else is in it;
@@ -191,6 +191,16 @@ def label_of(rows: DataFrame, vertex: str, rooted: DataFrame | None, name: str)
     return rows.join(rooted.toDF("_v", "_r"), F.col(vertex) == F.col("_v"), "left").withColumn(name, F.coalesce("_r", vertex)).drop("_v", "_r")
 
 
+def with_component(rows: DataFrame, rooted: DataFrame | None) -> DataFrame:
+    """rows with label, the root of the class in column cls, and size, how many classes its component has. Sizes are put beside
+    the classes first, so the rows, which are one for each class and bucket, take one join."""
+    if rooted is None:
+        return rows.withColumn("label", F.col("cls")).withColumn("size", F.lit(1).cast("long"))
+    sizes = rooted.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    told = rooted.join(sizes, "root").select("vertex", "root", "size").unionAll(sizes.select("root", "root", "size")).toDF("_v", "_r", "_n")
+    return rows.join(told, F.col("cls") == F.col("_v"), "left").withColumn("label", F.coalesce("_r", "cls")).withColumn("size", F.coalesce("_n", F.lit(1))).drop("_v", "_r", "_n")
+
+
 def met_by_pivots(classes: DataFrame) -> DataFrame:
     """(a, b), a > b, of classes (cls, fp) whose SimHashes are equal or were linked by operator 7's pivot cells. Each class meets
     the least one of its own SimHash, and these meet for the SimHashes, so copies of one SimHash are not paired with each other."""
@@ -238,47 +248,38 @@ def link_classes(shared: DataFrame, sets: DataFrame, least: float, known: DataFr
     met = small.alias("m").join(small.alias("c"), F.col("m.key") == F.col("c.key")).where((F.col("m.cls") > F.col("c.cls")) & within("m", "c") & once)
     a, b = F.col("m.cls"), F.col("c.cls")
     rest = materialise(met.select(a.alias("a"), b.alias("b"), apart("m", "c").alias("apart"), a.alias("la"), b.alias("lb")))
-    rooted, known, done = link_pairs(rest, sets, least, None, known), None, None
-    shared = shared.where(F.col("n") > BUCKET_PAIRS).drop("n")
-    if shared.isEmpty():
+    rooted, known = link_pairs(rest, sets, least, None, known), None
+    large = shared.where(F.col("n") > BUCKET_PAIRS).drop("n")
+    if large.isEmpty():
         return rooted
+    placed = materialise(with_component(large, rooted))
     for turn in count():
         centres_of_bucket, of_lead, one_in = ROUNDS[turn] if turn < len(ROUNDS) else (ROUNDS[-1][0] * GROWTH ** (turn + 1 - len(ROUNDS)), False, 1)
-        placed = label_of(shared, "cls", rooted, "label")
-        if rooted is None:
-            placed = placed.withColumn("size", F.lit(1).cast("long"))
-        else:
-            sizes = rooted.groupBy("root").agg((F.count("*") + 1).alias("size"))
-            placed = placed.join(sizes, placed.label == sizes.root, "left").select(*placed.columns, F.coalesce("size", F.lit(1)).alias("size"))
         narrow = placed.select("key", "cls", "label", "size")
         lead = narrow.groupBy("key").agg(F.max(F.struct("size", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
         lead = materialise(lead.select("key", F.col("lead.label").alias("lead")))
         if lead.isEmpty():  # no bucket has two components
-            discard(lead)
+            discard(lead, placed)
             return rooted
         waiting = narrow.join(lead, "key").where("label = lead" if of_lead else "label != lead")
-        if done is not None:
-            waiting = waiting.join(done, "cls", "left_anti")
         if one_in > 1:
             waiting = waiting.where(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(one_in)) == 0)
         salt = F.pmod(F.xxhash64("cls", F.lit(centres_of_bucket)), F.lit(centres_of_bucket))
         first = F.min(F.struct("size", F.xxhash64("cls").alias("order"), "cls"))
         centres = materialise(waiting.groupBy("key", salt.alias("salt")).agg(first.alias("c")).select("c.cls").distinct())
-        if centres.isEmpty():
+        if centres.isEmpty():  # this round's share of the buckets has no open one
             discard(lead, centres)
-            if of_lead or one_in > 1:
-                continue
-            return rooted
+            continue
         opened = placed.drop("size").join(lead.select("key"), "key", "left_semi")
-        if done is not None:
-            opened = opened.join(done, "cls", "left_anti")
         opened = materialise(opened.join(centres.select(F.col("cls").alias("_c")), F.col("cls") == F.col("_c"), "left").withColumn("central", F.col("_c").isNotNull()).drop("_c"))
+        discard(lead, centres, placed)
         apiece = (F.col("m.label") != F.col("c.label")) & (~F.col("m.central") | (F.col("m.cls") > F.col("c.cls")))
         met = opened.alias("m").join(opened.where("central").alias("c"), F.col("m.key") == F.col("c.key")).where(apiece & within("m", "c") & once)
         rest = materialise(met.select(F.col("m.cls").alias("a"), F.col("c.cls").alias("b"), apart("m", "c").alias("apart"), F.col("m.label").alias("la"), F.col("c.label").alias("lb")))
         rooted = link_pairs(rest, sets, least, rooted)
-        done = centres if done is None else done.unionAll(centres)
-        discard(lead, opened)
+        # Centres were compared with all that they meet, and a bucket that was not opened has one component for good.
+        placed = materialise(with_component(opened.where("NOT central").drop("label", "central"), rooted))
+        discard(opened)
 
 
 def similar_classes(docs: DataFrame, n: int = WORDS, least: float = LEAST, text: str = "text", doc_id: str = "doc_id", pivots: bool = True, ids: bool = True) -> tuple[DataFrame | None, DataFrame]:
